@@ -5,23 +5,119 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from umbra.llm.setsketch import near_duplicates
-from umbra.llm.shared import ship, table
+from umbra.llm import decontaminate, lattice, lzprint, machine, mixing, sanitise, secrets, setsketch, sstable, toxicity
+from umbra.llm.shared import fold, fresh, ship, table
+
+#: Domains of the mixing query and their target shares.
+WEIGHTS = {"clean": 0.95, "low": 0.05}
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, text, label) of the labelled rows that may be learnt from: crc32(doc_id as text) mod 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(fold("doc_id", 5) != 0)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.where("label is not null").dropDuplicates(["doc_id"]), "doc_id")
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, domain): clean or low, by the quality label."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low").alias("domain"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.where("domain is not null").dropDuplicates(["doc_id"]), "doc_id")
+
+
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lzprint.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    model = machine.fit(labelled(spark, sf_dir, "quality"))
+    out = machine.score(table(spark, sf_dir, "documents"), model)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
+    out = toxicity.score(table(spark, sf_dir, "documents"), model)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "chance", F.size("passages").alias("n_passages"))
+
+
+def op4_information_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sanitise.digested(sanitise.found(table(spark, sf_dir, "documents")))
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = mixing.mixed(table(spark, sf_dir, "documents"), domains(spark, sf_dir), WEIGHTS)
+    posterior = [F.round(F.element_at("p", k + 1), 6).alias(f"p_{name}") for k, name in enumerate(WEIGHTS)]
+    return out.select("doc_id", "tokens", *posterior, F.round("rate", 6).alias("rate"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = lattice.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"), path="source")
+    return out.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "predicted")
+
+
+def op9_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = fresh(spark, "sstable")
+    sstable.write(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return sstable.offsets(spark, path)
 
 
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_setsketch_near_dedup": op10_setsketch_near_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_lz_fingerprint, op2_factorisation_machine, op3_segment_toxicity, op4_information_sanitiser, op5_soft_mixing,
+        op6_benchmark_decontamination, op7_subword_lattice, op8_secret_forest, op9_sstable_tokens, op10_setsketch_near_dedup,
+    )
+}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+WORD = decontaminate.WORD
+
 ORACLE: dict[str, str] = {
+    "op6_benchmark_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
+h AS (SELECT doc_id, i, dw.k AS k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+""",
     "op10_setsketch_near_dedup": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
