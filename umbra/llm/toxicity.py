@@ -1,7 +1,8 @@
 """Toxic passages as maximum-scoring segments.
 
 Tokens score by the log-odds of toxic against other documents with an informative Dirichlet prior (the corpus counts);
-only tokens whose log-odds stand out by their z-score keep their value, all others cost a little. A linear-time scan
+only tokens whose log-odds stand out keep their value, all others cost a little, and a token's k-th time in a text has
+a k-th of it. Toxic documents count for a token by the words beside it, so that near copies of one document count once. A linear-time scan
 finds every maximal-scoring segment of a text (Ruzzo and Tompa). Scores of segments follow an extreme-value law on
 ordinary text: lambda solves sum p(s) exp(lambda s) = 1 and K comes from the best segments of ordinary texts; segments
 whose chance is below a level are significant, their evidence adds up, and a logistic curve turns it into a probability.
@@ -10,6 +11,8 @@ whose chance is below a level are significant, their evidence adds up, and a log
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +27,9 @@ from umbra.llm.shared import bounded_sample
 
 #: Labelled rows that a fit takes at most, and tokens that a lexicon holds at most (those of highest z-score).
 FIT_ROWS, LEXICON = 20_000, 20_000
-PRIOR = 500.0
-#: z-scores from which a token keeps its log-odds, and the documents it must stand in.
-Z, DOCUMENTS = 4.0, 8
+PRIOR = 100.0
+#: z-score and log-odds from which a token counts, and the toxic documents that must hold it.
+Z, ODDS, DOCUMENTS = 4.0, 1.0, 5
 #: Each other token's cost, and the chance below which a segment is significant.
 COST, LEVEL = 0.1, 0.05
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -70,14 +73,23 @@ class Model:
     intercept: float = 0.0
     cost: float = COST
 
+    def scored(self, ws: list[bytes]) -> tuple[list[int], list[float]]:
+        """Places and values of the tokens that count."""
+        places, values, times = [], [], {}
+        for i, v in enumerate(map(self.lexicon.get, ws)):
+            if v is not None:
+                k = times[ws[i]] = times.get(ws[i], 0) + 1
+                places.append(i)
+                values.append(v / k)
+        return places, values
+
     def evidence(self, raw: bytes) -> tuple[float, float, list[tuple[int, int, float]]]:
         """Summed evidence, the best segment's chance on ordinary text, and the significant segments."""
         ws = tokens(raw)
-        got = list(map(self.lexicon.get, ws))
-        places = [i for i, v in enumerate(got) if v is not None]
+        places, values = self.scored(ws)
         if not places:
             return 0.0, 1.0, []
-        found = segments(places, [got[i] for i in places], self.cost)
+        found = segments(places, values, self.cost)
         space = self.log_k + math.log(len(ws))
         kept = [x for x in found if space - self.rate * x[2] < math.log(-math.log1p(-LEVEL))]
         best = max((x[2] for x in found), default=0.0)
@@ -89,19 +101,27 @@ class Model:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each token, by label: summed within a task, so a token comes once a task and label."""
-    seen: dict[tuple[bytes, int], int] = {}
+    """Documents that hold each token: of label 0 summed within a task, of label 1 with a hash of the words beside it."""
+    seen: Counter = Counter()
+    beside: set[tuple[bytes, int]] = set()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["token", "label", "n"])
+        rows = [(w, 0, 0, n) for w, n in seen.items()] + [(w, 1, c, 1) for w, c in beside]
         seen.clear()
-        return out
+        beside.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=["token", "label", "beside", "n"])
 
     for batch in batches:
         for raw, label in zip(pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            for t in {*tokens(raw)} - {b""}:
-                seen[t, label] = seen.get((t, label), 0) + 1
-            if len(seen) > 300_000:
+            ws = tokens(raw)
+            if label:
+                first: dict[bytes, int] = {}
+                for i, w in enumerate(ws):
+                    first.setdefault(w, i)
+                beside.update((w, zlib.crc32(b" ".join([*ws[max(0, i - 1) : i], *ws[i + 1 : i + 2]]))) for w, i in first.items() if w)
+            else:
+                seen.update({*ws} - {b""})
+            if len(seen) + len(beside) > 300_000:
                 yield flush()
     yield flush()
 
@@ -114,14 +134,16 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     if not n.get(1) or not n.get(0):
         some.unpersist()
         return Model(intercept=-40.0)
-    counts = some.select("text", "label").mapInArrow(_counted, "token binary, label int, n long").groupBy("token").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
+    counts = some.select("text", "label").mapInArrow(_counted, "token binary, label int, beside long, n long").groupBy("token", "label", "beside").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("token").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    counts = counts.where(F.col("n1") >= DOCUMENTS)
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / F.lit(n[0] + n[1])
     odds = lambda c, k: F.log((F.col(c) + prior) / (F.lit(n[k] + PRIOR) - F.col(c) - prior))
     value = odds("n1", 1) - odds("n0", 0)
     z = value / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    chosen = counts.where(F.col("n0") + F.col("n1") >= DOCUMENTS).select("token", value.alias("value"), z.alias("z")).where(F.abs("z") >= Z).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    chosen = counts.select("token", value.alias("value"), z.alias("z")).where((F.col("z") >= Z) & (F.col("value") >= ODDS)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
     model = Model({bytes(r["token"]): float(r["value"]) for r in chosen})
-    if any(v > 0 for v in model.lexicon.values()):
+    if model.lexicon:
         _calibrate(model, some)
     else:
         model.intercept = -40.0
@@ -137,10 +159,8 @@ def _calibrate(model: Model, some: DataFrame) -> None:
             rows = []
             for raw, label in zip(pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 ws = tokens(raw)
-                got = list(map(start.lexicon.get, ws))
-                places = [i for i, v in enumerate(got) if v is not None]
-                found = segments(places, [got[i] for i in places], start.cost)
-                rows.append((label, len(ws), [got[i] for i in places], [x[2] for x in found]))
+                places, values = start.scored(ws)
+                rows.append((label, len(ws), values, [x[2] for x in segments(places, values, start.cost)]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["label", "n", "values", "scores"])
 
     got = some.select("text", "label").mapInArrow(profile, "label int, n long, values array<double>, scores array<double>").collect()
