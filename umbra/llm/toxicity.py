@@ -29,7 +29,7 @@ from umbra.llm.shared import bounded_sample
 FIT_ROWS, LEXICON = 20_000, 20_000
 PRIOR = 100.0
 #: z-score and log-odds from which a token counts, and the toxic documents that must hold it.
-Z, ODDS, DOCUMENTS = 4.0, 1.0, 5
+Z, ODDS, DOCUMENTS = 2.0, 1.0, 5
 #: Each other token's cost, and the chance below which a segment is significant.
 COST, LEVEL = 0.1, 0.05
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -165,22 +165,21 @@ def _calibrate(model: Model, some: DataFrame) -> None:
 
     got = some.select("text", "label").mapInArrow(profile, "label int, n long, values array<double>, scores array<double>").collect()
     plain = [r for r in got if r["label"] == 0]
-    every = max(1, sum(r["n"] for r in plain))
-    values = np.array([v for r in plain for v in r["values"]])
+    # one token of the lexicon's mean value stands for what ordinary texts haven't shown yet
+    values = np.array([*(v for r in plain for v in r["values"]), np.mean([*model.lexicon.values()])])
+    every = sum(r["n"] for r in plain) + 1
     rest = every - len(values)
 
     def mass(rate: float) -> float:
         return (np.exp(np.minimum(700, rate * values)).sum() + rest * math.exp(-rate * model.cost)) / every - 1
 
-    lo, hi = 1e-6, 1e-6
-    if values.size and values.max() > 0:
-        hi = 0.01
-        while mass(hi) < 0 and hi < 50:
-            hi *= 1.5
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if mass(mid) < 0 else (lo, mid)
-    model.rate = max(hi, 1e-3) if values.size and values.max() > 0 else 1.0
+    lo, hi = 1e-6, 0.01
+    while mass(hi) < 0 and hi < 50:
+        hi *= 1.5
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if mass(mid) < 0 else (lo, mid)
+    model.rate = hi
     best = [model.rate * max(r["scores"]) - math.log(r["n"]) for r in plain if r["scores"] and r["n"]]
     # texts without any segment are below all: K from the median of all ordinary texts where it's known, else from the mean of the rest
     model.log_k = float(np.mean(best)) - 0.5772 + math.log(max(1e-9, len(best) / max(1, len(plain)))) if best else 0.0
