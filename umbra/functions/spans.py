@@ -63,8 +63,14 @@ def candidates(text: Column, digit: Column, scans: list[Scan]) -> Column:
     for (regex, ignore, gate), group in shared.items():
         found = gated(text, spans(text, regex, group[0].grouped, ignore), gate, digit)
 
-        def tag(x: Column, group: list[Scan] = group) -> Column:
-            return F.array(*[F.struct(F.lit(s.ordinal).alias("ordinal"), F.lit(s.entity_type).alias("entity_type"), F.lit(s.score).alias("score"), x.start.alias("start"), x.end.alias("end")) for s in group])
-
-        arrays.append(F.flatten(F.transform(found, tag)))
+        arrays.append(F.flatten(F.transform(found, _tagger(group))))
     return F.flatten(F.array(*arrays)) if arrays else F.array().cast(CANDIDATE)
+
+
+def _tagger(group: list[Scan]):
+    """A span as one candidate of each scan of a group."""
+
+    def tag(x: Column) -> Column:
+        return F.array(*[F.struct(F.lit(s.ordinal).alias("ordinal"), F.lit(s.entity_type).alias("entity_type"), F.lit(s.score).alias("score"), x["start"].alias("start"), x["end"].alias("end")) for s in group])
+
+    return tag

@@ -60,7 +60,7 @@ def valid_medicare(text: Column) -> Column:
 
 def valid_card(text: Column) -> Column:
     d = bare(text, r"[\s-]+")
-    return F.when(d.rlike("^[0-9]{13,19}$"), F.luhn_check(d)).otherwise(False)
+    return F.when(d.rlike("^[0-9]{13,19}$"), F.call_function("luhn_check", d)).otherwise(False)
 
 
 def phone_kind(text: Column) -> Column:

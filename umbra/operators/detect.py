@@ -17,6 +17,8 @@ from umbra.functions.spans import candidates, clean
 
 #: The year that date checks count from unless a caller says otherwise.
 AS_OF_YEAR = 2024
+#: Scans up to which they run inside the plan.
+FEW = 16
 ENTITIES = ["entity_type", "start", "end", "text", "score"]
 
 
@@ -133,15 +135,19 @@ def suggested(entities: DataFrame) -> DataFrame:
     return entities.withColumn("suggested", F.when(best.score > 0, best.kind))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "native") -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto") -> DataFrame:
     """(key, entity_type, start, end, text, score) of every entity; start and end count code points, end exclusive.
 
     extra: candidates of another source, such as a named-entity model, with scanned()'s columns. engine: "native" for
-    Catalyst scans, "arrow" for Python's regexes over Arrow batches, which custom patterns may need.
+    Catalyst scans, "arrow" for Python's regexes over Arrow batches; "auto" takes the first for few scans, as it needs no
+    Python worker, and the second for many or for patterns that the in-plan form can't take: it is the faster one then.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("Threshold must be between 0 and 1.0")
     catalogue = catalogue or Catalogue()
+    if engine == "auto":
+        scans = catalogue.scans(active, threshold, adjust)
+        engine = "native" if len(scans) <= FEW and all(C.terminal_group(s.regex) for s in scans) else "arrow"
     if engine == "arrow":
         from umbra.operators.arrow import scanned as by_arrow
 

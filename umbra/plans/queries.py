@@ -205,9 +205,9 @@ def detect_pages(spark, sf_dir):
     return detect(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
-@query("detect_arrow", f'{_DETECT} SELECT doc_id, entity_type, "start", "end", text, score FROM entities')
-def detect_arrow(spark, sf_dir):
-    return detect(claims(spark, sf_dir), active=set(PLAIN), engine="arrow")
+@query("detect_native", f'{_DETECT} SELECT doc_id, entity_type, "start", "end", text, score FROM entities')
+def detect_native(spark, sf_dir):
+    return detect(claims(spark, sf_dir), active=set(PLAIN), engine="native")
 
 
 _STRICT = ["EMAIL_ADDRESS", "AU_PHONE", "CREDIT_CARD"]
