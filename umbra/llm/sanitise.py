@@ -212,7 +212,8 @@ def digested(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     line = lambda x: F.concat_ws(":", F.element_at(name, x.kind + 1), x.start.cast("string"), x.end.cast("string"))
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"))))
     only = lambda f: F.array_join(F.transform(F.filter(ordered, f), line), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(5)]
+    number = lambda k: F.size(F.filter("spans", lambda x: x.kind == k)).cast("long").alias(f"n_{KINDS[k]}")
+    counts = [number(k) for k in range(5)]
     return spans.select(key, *counts[:4], F.sha2(only(lambda x: x.kind < 4), 256).alias("base_sha256"), only(lambda x: x.kind >= 0).alias("spans"), counts[4])
 
 
