@@ -334,7 +334,7 @@ def char_f1(spark, sf_dir):
     return report.char_scores(*_gold(spark, sf_dir))
 
 
-@query("fp_fn_runs", f"{_GOLD}, w AS (SELECT 'fp' AS kind, * FROM (SELECT * FROM fc EXCEPT SELECT * FROM gc) UNION ALL SELECT 'fn', * FROM (SELECT * FROM gc EXCEPT SELECT * FROM fc)), r AS (SELECT *, at - row_number() OVER (PARTITION BY kind, doc_id, label ORDER BY at) AS run FROM w) SELECT label, kind, doc_id, CAST(min(at) AS INT) AS \"start\", CAST(max(at) + 1 AS INT) AS \"end\", CAST(max(at) + 1 - min(at) AS INT) AS length FROM r GROUP BY label, kind, doc_id, run")
+@query("fp_fn_runs", f"{_GOLD}, w AS (SELECT 'fp' AS kind, * FROM (SELECT * FROM fc EXCEPT SELECT * FROM gc) UNION ALL SELECT 'fn', * FROM (SELECT * FROM gc EXCEPT SELECT * FROM fc)), r AS (SELECT *, \"at\" - row_number() OVER (PARTITION BY kind, doc_id, label ORDER BY \"at\") AS run FROM w) SELECT label, kind, doc_id, CAST(min(\"at\") AS INT) AS \"start\", CAST(max(\"at\") + 1 AS INT) AS \"end\", CAST(max(\"at\") + 1 - min(\"at\") AS INT) AS length FROM r GROUP BY label, kind, doc_id, run")
 def fp_fn_runs(spark, sf_dir):
     return report.error_runs(*_gold(spark, sf_dir))
 
