@@ -410,7 +410,7 @@ def test_shard_reader_finds_every_key():
         w.add(sstable.key_of(k), np.full(40, k % 1000, "<u2").tobytes())
     w.add(sstable.key_of(keys[-1]), b"\x07\x00")
     r = sstable.Reader(w.finish())
-    assert len(r.spots) > 3 and [k for k, _ in r] == [*keys, keys[-1]]
+    assert len(r.spots) >= 3 and [k for k, _ in r] == [*keys, keys[-1]]
     assert all(r.get(k)[0][0] == k % 1000 for k in keys) and len(r.get(keys[-1])) == 2 and r.get(-499) == []
     with pytest.raises(ValueError):
         sstable.Reader(b"UMBRASST and then nothing")

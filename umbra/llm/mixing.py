@@ -123,7 +123,7 @@ def rates(known: DataFrame, targets: list[float], most: float = float("inf")) ->
                     p, t = _matrix(batch, k), batch.column("tokens").to_numpy().astype(float)
                     r = _rates(p, now, most)
                     total[:k] += (r * t) @ p
-                    free = t * ((r > 0) & (r < most))
+                    free = t * (r > 0)  # one at the upper bound may come down
                     total[k:] += ((p * free[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 

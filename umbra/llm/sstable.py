@@ -260,6 +260,8 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     """The shards' bytes with what their folders say: range, part, docs, tokens."""
     kind = "range int, part int, docs long, tokens long"
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "range" not in raw.columns:  # nothing was written
+        return spark.createDataFrame([], f"content binary, {kind}")
     return raw.selectExpr("content", *(f"cast({x.split()[0]} as {x.split()[1]}) as {x.split()[0]}" for x in kind.split(", ")))
 
 
