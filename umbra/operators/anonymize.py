@@ -101,8 +101,8 @@ def spliced(text: Column, items: Column) -> Column:
 
 def anonymize(docs: DataFrame, entities: DataFrame, operators: dict[str, Operator] | None = None, key: str = "doc_id", text: str = "text", bracket: int = 5, keep_postcode: bool = True, priority: dict[str, int] | None = None, as_of: datetime.date = AS_OF) -> DataFrame:
     """docs' rows as (key, text rewritten, items by descending start). A null text stays null, without items."""
-    grouped = entities.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
-    joined = docs.select(key, text).join(grouped, F.col(key) == F.col("__key"), "left")
+    grouped = entities.groupBy(F.col(key).alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
+    joined = docs.select(key, text).join(grouped, F.col(key) == F.col("__of"), "left")
     items = folded(items_of(F.coalesce("__entities", F.array().cast("array<struct<start:int,end:int,entity_type:string,text:string,score:double>>")), operators or {}, bracket, keep_postcode, as_of), priority)
     last_first = F.array_sort(items, lambda a, b: b.start - a.start)
     out = joined.select(key, F.col(text).alias("__said"), last_first.alias("items"))
