@@ -192,8 +192,8 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     if telling.isEmpty():
         return base_rows.select(F.col("id").alias(key), "spans")
     by_doc = near.join(telling.select("e", "t"), ["e", "t"]).groupBy("id", "digest").agg(F.collect_set("t").alias("terms"))
-    ids = by_doc.toDF("id_", "digest_", "terms")
-    asked = rows.dropDuplicates(["id", "text"]).join(ids, F.col("id").eqNullSafe(F.col("id_"))).select("id", F.col("digest_").alias("digest"), "text", "terms")
+    ids = written(by_doc.toDF("id_", "digest_", "terms"), "asked")  # its size is known: texts are shuffled only where it's large
+    asked = rows.join(ids, F.col("id").eqNullSafe(F.col("id_"))).select("id", F.col("digest_").alias("digest"), "text", "terms").dropDuplicates(["id", "text"])
     added = asked.mapInArrow(_only_same, f"id {id_type}, digest long, text string, terms array<string>").mapInArrow(_occurrences, f"id {id_type}, digest long, added {_SPANS}")
     out = base_rows.join(added.toDF("id_", "digest_", "added"), both, "left")
     return out.select(F.col("id").alias(key), F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
