@@ -88,6 +88,19 @@ def test_large_group_of_near_copies(spark):
     assert got == classes({i: shingles(t, 5) for i, t in enumerate(texts)})
 
 
+def test_large_buckets_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "PER_MEMBER", 0)  # every bucket counts as large
+    monkeypatch.setattr(setsketch, "SLICE", 40, raising=False)
+    rng = random.Random(15)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for i in range(120):  # pairs just over the threshold, all from one text and so in the same buckets
+        ws = [f"v{i}x{k}" if k in cut else w for cut in [set(rng.sample(range(300), 20))] for k, w in enumerate(base)]
+        twin = [f"t{i}x{k}" if k in cut else w for cut in [set(rng.sample(range(300), 33))] for k, w in enumerate(ws)]
+        texts += [" ".join(ws), " ".join(twin)]
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(documents(spark, texts), width=1).collect()}
+    assert got == classes({i: shingles(t, 1) for i, t in enumerate(texts)})
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 3000, np.uint64), rng.integers(0, 2**63, 1000, np.uint64)

@@ -8,8 +8,9 @@ Jaccard similarity to within 0.0003.
 Plan. Texts with one and the same set are grouped by a 128-bit digest first, so that thousands of copies are one set.
 Bands of registers give candidate buckets. Pairs never come from all pairs of a bucket: each bucket pairs its members
 with one pivot, verified links are contracted to components, and only what still crosses components goes on. Buckets
-whose crossing pairs would exceed a multiple of their members are dealt anew by further registers. What remains at
-the end is paired with one pivot after another until nothing crosses, so no bucket is cut off.
+whose crossing pairs would exceed a multiple of their members are compared slice by slice, each slice of members with
+all others, and links are contracted after each slice. Every pair of a bucket is compared or already connected at the
+end, so no bucket is cut off.
 A pair is first judged by the joint maximum-likelihood estimate from registers and set sizes; survivors are
 compared exactly on their full sets.
 """
@@ -34,10 +35,10 @@ ROWS, BANDS = 7, 36
 REGISTERS = ROWS * BANDS
 #: A pair goes on to exact comparison unless its estimate lies this many standard errors under the threshold.
 ERRORS = 4.0
-#: A bucket's crossing pairs are listed while they're at most so many a member; else it is dealt anew.
+#: A bucket's crossing pairs are listed at once while they're at most so many a member; else slice by slice.
 PER_MEMBER = 32
-#: For each band, the bands after it whose registers deal a large bucket anew.
-NEXT = 8
+#: Members of the largest bucket that are compared with the whole bucket in one turn, about.
+SLICE = 256
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -99,17 +100,6 @@ def _bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 1 + k * size, size)) for k in range(BANDS)])
 
 
-def _finer(depth: int) -> Column:
-    """For a row of bucket (key, band): keys that add the registers of one of the next bands, further on with depth."""
-    size = 2 * ROWS
-
-    def one(k: int) -> Column:
-        band = F.pmod(F.col("band") + F.lit(1 + k + NEXT * depth), F.lit(BANDS))
-        return F.struct(F.xxhash64(F.col("key"), F.substring(F.col("regs"), band * size + 1, F.lit(size))).alias("key"), F.col("band"))
-
-    return F.array(*[one(k) for k in range(NEXT)])
-
-
 def _near(threshold: float):
     """Pairs whose estimate doesn't rule them out."""
     least = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
@@ -211,28 +201,31 @@ class _Search:
                 return
             self.verify(self.star(now, turn))
         now = self.crossing(rows)
-        for depth in range(3):
-            few = now.where(F.col("pairs") <= PER_MEMBER * F.col("members"))
-            many = now.where(F.col("pairs") > PER_MEMBER * F.col("members"))
-            left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-            right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-            listed = left.join(right, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-            self.verify(listed)
-            if many.isEmpty():
-                drop(now)
-                return
-            finer = many.join(self.reps.select("id", "regs"), "id").select("id", F.explode(_finer(depth)).alias("x")).select("id", "x.key", "x.band").distinct()
-            old, now = now, self.crossing(finer)
-            drop(old)
-        turn = 2
-        while not now.isEmpty():  # the exact way for the rest: each turn finishes a pivot for good
-            pick = F.xxhash64(F.col("id"), F.lit(turn))
-            pivot = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), pick).alias("pivot"))
-            self.verify(self.star(now, turn))
-            rest = now.join(pivot, "key").where("id <> pivot.id").select("id", "key", "band")
-            old, now = now, self.crossing(rest)
+        few = now.where(F.col("pairs") <= PER_MEMBER * F.col("members"))
+        self.verify(self.listed(few, few))
+        large = now.where(F.col("pairs") > PER_MEMBER * F.col("members")).select("id", "key", "band")
+        if large.isEmpty():
+            drop(now)
+            return
+        old, now = now, self.crossing(large)
+        drop(old)
+        if now.isEmpty():
+            return
+        # every pair is compared once, in the turn of the lesser slice of its two ids, unless links found before join them
+        turns = -(-now.agg(F.max("members").alias("n")).first()["n"] // SLICE)
+        part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(turns))
+        for turn in range(turns):
+            self.verify(self.listed(now.where(part == turn), now))
+            old, now = now, self.crossing(now.where(part > turn).select("id", "key", "band"))
             drop(old)
-            turn += 1
+            if now.isEmpty():
+                return
+
+    def listed(self, some: DataFrame, rows: DataFrame) -> DataFrame:
+        """Distinct crossing pairs of some of a bucket's rows with all of its rows."""
+        left = some.select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
+        right = rows.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
+        return left.join(right, "key").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
