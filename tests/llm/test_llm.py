@@ -383,6 +383,23 @@ def test_secret_forest(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_unquoted_secrets_are_found(spark):
+    rng = random.Random(16)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "api_key={}\nnext=1", "export GITHUB_TOKEN={}", "see https://x.example.com/?page=2&token={}&a=b", "clientSecretNumber2={}"]
+    keys = [key() for _ in range(100)]
+    texts = [forms[i % 5].format(k) for i, k in enumerate(keys)] + [f"see commit {key()} for more" for _ in range(80)]
+    found = secrets.scan(documents(spark, texts)).collect()
+    held = {(r.doc_id, r.candidate): r.predicted for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    for i, k in enumerate(keys):
+        at = texts[i].index(k)
+        assert (i, at, at + 40, k) in {(r.doc_id, r.start, r.end, r.candidate) for r in found}
+        assert held.get((i, k), 1) == 1
+    assert all(p == 0 for (i, _), p in held.items() if i >= 100) and len(held) > 20
+    padded = secrets.candidates(documents(spark, ["token: QWxhZGRpbjpvcGVuIHNlc2FtZTE==", "a=QWxhZGRpbjpvcGVuIHNlc2FtZTE=\n"])).collect()
+    assert sorted(r.candidate for r in padded) == ["QWxhZGRpbjpvcGVuIHNlc2FtZTE=", "QWxhZGRpbjpvcGVuIHNlc2FtZTE=="]
+
+
 def test_token_shards_round_trip(spark, corpus, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z+/_-]*[a-z][A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z+/_-]*[a-z][A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])"
 #: Characters of text kept on either side of a candidate.
 BESIDE = 48
 #: Labelled findings that a fit takes at most, those of the smallest hash.
@@ -32,15 +32,15 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     Texts are scanned whole. Null and empty texts have none; repeated rows give repeated rows; a null path is empty.
     """
     said = F.translate(F.col(text), _OPEN + _SHUT, "??")
-    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(key).alias(key), (F.coalesce(path, F.lit("")) if path else F.lit("")).alias("path"), F.split(F.regexp_replace(said, CANDIDATE, f"{_OPEN}$0{_SHUT}"), _OPEN).alias("parts"))
+    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(key).alias(key), (F.coalesce(path, F.lit("")) if path else F.lit("")).alias("path"), said.alias("said"), F.split(F.regexp_replace(said, CANDIDATE, f"{_OPEN}$0{_SHUT}"), _OPEN).alias("parts"))
     rows = rows.withColumn("ends", F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(F.replace(p, F.lit(_SHUT), F.lit("")))))))
     each = F.transform(
         F.sequence(F.lit(2), F.size("parts")),
         lambda i: F.struct(
             F.element_at("ends", i).alias("start"),
             F.substring_index(F.element_at("parts", i), _SHUT, 1).alias("candidate"),
-            F.right(F.substring_index(F.element_at("parts", i - 1), _SHUT, -1), F.lit(BESIDE)).alias("before"),
             F.left(F.substring_index(F.element_at("parts", i), _SHUT, -1), F.lit(BESIDE)).alias("after"),
+            F.substring("said", F.greatest(F.element_at("ends", i) - BESIDE, F.lit(0)) + 1, F.least(F.element_at("ends", i), F.lit(BESIDE))).alias("before"),  # a name before = may be a candidate too
         ),
     )
     rows = rows.where(F.size("parts") > 1).select(key, "path", F.explode(each).alias("c")).select(key, "path", "c.*")
@@ -95,8 +95,9 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | float) ->
 
 
 def weak_label() -> Column:
-    """Labels for findings nobody has judged: a secret is quoted, assigned to a credential's name and no example."""
-    real = (F.col("quoted") == 1) & (F.col("assigned") == 1) & (F.col("key_word") == 1) & (F.col("digest_word") == 0) & (F.col("coverage") < 0.3) & (F.col("repeats") == 0)
+    """Labels for findings nobody has judged: a secret is assigned to a credential's name, quoted or right after its =, and no example."""
+    bare = F.col("before").rlike("(?i)(secret|token|passw|api[_-]?key|auth|credential|private)[A-Za-z0-9_-]*=$")
+    real = ((F.col("quoted") == 1) | bare) & (F.col("assigned") == 1) & (F.col("key_word") == 1) & (F.col("digest_word") == 0) & (F.col("coverage") < 0.3) & (F.col("repeats") == 0)
     return real.cast("int")
 
 
