@@ -279,6 +279,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert "[PLACE]" in new[0] and "[EMAIL]" in new[0] and "ann@" not in new[0] and new[10] == docs.where("doc_id = 10").first().text and new[45] is None
 
 
+def test_terms_count_every_line_and_lines_beside(spark):
+    rng = random.Random(17)
+    one = "\n".join(f"{prose(rng, 3)} zanzibarian\n{k} ann@x.example.com" for k in range(4)) + "\nann@x.example.com"
+    docs = documents(spark, [one, "mail bob@y.example.com about ruritania", *(prose(rng, 30) for _ in range(40))])
+    got = {r.doc_id: r for r in sanitise.found(docs).collect()}
+    said = lambda i, t: {t[s.start : s.end] for s in got[i].spans if s.kind == 4}
+    assert "zanzibarian" in said(0, one) and "ruritania" in said(1, "mail bob@y.example.com about ruritania")
+    again = [f"{w} carl@z.example.com {k}" for k, w in enumerate(["seldom", "seldom", "other", "another"])]
+    got = {r.doc_id: r for r in sanitise.found(documents(spark, ["\n".join(f"x {a}\n\n" for a in again), *(prose(rng, 30) for _ in range(40))])).collect()}
+    assert all(s.kind != 4 for s in got[0].spans)  # two lines of four are too few
+
+
 def test_mixing_meets_the_targets(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 50) if i % 4 else " | ".join(prose(rng, 50).split()), "clean" if i % 4 else "low") for i in range(400)]

@@ -2,15 +2,16 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each value found is a protected entity e. From
 the lines around entities, corpus co-occurrence says how much a term t reveals e: PMI(t, e) = log p(e|t) / p(e),
-against the entity's information IC(e) = -log p(e). A term with PMI >= threshold * IC in at least SUPPORT different
-lines is a disclosing term: in documents that name e it is generalised by a given table, or removed.
+against the entity's information IC(e) = -log p(e). A term with PMI >= threshold * IC beside e on at least SUPPORT
+different lines, or on all lines of an entity that has fewer, is a disclosing term: in documents that name e it is
+generalised by a given table, or removed. Lines count over all documents and within each; probabilities are of documents.
 Counts of a term are over all documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from umbra.llm.kernels import slices
 from umbra.llm.shared import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Share of an entity's information from which a term discloses it; different lines that must show it; words on either side.
+#: Share of an entity's information from which a term discloses it; different lines that must show it, as far as the entity has them; words on either side.
 THRESHOLD, SUPPORT, WINDOW = 0.8, 3, 10
 FLUSH = 400_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,14 +86,16 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 
 def around(text: str, span: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> tuple[int, set[str]]:
-    """Hash of the line that holds the span, and the terms at most WINDOW words away on that line, outside all spans."""
-    lo, hi = text.rfind("\n", 0, span[0]) + 1, text.find("\n", span[1])
+    """Hash of the line that holds the span, and the terms at most WINDOW words away on it and the lines beside it, outside all spans."""
+    first, last = text.rfind("\n", 0, span[0]) + 1, text.find("\n", span[1])
+    last = len(text) if last < 0 else last
+    lo, hi = text.rfind("\n", 0, max(first - 1, 0)) + 1, text.find("\n", last + 1)
     hi = len(text) if hi < 0 else hi
     # one term has 3 letters or more; far more than WINDOW words are never needed
     words = [m for m in _WORD.finditer(text, lo, hi) if not any(a < m.end() and m.start() < b for a, b, _ in spans)] if len(spans) < 50 else _outside(text, lo, hi, spans)
     before = [m.group().lower() for m in words if m.end() <= span[0]][-WINDOW:]
     after = [m.group().lower() for m in words if m.start() >= span[1]][:WINDOW]
-    return xxhash.xxh64_intdigest(text[lo:hi].encode("utf-8", "replace")) - (1 << 63), {*before, *after}
+    return xxhash.xxh64_intdigest(text[first:last].encode("utf-8", "replace")) - (1 << 63), {*before, *after}
 
 
 def _outside(text: str, lo: int, hi: int, spans: list[tuple[int, int, int]]) -> list[re.Match]:
@@ -107,7 +110,7 @@ def _outside(text: str, lo: int, hi: int, spans: list[tuple[int, int, int]]) ->
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: id, digest, base spans; and for rows with spans (entity, term, line) triples as parallel lists."""
+    """Per row: id, digest, base spans; and for rows with spans (entity, term, different lines); the empty term has all lines of the entity."""
     for batch in batches:
         for part in slices(batch, "text"):
             digests, spans, triples = [], [], []
@@ -116,16 +119,15 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got = base(text)
                 digests.append(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) if got else 0)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in got])
-                near: dict[tuple[str, str], int] = {}
+                near: dict[tuple[str, str], set[int]] = defaultdict(set)
                 for s in got:
                     line, terms = around(text, s, got)
                     e = entity(text, s)
-                    for t in terms:
-                        near.setdefault((e, t), line)
-                    near.setdefault((e, ""), line)
-                triples.append([{"e": e, "t": t, "line": line} for (e, t), line in near.items()])
+                    for t in (*terms, ""):
+                        near[e, t].add(line)
+                triples.append([{"e": e, "t": t, "lines": [*lines]} for (e, t), lines in near.items()])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(digests, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))), pa.array(triples, pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("line", pa.int64())])))],
+                [part.column("id"), pa.array(digests, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))), pa.array(triples, pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("lines", pa.list_(pa.int64()))])))],
                 names=["id", "digest", "spans", "near"],
             )
 
@@ -163,15 +165,16 @@ _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
 def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(e, t, rho): the terms that give an entity away, from (id, digest, e, t, line) rows and all documents."""
-    pairs = near.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.count_distinct("line").alias("lines"))
-    terms = written(pairs.where(F.col("lines") >= support).where("t <> ''"), "terms")
+    """(e, t, rho): the terms that give an entity away, from (id, digest, e, t, lines) rows and all documents."""
+    each = near.select("e", "t", F.posexplode("lines").alias("k", "line"))
+    pairs = written(each.groupBy("e", "t").agg(F.count_if(F.col("k") == 0).alias("n_et"), F.count_distinct("line").alias("lines")), "pairs")
+    known = pairs.where("t = ''").select("e", F.col("n_et").alias("n_e"), F.least("lines", F.lit(support)).alias("least"))
+    terms = written(pairs.where("t <> ''").join(known, "e").where(F.col("lines") >= F.col("least")).drop("least"), "terms")
     if terms.isEmpty():
         return terms.select("e", "t", F.lit(0.0).alias("rho"))
     total = docs.count()
-    known = pairs.where("t = ''").select("e", F.col("n_et").alias("n_e"))
     counts = docs.select("text").mapInArrow(_documents, "t string, n long").join(F.broadcast(terms.select("t").distinct()) if terms.count() <= 100_000 else terms.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
-    all_ = terms.join(known, "e").join(counts, "t")
+    all_ = terms.join(counts, "t")
     information = F.greatest(-F.log(F.col("n_e") / F.lit(total)), F.lit(1e-9))
     pmi = F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) + information
     return all_.select("e", "t", (pmi / information).alias("rho")).where(F.col("rho") >= threshold)
@@ -185,7 +188,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = rows.schema[0].dataType.simpleString()
-    base_rows = written(rows.mapInArrow(_found, f"id {id_type}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,line:bigint>>"), "spans")
+    base_rows = written(rows.mapInArrow(_found, f"id {id_type}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,lines:array<bigint>>>"), "spans")
     near = base_rows.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*")
     telling = written(disclosing(rows, near, threshold, support), "telling")
     both = F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
@@ -222,7 +225,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", general:
     term, or [REMOVED]. A span that overlaps an earlier one is covered by it. Null texts stay null. Rows of one key
     share their disclosing terms."""
     table, rows = general or {}, docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    first = rows.mapInArrow(_found, f"id {rows.schema[0].dataType.simpleString()}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,line:bigint>>")
+    first = rows.mapInArrow(_found, f"id {rows.schema[0].dataType.simpleString()}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,lines:array<bigint>>>")
     near = written(first.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*"), "near")
     telling = written(disclosing(rows, near, threshold, support), "telling")
     terms = near.join(telling.select("e", "t"), ["e", "t"]).groupBy("id").agg(F.collect_set("t").alias("__terms")).withColumnRenamed("id", "__id")
