@@ -291,6 +291,16 @@ def test_terms_count_every_line_and_lines_beside(spark):
     assert all(s.kind != 4 for s in got[0].spans)  # two lines of four are too few
 
 
+def test_terms_go_from_every_document_that_names_the_entity(spark):
+    rng = random.Random(18)
+    far = f"ann@x.example.com\n{prose(rng, 40)}\n{prose(rng, 2)} Zanzibarian\n{prose(rng, 40)}"
+    docs = documents(spark, [f"{prose(rng, 4)} zanzibarian {prose(rng, 3)} ann@x.example.com" for _ in range(5)] + [far, "zanzibarian alone"] + [prose(rng, 30) for _ in range(40)])
+    got = {r.doc_id: r.n_term for r in sanitise.digested(sanitise.found(docs)).collect()}
+    assert [got[i] for i in range(7)] == [1] * 6 + [0]
+    new = {r.doc_id: r.text for r in sanitise.sanitise(docs, general={"zanzibarian": "[PLACE]"}).collect()}
+    assert "[PLACE]" in new[5] and "anzibarian" not in new[5] and new[6] == "zanzibarian alone"
+
+
 def test_mixing_meets_the_targets(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 50) if i % 4 else " | ".join(prose(rng, 50).split()), "clean" if i % 4 else "low") for i in range(400)]

@@ -110,15 +110,16 @@ def _outside(text: str, lo: int, hi: int, spans: list[tuple[int, int, int]]) ->
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: id, digest, base spans; and for rows with spans (entity, term, different lines); the empty term has all lines of the entity."""
+    """Per row: id, digest, base spans, the text of rows with spans; and for rows with spans (entity, term, different lines); the empty term has all lines of the entity."""
     for batch in batches:
         for part in slices(batch, "text"):
-            digests, spans, triples = [], [], []
+            digests, spans, triples, said = [], [], [], []
             for text in part.column("text").to_pylist():
                 text = text or ""
                 got = base(text)
                 digests.append(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) if got else 0)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in got])
+                said.append(text if got else None)
                 near: dict[tuple[str, str], set[int]] = defaultdict(set)
                 for s in got:
                     line, terms = around(text, s, got)
@@ -127,8 +128,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         near[e, t].add(line)
                 triples.append([{"e": e, "t": t, "lines": [*lines]} for (e, t), lines in near.items()])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(digests, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))), pa.array(triples, pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("lines", pa.list_(pa.int64()))])))],
-                names=["id", "digest", "spans", "near"],
+                [part.column("id"), pa.array(digests, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))), pa.array(triples, pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("lines", pa.list_(pa.int64()))]))), pa.array(said, pa.string())],
+                names=["id", "digest", "spans", "near", "text"],
             )
 
 
@@ -173,13 +174,19 @@ def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD, s
     if terms.isEmpty():
         return terms.select("e", "t", F.lit(0.0).alias("rho"))
     total = docs.count()
-    counts = docs.select("text").mapInArrow(_documents, "t string, n long").join(F.broadcast(terms.select("t").distinct()) if terms.count() <= 100_000 else terms.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
+    wanted = written(terms.select("t").distinct(), "wanted")
+    counts = docs.select("text").mapInArrow(_documents, "t string, n long").join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
     all_ = terms.join(counts, "t")
     information = F.greatest(-F.log(F.col("n_e") / F.lit(total)), F.lit(1e-9))
     pmi = F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) + information
     return all_.select("e", "t", (pmi / information).alias("rho")).where(F.col("rho") >= threshold)
 
 
+def naming(near: DataFrame, telling: DataFrame) -> DataFrame:
+    """(e, id, digest, t): the disclosing terms of every entity that a document names, wherever the terms stand in it."""
+    return near.where("t = ''").select("e", "id", "digest").join(telling.select("e", "t"), "e")
+
+
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """One row per row of docs: key, spans (start, end, kind number; code points), base ones and those the method adds.
 
@@ -188,27 +195,21 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = rows.schema[0].dataType.simpleString()
-    base_rows = written(rows.mapInArrow(_found, f"id {id_type}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,lines:array<bigint>>>"), "spans")
+    base_rows = written(rows.mapInArrow(_found, f"id {id_type}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,lines:array<bigint>>>, text string"), "spans")
     near = base_rows.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*")
     telling = written(disclosing(rows, near, threshold, support), "telling")
     both = F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
     if telling.isEmpty():
         return base_rows.select(F.col("id").alias(key), "spans")
-    by_doc = near.join(telling.select("e", "t"), ["e", "t"]).groupBy("id", "digest").agg(F.collect_set("t").alias("terms"))
-    ids = written(by_doc.toDF("id_", "digest_", "terms"), "asked")  # its size is known: texts are shuffled only where it's large
-    asked = rows.join(ids, F.col("id").eqNullSafe(F.col("id_"))).select("id", F.col("digest_").alias("digest"), "text", "terms").dropDuplicates(["id", "text"])
-    added = asked.mapInArrow(_only_same, f"id {id_type}, digest long, text string, terms array<string>").mapInArrow(_occurrences, f"id {id_type}, digest long, added {_SPANS}")
+    by_doc = naming(near, telling).groupBy("id", "digest").agg(F.collect_set("t").alias("terms"))
+    ids = by_doc.toDF("id_", "digest_", "terms")
+    # only texts that name an entity are shuffled
+    asked = base_rows.where("size(near) > 0").select("id", "digest", "text").join(ids, both).select("id", "digest", "text", "terms").dropDuplicates(["id", "digest"])
+    added = asked.mapInArrow(_occurrences, f"id {id_type}, digest long, added {_SPANS}")
     out = base_rows.join(added.toDF("id_", "digest_", "added"), both, "left")
     return out.select(F.col("id").alias(key), F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
 
 
-def _only_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that share an id, those whose text has the digest asked for."""
-    for batch in batches:
-        same = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace")) - (1 << 63) == d for t, d in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(same, pa.bool_()))
-
-
 def digested(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """The contract's columns from found(): counts of each kind, base_sha256, spans as text."""
     name = F.array(*[F.lit(k) for k in KINDS])
@@ -225,10 +226,10 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", general:
     term, or [REMOVED]. A span that overlaps an earlier one is covered by it. Null texts stay null. Rows of one key
     share their disclosing terms."""
     table, rows = general or {}, docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    first = rows.mapInArrow(_found, f"id {rows.schema[0].dataType.simpleString()}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,lines:array<bigint>>>")
+    first = rows.mapInArrow(_found, f"id {rows.schema[0].dataType.simpleString()}, digest long, spans {_SPANS}, near array<struct<e:string,t:string,lines:array<bigint>>>, text string")
     near = written(first.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*"), "near")
     telling = written(disclosing(rows, near, threshold, support), "telling")
-    terms = near.join(telling.select("e", "t"), ["e", "t"]).groupBy("id").agg(F.collect_set("t").alias("__terms")).withColumnRenamed("id", "__id")
+    terms = naming(near, telling).groupBy("id").agg(F.collect_set("t").alias("__terms")).withColumnRenamed("id", "__id")
     joined = docs.join(terms, F.col(key).eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__terms")
     at = joined.columns.index(text)
 
