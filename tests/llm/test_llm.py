@@ -386,6 +386,13 @@ def test_lattice_scores_equal_the_plain_model(spark, corpus, monkeypatch):
     assert twice.where("doc_id = 3").select("score").distinct().count() == 1 and twice.count() == len(texts) + 1
 
 
+def test_lattice_learns_in_two_rounds(spark, corpus):
+    df, file = documents(spark, corpus[:40]), tokenizer_file("piece_bpe_32k.model")
+    learn = (F.col("doc_id") % 7) != 2
+    total = lambda **how: lattice.score(df, learn, file, **how).where("doc_id % 7 = 2").agg(F.sum("score")).first()[0]
+    assert abs(total() - total(rounds=2)) < 1e-6 and total() > total(rounds=1)
+
+
 SECRET = 'call\ntoken = "{}"\nthen go'
 
 

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from umbra.llm.shared import drop, written
 
 START = "▁"
-#: Rounds of expectation maximisation; a second gains 0.3 in log10 of an unseen word and costs as much again.
-ROUNDS = 1
+#: Rounds of expectation maximisation; the second gains 0.3 in log10 of an unseen word and costs as much again.
+ROUNDS = 2
 #: Words of highest count whose scores every task holds; all others meet their scores in a join.
 HEAD = 200_000
 #: Distinct words that a task counts before it passes them on.
