@@ -95,15 +95,35 @@ def folded(items: Column, priority: dict[str, int] | None = None) -> Column:
 
 
 def spliced(text: Column, items: Column) -> Column:
-    """The text with items (last first) written in."""
-    return F.aggregate(items, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e.start), e.replacement, F.substring(acc, e.end + 1, F.char_length(acc))))
+    """The text with items (last first) written in: pieces joined once, or one item after the other where items overlap."""
+    first = F.reverse(items)
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(first, i - 1).end)
+    pieces = F.transform(first, lambda e, i: F.concat(F.substring(text, before(i) + 1, e.start - before(i)), e.replacement))
+    joined = F.concat(F.array_join(pieces, ""), F.substring(text, F.get(items, F.lit(0)).end + 1, F.char_length(text)))
+    overlap = F.exists(F.transform(first, lambda e, i: e.start < before(i)), lambda x: x)
+    one_by_one = F.aggregate(items, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e.start), e.replacement, F.substring(acc, e.end + 1, F.char_length(acc))))
+    return F.when(F.size(items) == 0, text).when(overlap, one_by_one).otherwise(joined)
 
 
 def anonymize(docs: DataFrame, entities: DataFrame, operators: dict[str, Operator] | None = None, key: str = "doc_id", text: str = "text", bracket: int = 5, keep_postcode: bool = True, priority: dict[str, int] | None = None, as_of: datetime.date = AS_OF) -> DataFrame:
-    """docs' rows as (key, text rewritten, items by descending start). A null text stays null, without items."""
-    grouped = entities.groupBy(F.col(key).alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
-    joined = docs.select(key, text).join(grouped, F.col(key) == F.col("__of"), "left")
-    items = folded(items_of(F.coalesce("__entities", F.array().cast("array<struct<start:int,end:int,entity_type:string,text:string,score:double>>")), operators or {}, bracket, keep_postcode, as_of), priority)
+    """docs' rows as (key, text rewritten, items by descending start). A null text stays null, without items.
+
+    Keys may be null or repeat. Entities with text_hash (detect(hashed=True)) go to the rows of their key that have that
+    text; without it to every row of their key whose text has theirs in its place, so that no row gets another's spans.
+    Rows alike in key and text come out alike. Other columns are ignored; empty tables give no rows.
+    """
+    kind = "array<struct<start:int,end:int,entity_type:string,text:string,score:double>>"
+    exact = "text_hash" in entities.columns
+    of = [F.col(key).alias("__of"), *([F.col("text_hash").alias("__of_hash")] if exact else [])]
+    grouped = entities.groupBy(*of).agg(F.array_sort(F.collect_set(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
+    rows = docs.select(F.col(key), F.col(text).alias("__said"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"))
+    same = F.col(key).eqNullSafe(F.col("__of"))
+    joined = rows.join(grouped, same & (F.col("__hash") == F.col("__of_hash")) if exact else same, "left")
+    said = F.col("__said")
+    own = F.filter(F.coalesce("__entities", F.array().cast(kind)), lambda e: said.isNotNull() & (F.substring(said, e.start + 1, e.end - e.start) == e.text))
+    # native scans read three private-use characters as U+FFFD, so their spans may differ in these from the text
+    own = F.coalesce("__entities", F.array().cast(kind)) if exact else own
+    items = folded(items_of(own, operators or {}, bracket, keep_postcode, as_of), priority)
     last_first = F.array_sort(items, lambda a, b: b.start - a.start)
-    out = joined.select(key, F.col(text).alias("__said"), last_first.alias("items"))
+    out = joined.select(key, said.alias("__said"), last_first.alias("items"))
     return out.select(key, spliced(F.col("__said"), F.col("items")).alias(text), "items")

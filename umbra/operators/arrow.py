@@ -12,31 +12,115 @@ from pyspark.sql import functions as F
 from umbra.functions import catalog as C
 from umbra.functions.catalog import Catalogue
 
+#: Letters that match another letter when case is ignored though lower() leaves them apart.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
+_MARKERS = dict.fromkeys((0xE000, 0xE001, 0xE002), "\ufffd")
 SCHEMA = "ordinal int, entity_type string, score double, start int, end int, text string, before string, after string"
 
 
-def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None) -> DataFrame:
-    """The same candidates as umbra.operators.detect.scanned, in the same columns."""
+def clean(text: str) -> str:
+    """The text with the three marker characters replaced, as umbra.functions.spans.clean does."""
+    return text.translate(_MARKERS) if any(chr(c) in text for c in _MARKERS) else text
+
+
+def literals(regex: str, ignore_case: bool = False) -> frozenset[str]:
+    """Strings in lower case of which every match holds at least one; empty where the regex promises none.
+
+    Walks the parsed regex: in a sequence the part whose shortest string is longest decides, of alternatives all count."""
+    found = _needed(re._parser.parse(regex, re.IGNORECASE if ignore_case else 0))  # type: ignore[attr-defined]
+    return frozenset(found or ())
+
+
+def _needed(parsed) -> set[str] | None:
+    options: list[set[str]] = []
+    run = ""
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            options.append({run})
+        run = ""
+
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(value).lower()
+            continue
+        close()
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _needed(value[3])
+        elif name == "BRANCH":
+            parts = [_needed(p) for p in value[1]]
+            inner = set().union(*parts) if all(parts) else None
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            inner = _needed(value[2])
+        elif name == "ATOMIC_GROUP":
+            inner = _needed(value)
+        elif name == "IN" and len(value) <= 3 and all(str(o) == "LITERAL" for o, _ in value):
+            inner = {chr(v).lower() for _, v in value}
+        if inner:
+            options.append(inner)
+    close()
+    # one space or dash tells nothing
+    good = [o for o in options if min(len(x.strip()) for x in o) > 0 and len(o) <= 40]
+    return max(good, key=lambda o: min(len(x) for x in o)) if good else None
+
+
+def needs_digit(regex: str) -> bool:
+    """Whether every match holds a digit, or looks ahead at one."""
+    return _digit_in(re._parser.parse(regex))  # type: ignore[attr-defined]
+
+
+def _digit_in(parsed) -> bool:
+    for op, value in parsed:
+        name = str(op)
+        if name == "IN" and all(str(o) == "CATEGORY" and str(v) == "CATEGORY_DIGIT" or str(o) == "RANGE" and 48 <= v[0] <= v[1] <= 57 or str(o) == "LITERAL" and 48 <= v <= 57 for o, v in value):
+            return True
+        if name == "LITERAL" and 48 <= value <= 57 or name == "SUBPATTERN" and _digit_in(value[3]) or name == "ASSERT" and value[0] == 1 and _digit_in(value[1]):
+            return True
+        if name == "BRANCH" and all(_digit_in(p) for p in value[1]) or name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0 and _digit_in(value[2]):
+            return True
+    return False
+
+
+def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same candidates as umbra.operators.detect.scanned, in the same columns.
+
+    A regex is run over texts only that hold one of the literals which any match of it must hold, found from the regex
+    itself: most of the catalogue is led by words that most texts lack."""
     scans = catalogue.scans(active, threshold, adjust)
     known = sum(len(d.patterns) for d in catalogue.definitions)
-    rows = docs.select(F.col(key), F.col(text).alias("__text"))
-    labels, rows_type = set(C.LABEL_TEXTS), rows.schema[0].dataType.simpleString()
+    rows = docs.select(F.col(key), *carry, F.col(text).alias("__text"))
+    labels, kept = set(C.LABEL_TEXTS), [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][:-1]
 
     def skipped(kind: str, said: str) -> bool:
         low = said.lower()
         return low in labels or (kind == "PERSON" and ("number" in low or low.startswith(("ref", "policy", "claim"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(s, re.compile(s.regex, re.IGNORECASE if s.ignore_case else 0)) for s in scans]
+        compiled = [(s, re.compile(s.regex, re.IGNORECASE if s.ignore_case else 0), literals(s.regex, s.ignore_case), needs_digit(s.regex)) for s in scans]
         digit = re.compile(r"\d")
         for batch in batches:
             keys, found = [], []
-            for i, said in enumerate(batch.column(1).to_pylist()):
-                said = said or ""
-                digits = digit.search(said) is not None
-                for s, rx in compiled:
+            for i, said in enumerate(batch.column(len(kept)).to_pylist()):
+                said = clean(said or "")
+                low, digits, odd = said.lower(), digit.search(said) is not None, _ODD_CASE.search(said) is not None
+                seen: dict[str, bool] = {}
+                for s, rx, needs, numeric in compiled:
+                    if numeric and not digits:
+                        continue
                     if s.gate is not None and not (digits if s.gate == "digit" else s.gate in said):
                         continue
+                    if needs and not odd:
+                        for word in needs:
+                            has = seen.get(word)
+                            if has is None:
+                                has = seen[word] = word in low
+                            if has:
+                                break
+                        else:
+                            continue
                     for m in rx.finditer(said):
                         a, b = m.span(1) if m.lastindex else m.span()
                         if s.ordinal < known and skipped(s.entity_type, said[a:b]):
@@ -44,6 +128,7 @@ def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: st
                         keys.append(i)
                         found.append((s.ordinal, s.entity_type, s.score, a, b, said[a:b], said[max(0, a - C.CONTEXT_WINDOW) : a], said[b : b + C.CONTEXT_WINDOW]))
             types = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array([f[k] for f in found], t) for k, t in enumerate(types))], names=[key, *(x.split()[0] for x in SCHEMA.split(", "))])
+            place = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(place) for k in range(len(kept))), *(pa.array([f[k] for f in found], t) for k, t in enumerate(types))], names=[*batch.schema.names[:-1], *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return rows.mapInArrow(run, f"`{key}` {rows_type}, {SCHEMA}")
+    return rows.mapInArrow(run, f"{', '.join(kept)}, {SCHEMA}")

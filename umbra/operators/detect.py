@@ -2,7 +2,11 @@
 
 docs -> candidate spans of every scan (one narrow pass, no text carried on) -> arbitration between candidates of one
 span -> absorption of spans inside wider ones -> context filter and boost. Only candidates are shuffled, once, by
-document: the window over a span and the fold over a document's winners share that partitioning.
+row: the window over a span and the fold over a row's winners share that partitioning.
+
+A row is told from others by its key, two hashes of its text and the partition it was scanned in, so keys may be null or
+repeat: rows that share a key never see each other's spans. Rows alike in key and text are found alike and each gives its
+entities; many such rows are dealt by the partitions they were scanned in.
 """
 
 from __future__ import annotations
@@ -20,6 +24,14 @@ AS_OF_YEAR = 2024
 #: Scans up to which they run inside the plan.
 FEW = 16
 ENTITIES = ["entity_type", "start", "end", "text", "score"]
+#: What tells a row of documents from others beside its key.
+IDENTITY = ["__hash", "__hash2", "__part"]
+
+
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, IDENTITY) of every row; a null text counts as empty."""
+    said = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key), F.col(text), F.xxhash64(said).alias("__hash"), F.xxhash64(F.lit(1), said).alias("__hash2"), F.spark_partition_id().alias("__part"))
 
 
 def _any(column: Column, patterns: list[str]) -> Column:
@@ -55,13 +67,13 @@ def false_person(text: Column) -> Column:
     )
 
 
-def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None) -> DataFrame:
-    """(key, ordinal, entity_type, score, start, end, text, before, after) of every candidate, before arbitration."""
+def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, ordinal, entity_type, score, start, end, text, before, after) of every candidate, before arbitration."""
     scans = catalogue.scans(active, threshold, adjust)
-    rows = docs.select(F.col(key), clean(F.col(text)).alias("__text"))
+    rows = docs.select(F.col(key), *carry, clean(F.col(text)).alias("__text"))
     found = candidates(F.col("__text"), F.col("__text").rlike(r"\p{Nd}"), scans)
     window = lambda x: F.transform(x, lambda c: F.struct(c.ordinal.alias("ordinal"), c.entity_type.alias("entity_type"), c.score.alias("score"), c.start.alias("start"), c.end.alias("end"), F.substring(F.col("__text"), c.start + 1, c.end - c.start).alias("text"), F.substring(F.col("__text"), F.greatest(c.start - C.CONTEXT_WINDOW, F.lit(0)) + 1, F.least(c.start, F.lit(C.CONTEXT_WINDOW))).alias("before"), F.substring(F.col("__text"), c.end + 1, F.lit(C.CONTEXT_WINDOW)).alias("after")))
-    out = rows.select(key, F.explode(window(found)).alias("c")).select(key, "c.*")
+    out = rows.select(key, *carry, F.explode(window(found)).alias("c")).select(key, *carry, "c.*")
     low = F.lower("text")
     skip = low.isin(*C.LABEL_TEXTS) | ((F.col("entity_type") == "PERSON") & (F.contains(low, F.lit("number")) | low.rlike("^(ref|policy|claim)")))
     catalogued = F.col("ordinal") < sum(len(d.patterns) for d in catalogue.definitions)
@@ -73,39 +85,43 @@ def _labelled() -> Column:
     return _by_type(F.col("entity_type"), {k: [v] for k, v in C.LABEL_BEFORE.items()}, lambda v: _any(before, v))
 
 
-def arbitrated(found: DataFrame, catalogue: Catalogue, key: str = "doc_id", as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True) -> DataFrame:
-    """One winner at most for each span.
+def arbitrated(found: DataFrame, catalogue: Catalogue, by: list[str], as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True) -> DataFrame:
+    """One winner at most for each span of a row (what `by` tells apart), with __copies, how many rows alike gave it.
 
     A lone candidate stays unless it is a false person. Of several: a span that ends like a label goes (strict_suffix);
     date shapes are no organisations or places; a false person gives way to the first other candidate; an explicit label
     before the span decides; else the candidate of highest priority that is valid. Winners must be valid or labelled.
     """
     kinds = F.create_map(*[x for t in sorted({*catalogue.types(), *C.PRIORITY}) for x in (F.lit(t), F.lit(catalogue.effective(t)))])
-    span = Window.partitionBy(key, "start", "end")
+    span = Window.partitionBy(*by, "start", "end")
+    alike = Window.partitionBy(*by, "start", "end", "ordinal")
     text = F.col("text")
-    rows = found.withColumns({"many": F.count("*").over(span) > 1, "fp": false_person(text), "ok": V.valid(F.col("entity_type"), text, as_of_year), "label": _labelled(), "rank": F.coalesce(kinds[F.col("entity_type")], F.lit(float(C.UNLISTED_PRIORITY))) + F.col("score")})
+    rows = found.withColumns({"__copies": F.count("*").over(alike), "__copy": F.row_number().over(alike.orderBy("ordinal"))}).where("__copy = 1").drop("__copy")
+    rows = rows.withColumns({"many": F.count("*").over(span) > 1, "fp": false_person(text), "ok": V.valid(F.col("entity_type"), text, as_of_year), "label": _labelled(), "rank": F.coalesce(kinds[F.col("entity_type")], F.lit(float(C.UNLISTED_PRIORITY))) + F.col("score")})
     if strict_suffix:
         rows = rows.where(~(F.col("many") & F.lower("text").rlike(f"({'|'.join(C.LABEL_SUFFIXES)})$")))
     rows = rows.where(~(F.col("many") & text.rlike(f"(?Ud){C.DATE_SHAPE}") & F.col("entity_type").isin("ORGANIZATION", "LOCATION")))
     rows = rows.withColumns({"person": F.max((F.col("entity_type") == "PERSON") & F.col("fp")).over(span), "named": F.max("label").over(span)})
     person = F.col("entity_type") == "PERSON"
     fits = F.when(~F.col("many"), ~(person & F.col("fp"))).when(F.col("person"), ~person).when(F.col("named"), F.col("label")).otherwise(F.col("ok"))
-    order = Window.partitionBy(key, "start", "end").orderBy(F.when(F.col("person"), 0.0).otherwise(-F.col("rank")), "ordinal")
+    order = span.orderBy(F.when(F.col("person"), 0.0).otherwise(-F.col("rank")), "ordinal")
     first = rows.where(fits).withColumn("place", F.row_number().over(order)).where("place = 1")
-    return first.where(F.col("ok") | F.col("label")).select(key, "ordinal", "entity_type", "start", "end", "text", "score", "before", "after")
+    return first.where(F.col("ok") | F.col("label")).select(*by, "ordinal", "entity_type", "start", "end", "text", "score", "before", "after", "__copies")
 
 
-def absorbed(winners: DataFrame, key: str = "doc_id") -> DataFrame:
+def absorbed(winners: DataFrame, by: list[str]) -> DataFrame:
     """Winners without those inside a wider winner of a trusted type and no lower priority.
 
-    One array of (type, start, end) a document and a filter over it: a range anti-join that needs no join.
+    One array of a row's winners, filtered against the containers among them: a range anti-join that needs no join.
     """
     base = F.create_map(*[x for t, p in C.PRIORITY.items() for x in (F.lit(t), F.lit(p))])
     priority = lambda c: F.coalesce(base[c], F.lit(C.UNLISTED_PRIORITY))
-    whole = Window.partitionBy(key)
-    wide = F.filter(F.collect_list(F.struct("entity_type", "start", "end")).over(whole), lambda o: o.entity_type.isin(*C.CONTAINERS))
-    inside = F.exists("wide", lambda o: (o.start <= F.col("start")) & (F.col("end") <= o.end) & (o.end - o.start > F.col("end") - F.col("start")) & (priority(F.col("entity_type")) <= priority(o.entity_type)))
-    return winners.withColumn("wide", wide).where(F.col("entity_type").isin(*C.NEVER_ABSORBED) | ~inside).drop("wide")
+    each = [c for c in winners.columns if c not in by]
+    rows = winners.groupBy(*by).agg(F.collect_list(F.struct(*each)).alias("all"))
+    rows = rows.withColumn("wide", F.transform(F.filter("all", lambda o: o.entity_type.isin(*C.CONTAINERS)), lambda o: F.struct(o.start.alias("start"), o.end.alias("end"), priority(o.entity_type).alias("rank"))))
+    inside = lambda w: F.exists("wide", lambda o: (o.start <= w.start) & (w.end <= o.end) & (o.end - o.start > w.end - w.start) & (priority(w.entity_type) <= o["rank"]))
+    kept = F.when(F.size("wide") == 0, F.col("all")).otherwise(F.filter("all", lambda w: w.entity_type.isin(*C.NEVER_ABSORBED) | ~inside(w)))
+    return rows.select(*by, F.explode(kept).alias("w")).select(*by, "w.*")
 
 
 def in_context(winners: DataFrame) -> DataFrame:
@@ -135,12 +151,18 @@ def suggested(entities: DataFrame) -> DataFrame:
     return entities.withColumn("suggested", F.when(best.score > 0, best.kind))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto") -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = False) -> DataFrame:
     """(key, entity_type, start, end, text, score) of every entity; start and end count code points, end exclusive.
 
-    extra: candidates of another source, such as a named-entity model, with scanned()'s columns. engine: "native" for
-    Catalyst scans, "arrow" for Python's regexes over Arrow batches; "auto" takes the first for few scans, as it needs no
-    Python worker, and the second for many or for patterns that the in-plan form can't take: it is the faster one then.
+    Keys may be null or repeat (see above); a null text has no entities; rows alike in key and text each give theirs;
+    other columns are ignored, whatever their names; an empty table gives no rows. With hashed, text_hash (xxhash64 of
+    the row's text) follows, which says to anonymize() which of several rows of one key an entity is of.
+
+    extra: candidates of another source, such as a named-entity model, with scanned()'s columns; they are subject to
+    active, adjust and threshold, and hold for those rows of their key whose text has theirs in its place. engine:
+    "native" for Catalyst scans, "arrow" for Python's regexes over Arrow batches; "auto" takes the first for few scans, as
+    it needs no Python worker, and the second for many or for patterns that the in-plan form can't take: it is the faster
+    one then.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("Threshold must be between 0 and 1.0")
@@ -148,13 +170,22 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue:
     if engine == "auto":
         scans = catalogue.scans(active, threshold, adjust)
         engine = "native" if len(scans) <= FEW and all(C.terminal_group(s.regex) for s in scans) else "arrow"
+    rows, carry = identified(docs, key, text), tuple(IDENTITY)
     if engine == "arrow":
         from umbra.operators.arrow import scanned as by_arrow
 
-        found = by_arrow(docs, catalogue, key, text, active, threshold, adjust)
+        found = by_arrow(rows, catalogue, key, text, active, threshold, adjust, carry)
     else:
-        found = scanned(docs, catalogue, key, text, active, threshold, adjust)
+        found = scanned(rows, catalogue, key, text, active, threshold, adjust, carry)
     if extra is not None:
-        found = found.unionByName(extra.where(F.col("score") >= threshold))
-    dealt = found.repartition(F.col(key))
-    return in_context(absorbed(arbitrated(dealt, catalogue, key, as_of_year, strict_suffix), key)).select(key, *ENTITIES)
+        more = F.coalesce(F.create_map(*[F.lit(x) for p in adjust.items() for x in p])[F.col("entity_type")], F.lit(0.0)) if adjust else F.lit(0.0)
+        given = extra.withColumn("score", F.least(F.lit(1.0), F.col("score") + more)).where(F.col("score") >= threshold)
+        given = (given.where(F.col("entity_type").isin(*active)) if active else given).withColumnsRenamed({key: "__of", "text": "__span"})
+        here = F.col(key).eqNullSafe(F.col("__of")) & (F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("__span"))
+        placed = rows.join(given, here).select(key, *carry, "ordinal", "entity_type", "score", "start", "end", F.col("__span").alias("text"), "before", "after")
+        found = found.unionByName(placed)
+    by = [key, *IDENTITY]
+    dealt = found.repartition(*[F.col(c) for c in by])
+    out = in_context(absorbed(arbitrated(dealt, catalogue, by, as_of_year, strict_suffix), by))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return out.select(key, *ENTITIES, *([F.col("__hash").alias("text_hash")] if hashed else []))

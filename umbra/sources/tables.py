@@ -60,48 +60,74 @@ def checked(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"Columns not found: {missing}")
 
 
+ROW = ["__row1", "__row2"]
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """The table with two hashes of each whole row: equal rows are equal work, and nothing depends on how rows are dealt."""
+    every = [F.col(f"`{c}`") for c in df.columns]
+    return df.withColumns({"__row1": F.xxhash64(*every), "__row2": F.xxhash64(F.lit(1), *every)})
+
+
 def numbered(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
-    """The table with a key: the caller's, else a number that holds within one written or cached table."""
+    """The table with a key: the caller's, which may be null or repeat, else row_index, a number of each row."""
     return (df, key) if key else (df.withColumn("row_index", F.monotonically_increasing_id()), "row_index")
 
 
-def stacked(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """(__key, key, column, text) rows of the columns that aren't null."""
+def stacked(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """(__key, text) rows of the columns that aren't null; __key holds the keys and the column's name."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for c in columns])
-    long = df.select(F.col(key), F.explode(pairs).alias("v")).select(key, "v.column", "v.text").where("text is not null")
-    return long.withColumn("__key", F.struct(F.col(key), F.col("column")))
+    long = df.select(*(F.col(f"`{k}`") for k in keys), F.explode(pairs).alias("v")).where("v.text is not null")
+    return long.select(F.struct(*(F.col(f"`{k}`") for k in keys), F.col("v.column").alias("column")).alias("__key"), F.col("v.text").alias("text"))
 
 
 def detect_columns(df: DataFrame, columns: list[str], key: str | None = None, **options: Any) -> DataFrame:
-    """Entities of every text column: key, column, entity_type, start, end, text, score."""
+    """Entities of every text column: key, column, entity_type, start, end, text, score. Keys may be null or repeat."""
     checked(df, columns)
     df, key = numbered(df, key)
-    found = detect(stacked(df, columns, key).select("__key", "text"), "__key", **options)
+    found = detect(stacked(df, columns, [key]), "__key", **options)
     return found.select(F.col(f"__key.{key}").alias(key), "__key.column", "entity_type", "start", "end", "text", "score")
 
 
+def _rewritten(rows: DataFrame, columns: list[str], long: DataFrame, found: DataFrame, operators: dict[str, Operator] | None, options: dict[str, Any]) -> DataFrame:
+    """The hashed rows with their text columns rewritten; found holds the entities of long."""
+    new = anonymize(long, found, operators, "__key", "text", **options)
+    wide = new.groupBy(*(F.col(f"__key.{r}").alias(r) for r in ROW)).agg(*[F.max(F.when(F.col("__key.column") == c, F.col("text"))).alias(f"__new_{i}") for i, c in enumerate(columns)])
+    joined = rows.join(wide, ROW, "left")
+    return joined.select(*[F.col(f"__new_{columns.index(c)}").alias(c) if c in columns else F.col(f"`{c}`") for c in rows.columns if c not in ROW])
+
+
 def anonymize_columns(df: DataFrame, columns: list[str], operators: dict[str, Operator] | None = None, key: str | None = None, detection: dict[str, Any] | None = None, **options: Any) -> DataFrame:
-    """The table with its text columns rewritten, by one detection; nulls stay null."""
+    """The table with its text columns rewritten, by one detection; nulls stay null.
+
+    Rows are told apart by hashes of all their columns, so no key is needed; a given one is ignored, and may be null or
+    repeat. Equal rows come out equal, as many as they were. An empty table stays empty."""
+    del key
     checked(df, columns)
-    keep, (rows, key) = df.columns, numbered(df, key)
-    long = stacked(rows, columns, key).select("__key", "text")
-    new = anonymize(long, detect(long, "__key", **(detection or {})), operators, "__key", "text", **options)
-    wide = new.groupBy(F.col(f"__key.{key}").alias("__row")).agg(*[F.max(F.when(F.col("__key.column") == c, F.col("text"))).alias(f"__new_{i}") for i, c in enumerate(columns)])
-    joined = rows.join(wide, F.col(key) == F.col("__row"), "left")
-    for i, c in enumerate(columns):
-        joined = joined.withColumn(c, F.col(f"__new_{i}"))
-    return joined.select(*keep)
+    rows = hashed(df)
+    long = stacked(rows, columns, ROW)
+    return _rewritten(rows, columns, long, detect(long, "__key", hashed=True, **(detection or {})), operators, options)
 
 
 def process_table(df: DataFrame, columns: list[str], operation: str = "process", operators: dict[str, Operator] | None = None, key: str | None = None, **options: Any) -> dict[str, DataFrame]:
-    """detect: entities; anonymize: table; process: both. Another operation is an error."""
+    """detect: entities; anonymize: table; process: both, by one detection, whose entities are persisted until the caller
+    unpersists "found". Another operation is an error."""
     match operation:
         case "detect":
             return {"entities": detect_columns(df, columns, key, **options)}
         case "anonymize":
             return {"table": anonymize_columns(df, columns, operators, key, options)}
         case "process":
-            return {"entities": detect_columns(df, columns, key, **options), "table": anonymize_columns(df, columns, operators, key, options)}
+            checked(df, columns)
+            rows = hashed(df)
+            long = stacked(rows, columns, ROW)
+            found = detect(long, "__key", hashed=True, **options).persist()
+            said = [F.col(f"__key.{r}").alias(r) for r in ROW] if key is None else []
+            each = found.select(*said, *([F.col("__key.__row1"), F.col("__key.__row2")] if key else []), "__key.column", "entity_type", "start", "end", "text", "score")
+            if key:  # the caller's key instead of the rows' hashes; equal rows gave their entities already
+                of = rows.select(*ROW, F.col(f"`{key}`").alias(key)).dropDuplicates(ROW)
+                each = each.join(of, ROW).select(key, "column", "entity_type", "start", "end", "text", "score")
+            return {"entities": each, "table": _rewritten(rows, columns, long, found, operators, {}), "found": found}
         case _:
             raise ValueError(f"Unknown operation: {operation}")
 
@@ -126,11 +152,14 @@ def process_csv(spark: SparkSession, source: str, target: str, config: Config |
         done["entities"] = None
         df.drop("__file").write.mode("overwrite").option("sep", c.delimiter).csv(target, header=True)
         return done
-    rows = df.withColumn("row_index", F.xxhash64("__file", *[F.col(f"`{x}`") for x in df.columns if x != "__file"]))
+    rows = hashed(df)
+    long = stacked(rows, columns, [*ROW, "__file"])
+    found = detect(long, "__key", hashed=True).persist()
     if c.operation == "anonymize":
-        anonymize_columns(df, columns, c.operators or WHOLE_FILE).drop("__file").write.mode("overwrite").option("sep", c.delimiter).csv(target, header=True)
-    found = detect_columns(rows, columns, "row_index")
-    done["entities"] = found.join(rows.select("row_index", "__file").distinct(), "row_index").groupBy("__file", "entity_type").agg(F.count("*").alias("count"))
+        new = _rewritten(rows, columns, long, found, c.operators or WHOLE_FILE, {})
+        new.drop("__file").write.mode("overwrite").option("sep", c.delimiter).csv(target, header=True)
+    done["entities"] = found.groupBy(F.col("__key.__file").alias("__file"), "entity_type").agg(F.count("*").alias("count"))
+    done["found"] = found
     return done
 
 
@@ -140,8 +169,8 @@ def preview(df: DataFrame, columns: list[str] | None = None, operators: dict[str
     columns = pii_columns(some.drop("row")) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], "row long, `column` string, original string, anonymized string, entities_found int")
-    long = stacked(some, columns, "row").select("__key", "text")
-    new = anonymize(long, detect(long, "__key"), operators or PREVIEW, "__key", "text").withColumnRenamed("text", "new")
+    long = stacked(some, columns, ["row"])
+    new = anonymize(long, detect(long, "__key", hashed=True), operators or PREVIEW, "__key", "text").withColumnRenamed("text", "new")
     shown = lambda x: F.when(F.char_length(x) > 100, F.concat(F.left(x, F.lit(100)), F.lit("..."))).otherwise(F.col(x))
     both = long.join(new, "__key").where("text <> new")
     return both.select("__key.row", "__key.column", shown("text").alias("original"), shown("new").alias("anonymized"), F.size("items").alias("entities_found"))

@@ -30,11 +30,11 @@ def anonymize_stream(rows: DataFrame, target: str, entities: str, checkpoint: st
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
-        found = detect(df, key, text, **detection).persist()
+        found = detect(df, key, text, hashed=True, **detection).persist()
         new = anonymize(df, found, operators, key, text)
         # the batch's number is a folder: a batch that is run again writes over its own rows
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        found.write.mode("overwrite").parquet(f"{entities}/batch={number}")
+        found.drop("text_hash").write.mode("overwrite").parquet(f"{entities}/batch={number}")
         found.unpersist()
         df.unpersist()
 
