@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.features import STATS, statistics
 from umbra.llm.kernels import slices, utf8
-from umbra.llm.shared import bounded_sample
+from umbra.llm.shared import training
 
 BUCKETS, RANK = 1 << 15, 8
 #: Labelled rows that a fit takes at most, those of the smallest key hash.
@@ -99,31 +99,46 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             stats, index, at = statistics(*utf8(part.column("text")), BUCKETS)
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), stats.shape[1]).cast(pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index))],
-                names=["label", "stats", "words"],
+                [part.column("h"), part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), stats.shape[1]).cast(pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index))],
+                names=["h", "label", "stats", "words"],
             )
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = FIT_ROWS) -> Machine:
-    """A machine from at most `rows` rows of (key, text, 0/1 label); rows without a label don't count.
-
-    Without any labelled row the machine scores a half for every text."""
-    some = bounded_sample(labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("double").alias("label")), "key", rows)
-    got = some.select("label", "text").mapInArrow(_featured, "label double, stats array<double>, words array<int>").toArrow()
+def gathered(some: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, word buckets, their offsets and labels of a bounded (key, text, label) table, in an order that doesn't
+    depend on how its rows are dealt. What comes to the driver are numbers, no texts."""
+    rows = some.select(F.xxhash64("key").alias("h"), F.col("label").cast("double").alias("label"), "text")
+    got = rows.mapInArrow(_featured, "h long, label double, stats array<double>, words array<int>").toArrow().sort_by("h")
     if not got.num_rows:
-        size = BUCKETS + len(STATS)
-        return Machine(0.0, np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros(len(STATS)), np.ones(len(STATS)))
+        return np.zeros((0, len(STATS))), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)
     lists = got.column("words").combine_chunks()
     stats = got.column("stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
     at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return train(stats, lists.flatten().to_numpy(zero_copy_only=False), at, got.column("label").to_numpy())
+    return stats, lists.flatten().to_numpy(zero_copy_only=False), at, got.column("label").to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = FIT_ROWS) -> Machine:
+    """A machine from at most `rows` documents that `labels` (key, 0/1 label) names; without `labels`, docs has the label.
+
+    Which rows count says training(). Without any labelled row the machine scores a half for every text."""
+    stats, index, at, y = gathered(training(docs, labels, key, text, label, rows))
+    if not len(y):
+        size = BUCKETS + len(STATS)
+        return Machine(0.0, np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros(len(STATS)), np.ones(len(STATS)))
+    return train(stats, index, at, y)
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Key (and the columns of keep) of every row with its score in 0..1; null is the empty text. No shuffle."""
+    """Key (and the columns of keep) of every row with its score in 0..1. No shuffle.
+
+    Null is the empty text, which has a score like any other; long texts are read whole, a piece at a time; repeated
+    rows each get their (equal) score; an empty table gives no rows. Other columns are ignored; a column of keep that is
+    called score is an error, as the result would have two."""
     model = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size: BUCKETS x (RANK + 1) numbers
     rows = docs.select(F.col(key), *keep, F.col(text).alias("__text"))
     kept = [f for f in rows.schema if f.name != "__text"]
+    if "score" in {f.name for f in kept}:
+        raise ValueError("keep can't hold a column called score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

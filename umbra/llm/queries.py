@@ -20,16 +20,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows that may be learnt from: crc32(doc_id as text) mod 5 is not 0."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(fold("doc_id", 5) != 0)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.where("label is not null").dropDuplicates(["doc_id"]), "doc_id")
+def labels_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label) of the rows of labels that may be learnt from: crc32(doc_id as text) mod 5 is not 0."""
+    return table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col(label).alias("label"))
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, domain): clean or low, by the quality label."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low").alias("domain"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.where("domain is not null").dropDuplicates(["doc_id"]), "doc_id")
+    """(doc_id, domain): clean or low, by the quality label."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low").alias("domain"))
 
 
 def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,15 +37,15 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = machine.fit(labelled(spark, sf_dir, "quality"))
-    out = machine.score(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    out = machine.score(docs, machine.fit(docs, labels_of(spark, sf_dir, "quality")))
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
-    out = toxicity.score(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, labels_of(spark, sf_dir, "toxic")))
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "chance", F.size("passages").alias("n_passages"))
 
 
@@ -58,7 +56,8 @@ def op4_information_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = mixing.mixed(table(spark, sf_dir, "documents"), domains(spark, sf_dir), WEIGHTS)
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mixed(docs, mixing.fit(docs, domains(spark, sf_dir), list(WEIGHTS)), WEIGHTS)
     posterior = [F.round(F.element_at("p", k + 1), 6).alias(f"p_{name}") for k, name in enumerate(WEIGHTS)]
     return out.select("doc_id", "tokens", *posterior, F.round("rate", 6).alias("rate"))
 

@@ -34,9 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it's unset, as in tests, a temporary one that is then set."""
+    """The folder of spark.checkpoint.dir; where it's unset in local mode, as in tests, a temporary one that is then set.
+
+    On a cluster a machine's own folder would be read back in part or not at all, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         folder = f"file://{tempfile.mkdtemp(prefix='umbra-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -71,6 +75,19 @@ def fold(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus), F.lit(0))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most so many rows, those of the smallest key hash: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+def training(docs: DataFrame, labels: DataFrame | None, key: str, text: str, label: str, rows: int) -> DataFrame:
+    """(key, text, label) of at most `rows` labelled documents, those of the smallest key hash, the same on every run.
+
+    The keys are chosen from the labels alone, before any text is read; the chosen ones (a key and a label each) are
+    broadcast into one narrow scan of the texts. Without `labels` the documents hold the label themselves. Of a key's
+    labels the greatest counts, of its texts the least; null keys and null labels don't count, a null text is empty.
+    """
+    marks = (docs if labels is None else labels).select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null")
+    marks = marks.groupBy("key").agg(F.max("label").alias("label"))
+    many = marks.count()
+    place = F.xxhash64("key")
+    if many > 2 * rows:  # so that a partition passes on its share of twice the rows at most, about
+        marks = marks.where(place <= F.lit(int(-(2**63) + 2**64 * (2 * rows / many))))
+    chosen = marks.orderBy(place, "key").limit(rows)
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label")
