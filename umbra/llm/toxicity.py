@@ -2,10 +2,12 @@
 
 Tokens score by the log-odds of toxic against other documents with an informative Dirichlet prior (the corpus counts);
 only tokens whose log-odds stand out keep their value, all others cost a little, and a token's k-th time in a text has
-a k-th of it. Toxic documents count for a token by the words beside it, so that near copies of one document count once. A linear-time scan
-finds every maximal-scoring segment of a text (Ruzzo and Tompa). Scores of segments follow an extreme-value law on
-ordinary text: lambda solves sum p(s) exp(lambda s) = 1 and K comes from the best segments of ordinary texts; segments
-whose chance is below a level are significant, their evidence adds up, and a logistic curve turns it into a probability.
+a k-th of it. Both labels are counted in the same unit, documents, and c near copies (texts of one least word-pair hash)
+count as 1 + log c documents together, so that copies don't make their ordinary words toxic while a passage that stands
+in many different texts is learnt word by word. A linear-time scan finds every maximal-scoring segment of a text (Ruzzo
+and Tompa). Scores of segments follow an extreme-value law on ordinary text: lambda solves sum p(s) exp(lambda s) = 1
+and K comes from the best segments of ordinary texts; segments whose chance is below a level are significant, their
+evidence adds up, and a logistic curve turns it into a probability.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.kernels import slices
-from umbra.llm.shared import bounded_sample
+from umbra.llm.shared import training
 
 #: Labelled rows that a fit takes at most, and tokens that a lexicon holds at most (those of highest z-score).
 FIT_ROWS, LEXICON = 20_000, 20_000
 PRIOR = 100.0
-#: z-score and log-odds from which a token counts, and the toxic documents that must hold it.
-Z, ODDS, DOCUMENTS = 2.0, 1.0, 5
+#: z-score and log-odds from which a token counts, and the toxic documents (near copies weighed down) that must hold it.
+Z, ODDS, DOCUMENTS = 2.0, 1.0, 5.0
 #: Each other token's cost, and the chance below which a segment is significant.
 COST, LEVEL = 0.1, 0.05
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -100,42 +102,53 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.intercept + self.slope * math.log1p(max(0.0, evidence))))))
 
 
+def _likeness(ws: list[bytes]) -> int:
+    """The least hash of a text's word pairs: equal for most near copies, seldom for texts that share a passage only."""
+    return min((zlib.crc32(a + b" " + b) for a, b in zip(ws, ws[1:], strict=False)), default=zlib.crc32(b"".join(ws)))
+
+
+def _raws(batch: pa.RecordBatch) -> list[bytes]:
+    return pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist()
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        like = pa.array([_likeness(tokens(raw)) for raw in _raws(batch)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), like], names=["text", "label", "like"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each token: of label 0 summed within a task, of label 1 with a hash of the words beside it."""
-    seen: Counter = Counter()
-    beside: set[tuple[bytes, int]] = set()
+    """(token, n0, n1): the weights of the documents of either label that hold each token, summed within a task."""
+    seen: dict[bytes, list[float]] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = [(w, 0, 0, n) for w, n in seen.items()] + [(w, 1, c, 1) for w, c in beside]
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([n[k] for n in seen.values()], pa.float64()) for k in (0, 1))], names=["token", "n0", "n1"])
         seen.clear()
-        beside.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=["token", "label", "beside", "n"])
+        return out
 
     for batch in batches:
-        for raw, label in zip(pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            ws = tokens(raw)
-            if label:
-                first: dict[bytes, int] = {}
-                for i, w in enumerate(ws):
-                    first.setdefault(w, i)
-                beside.update((w, zlib.crc32(b" ".join([*ws[max(0, i - 1) : i], *ws[i + 1 : i + 2]]))) for w, i in first.items() if w)
-            else:
-                seen.update({*ws} - {b""})
-            if len(seen) + len(beside) > 300_000:
+        for raw, label, weight in zip(_raws(batch), batch.column("label").to_pylist(), batch.column("weight").to_pylist(), strict=True):
+            for w in {*tokens(raw)} - {b""}:
+                seen.setdefault(w, [0.0, 0.0])[label] += weight
+            if len(seen) > 300_000:
                 yield flush()
     yield flush()
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = FIT_ROWS) -> Model:
-    """A model from at most `rows` rows of (key, text, 0/1 label), those of the smallest key hash. Equal texts count
-    once. Without rows of both labels every text scores 0."""
-    some = bounded_sample(labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")), "key", rows).dropDuplicates(["text"]).persist()
-    n = {r["label"]: r["count"] for r in some.groupBy("label").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = FIT_ROWS) -> Model:
+    """A model from at most `rows` documents that `labels` (key, 0/1 label) names; without `labels`, docs has the label.
+
+    Which rows count says training(); equal texts count once, with the greatest of their labels. Without rows of both
+    labels every text scores 0."""
+    some = training(docs, labels, key, text, label, rows).groupBy("text").agg(F.max(F.col("label").cast("int")).alias("label"))
+    some = some.mapInArrow(_signed, "text string, label int, like long").persist()
+    copies = some.groupBy("label", "like").count()  # at most `rows` rows
+    weighed = some.join(F.broadcast(copies), ["label", "like"]).select("text", "label", ((1 + F.log("count")) / F.col("count")).alias("weight"))
+    n = {r["label"]: r["n"] for r in weighed.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         some.unpersist()
         return Model(intercept=-40.0)
-    counts = some.select("text", "label").mapInArrow(_counted, "token binary, label int, beside long, n long").groupBy("token", "label", "beside").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("token").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    counts = weighed.mapInArrow(_counted, "token binary, n0 double, n1 double").groupBy("token").agg(F.round(F.sum("n0"), 6).alias("n0"), F.round(F.sum("n1"), 6).alias("n1"))
     counts = counts.where(F.col("n1") >= DOCUMENTS)
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / F.lit(n[0] + n[1])
     odds = lambda c, k: F.log((F.col(c) + prior) / (F.lit(n[k] + PRIOR) - F.col(c) - prior))
@@ -151,6 +164,33 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     return model
 
 
+def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Intercept and slope of the logistic curve of greatest likelihood, with a small ridge for rows that one value
+    separates: Newton's steps on a convex loss, each halved until the loss falls."""
+
+    def loss(a: float, b: float) -> float:
+        z = a + b * x
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * b * b)
+
+    a, b = math.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)), 0.0
+    now = loss(a, b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -700, 700)))
+        w = p * (1 - p)
+        g = np.array([(y - p).sum(), ((y - p) * x).sum() - ridge * b])
+        h = np.array([[w.sum() + 1e-9, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + ridge]])
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-9 and loss(a + size * step[0], b + size * step[1]) > now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        a, b = a + size * float(step[0]), b + size * float(step[1])
+        before, now = now, loss(a, b)
+        if before - now < 1e-10:
+            break
+    return a, b
+
+
 def _calibrate(model: Model, some: DataFrame) -> None:
     start = model
 
@@ -189,26 +229,22 @@ def _calibrate(model: Model, some: DataFrame) -> None:
         space = model.log_k + math.log(max(1, r["n"]))
         x.append(math.log1p(sum(max(0.0, model.rate * s - space) for s in r["scores"] if space - model.rate * s < level)))
         y.append(r["label"])
-    x, y = np.array(x), np.array(y, float)
-    a, b = math.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)), 0.0
-    for _ in range(100):  # Newton's method for the logistic curve, a small ridge for separable rows
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -40, 40)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([(y - p).sum(), ((y - p) * x).sum() - 1e-2 * b])
-        h = np.array([[w.sum() + 1e-6, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
-        if np.abs(step).max() < 1e-8:
-            break
-    model.intercept, model.slope = a, max(0.0, b)
+    model.intercept, slope = curve(np.array(x), np.array(y, float))
+    model.slope = max(0.0, slope)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Key (and the columns of keep) of every row with score in 0..1, the best segment's chance on ordinary text, and
-    every significant passage (first word, end word, score). Null and empty texts have no passage. No shuffle."""
+    every significant passage (first word, end word, score). No shuffle.
+
+    Null and empty texts have no passage; long texts are scanned whole; repeated rows each get their (equal) result; an
+    empty table gives no rows. Segments of one score are all kept. Other columns are ignored; a column of keep called
+    score, chance or passages is an error, as the result would have two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON tokens
     rows = docs.select(F.col(key), *keep, F.col(text).alias("__text"))
     kept = [f for f in rows.schema if f.name != "__text"]
+    if {"score", "chance", "passages"} & {f.name for f in kept}:
+        raise ValueError("keep can't hold a column called score, chance or passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
