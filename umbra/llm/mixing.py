@@ -1,10 +1,12 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier learnt from a labelled table gives every document a posterior over domains. Nonnegative document rates r
-are then fitted so that the expected domain totals sum_d r_d * tokens_d * p_dk meet the targets in least squares:
-projected gradient from r = 1, in the metric of the Gram matrix of the documents that are free to move, so that rates
-stay as near 1 as the targets allow. A step needs K residuals and a K x K matrix, summed over all documents by one
-aggregation; the driver sees nothing else, and a document's rate follows from its posterior and the few steps.
+are then fitted so that the expected domain totals sum_d r_d * tokens_d * p_dk meet the targets in least squares, by
+projected gradient from r = 1 with momentum. The gradient is scaled by a positive number of each document, its tokens
+times its expected domain size q_d = sum_k p_dk * T_k, so the projection stays a clip and the step 1 / L, L the greatest
+eigenvalue of sum_d tokens_d * p_d p_d' / q_d, is one that projected gradient converges with. A step needs the K totals
+at the current point, summed over all documents by one aggregation; the driver sees nothing else, and a document's rate
+follows from its posterior and the few steps.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from pyspark.sql import functions as F
 
 from umbra.llm.features import STATS, statistics
 from umbra.llm.kernels import slices, utf8
-from umbra.llm.machine import BUCKETS, _featured, _sums
-from umbra.llm.shared import bounded_sample, written
+from umbra.llm.machine import BUCKETS, _sums, gathered
+from umbra.llm.shared import drop, training, written
 
 #: Labelled rows that a fit takes at most, those of the smallest key hash.
 FIT_ROWS = 8000
-STEPS, ENOUGH = 25, 1e-3
+#: Gradient steps at most, the residual (share of all target tokens) that is near enough, and the least relative gain of five steps.
+STEPS, ENOUGH, GAIN = 40, 1e-3, 1e-3
 
 
 @dataclass
@@ -45,19 +48,17 @@ class Domains:
         return z / z.sum(1, keepdims=True)
 
 
-def fit(labelled: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", rows: int = FIT_ROWS, epochs: int = 6, rate: float = 0.05, decay: float = 1e-4) -> Domains:
-    """From at most `rows` rows of (key, text, domain); rows of other domains don't count. Without rows the posterior is even."""
+def fit(docs: DataFrame, labels: DataFrame | None, names: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", rows: int = FIT_ROWS, epochs: int = 6, rate: float = 0.05, decay: float = 1e-4) -> Domains:
+    """From at most `rows` documents that `labels` (key, domain) names; without `labels`, docs has the domain. Rows of
+    other domains don't count. Without rows the posterior is even."""
     k = len(names)
     number = F.coalesce(*[F.when(F.col(domain) == n, F.lit(float(i))) for i, n in enumerate(names)])
-    some = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), number.alias("label")).where("label is not null")
-    got = bounded_sample(some, "key", rows).select("label", "text").mapInArrow(_featured, "label double, stats array<double>, words array<int>").toArrow()
+    marks = (docs if labels is None else labels).select(F.col(key), number.alias("label"))
     size, rng = BUCKETS + len(STATS), np.random.default_rng(1)
-    if not got.num_rows:
+    stats, index, at, label = gathered(training(docs, marks, key, text, "label", rows))
+    if not len(label):
         return Domains(names, np.zeros(k), np.zeros((size, k), np.float32), np.zeros(len(STATS)), np.ones(len(STATS)))
-    lists = got.column("words").combine_chunks()
-    stats = got.column("stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
-    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    index, label = lists.flatten().to_numpy(zero_copy_only=False), got.column("label").to_numpy().astype(int)
+    label = label.astype(int)
     share = np.bincount(label, minlength=k) / len(label)
     m = Domains(names, np.log(share + 1e-3), np.zeros((size, k), np.float32), stats.mean(0), stats.std(0) + 1e-3)
     seen = np.full((size, k), 1e-2)
@@ -82,6 +83,10 @@ def fit(labelled: DataFrame, names: list[str], key: str = "doc_id", text: str =
     return m
 
 
+def _tokens(stats: np.ndarray) -> np.ndarray:
+    return np.rint(np.expm1(stats[:, STATS.index("log_words")])).astype(np.int64)
+
+
 def posteriors(docs: DataFrame, domains: Domains, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tokens (words at ASCII white space), p (array in the order of names). Null and empty texts have no tokens."""
     model = docs.sparkSession.sparkContext.broadcast(domains)  # BUCKETS x K numbers
@@ -91,88 +96,120 @@ def posteriors(docs: DataFrame, domains: Domains, key: str = "doc_id", text: str
             for part in slices(batch, "__text"):
                 stats, index, at = statistics(*utf8(part.column("__text")), BUCKETS)
                 p = model.value.posterior(stats, index, at)
-                tokens = np.rint(np.expm1(stats[:, STATS.index("log_words")])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column("digest"), pa.array(tokens), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))], names=[key, "digest", "tokens", "p"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_tokens(stats)), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))], names=[key, "tokens", "p"])
+
+    rows = docs.select(F.col(key), F.col(text).alias("__text"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, tokens long, p array<double>")
+
+
+@dataclass
+class Steps:
+    """What a document's rate follows from: its domain sizes' scale, the gradient steps with their momentum, the bound."""
 
-    rows = docs.select(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, digest long, tokens long, p array<double>")
+    totals: np.ndarray
+    most: float
+    gradients: list[np.ndarray]
+    momentum: list[float]
 
+    def scale(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(p @ self.totals, 1e-300)
 
-def _rates(p: np.ndarray, steps: list[np.ndarray], most: float) -> np.ndarray:
-    r = np.ones(len(p))
-    for s in steps:
-        r = np.clip(r - p @ s, 0.0, most)
-    return r
+    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and the point that the next gradient is taken at."""
+        q = self.scale(p)
+        r = ahead = np.ones(len(p))
+        for g, m in zip(self.gradients, self.momentum, strict=True):
+            new = np.clip(ahead - (p @ g) / q, 0.0, self.most)
+            r, ahead = new, new + m * (new - r)
+        return r, ahead
 
 
 def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def rates(known: DataFrame, targets: list[float], most: float = float("inf")) -> tuple[list[np.ndarray], list[float]]:
-    """Steps for _rates() and the expected totals they reach, for written posteriors (tokens, p)."""
-    k, steps, best, small = len(targets), [], np.inf, 1.0
-    goal = np.array(targets, float)
-    for _ in range(2 * STEPS):
-        now = list(steps)
-
-        def sums(batches: Iterator[pa.RecordBatch], now: list = now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + k * k)
-            for batch in batches:
-                if batch.num_rows:
-                    p, t = _matrix(batch, k), batch.column("tokens").to_numpy().astype(float)
-                    r = _rates(p, now, most)
-                    total[:k] += (r * t) @ p
-                    free = t * (r > 0)  # one at the upper bound may come down
-                    total[k:] += ((p * free[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
-
-        got = {r["i"]: r["v"] for r in known.select("tokens", "p").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-        v = np.array([got.get(i, 0.0) for i in range(k + k * k)])
-        reached, gram = v[:k], v[k:].reshape(k, k)
-        error = reached - goal
-        loss = float(error @ error)
-        if steps and loss >= best:  # too far: half of it, and no more than that from now on
-            steps[-1], small = steps[-1] / 2, small / 2
-            continue
-        best = loss
-        if np.abs(error).max() <= ENOUGH * max(goal.sum(), 1) or len(steps) == STEPS or not gram.any():
+def _summed(known: DataFrame, k: int, size: int, of) -> np.ndarray:
+    """Sums over all rows of the `size` numbers that of(p, tokens) gives for a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_matrix(batch, k), batch.column("tokens").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["i", "v"])
+
+    got = {r["i"]: r["v"] for r in known.select("tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    return np.array([got.get(i, 0.0) for i in range(size)])
+
+
+def fitted(known: DataFrame, weights: dict[str, float], total: float | None = None, most: float = float("inf")) -> tuple[Steps, np.ndarray, np.ndarray]:
+    """Steps for the rates, the targets, and the expected totals reached, for written posteriors (tokens, p).
+
+    Stops when the residual is near enough or, where the targets can't be met, when steps gain nothing any more."""
+    k, share = len(weights), np.array(list(weights.values()), float)
+    share = share / share.sum()
+    totals = _summed(known, k, k, lambda p, t: t @ p)
+    goal = share * (totals[0] / share[0] if total is None else total)
+    steps = Steps(totals, most, [], [])
+    if not totals.any():
+        return steps, goal, totals
+    gram = _summed(known, k, k * k, lambda p, t: ((p * (t / steps.scale(p))[:, None]).T @ p).ravel()).reshape(k, k)
+    size, at, losses, restart = 1.0 / np.linalg.eigvalsh(gram)[-1], totals, [float(((totals - goal) ** 2).sum())], 0
+    reached = totals
+    for _ in range(STEPS):
+        if np.abs(reached - goal).max() <= ENOUGH * max(goal.sum(), 1):
             break
-        steps.append(small * np.linalg.solve(gram + np.eye(k) * (1e-9 + 1e-3 * np.trace(gram) / k), error))
-    return steps, list(reached)
+        if len(losses) > 5 and losses[-6] - min(losses[-5:]) <= GAIN * losses[-6]:
+            break
+        restart += 1
+        steps.gradients.append(size * (at - goal))
+        steps.momentum.append((restart - 1) / (restart + 2))
+        now = Steps(totals, most, list(steps.gradients), list(steps.momentum))
+        both = _summed(known, k, 2 * k, lambda p, t, now=now: np.concatenate([(t * r) @ p for r in now.rates(p)]))
+        reached, at = both[:k], both[k:]
+        losses.append(float(((reached - goal) ** 2).sum()))
+        if losses[-1] > losses[-2]:  # momentum went too far: go on from this point without it
+            steps.momentum[-1], restart, at = 0.0, 0, reached
+    return steps, goal, reached
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", total: float | None = None, most: float = float("inf")) -> DataFrame:
-    """key, digest (hash of the text), tokens, p, rate of every row of docs.
+def mixed(docs: DataFrame, domains: Domains, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, most: float = float("inf")) -> DataFrame:
+    """key, tokens, p, rate of every row of docs.
 
     weights are the domains' target shares of `total` tokens; without a total it is what keeps the first domain's
-    expected tokens as they are. A document without tokens can't move a total and keeps rate 1 by its posterior like
-    any other; a null text is empty; repeated rows count each; an empty table gives no rows. Other columns don't count.
+    expected tokens as they are. A document without tokens can't move a total and gets a rate by its posterior like any
+    other; a null text is empty; repeated rows count each; an empty table gives no rows. Other columns don't count.
     """
-    names = list(weights)
-    domains = fit(labelled, names, key, text, domain)
     known = written(posteriors(docs, domains, key, text), "posteriors")
-    k, share = len(names), np.array(list(weights.values()), float)
-    share = share / share.sum()
-    if total is None:
-        first = known.agg(F.sum(F.col("tokens") * F.element_at("p", 1)).alias("x")).first()["x"] or 0.0
-        total = first / share[0]
-    steps, _ = rates(known, list(share * total), most)
+    steps, _, _ = fitted(known, weights, total, most)
+    k = len(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = _rates(_matrix(batch, k), steps, most)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(steps.rates(_matrix(batch, k))[0])], names=[*batch.schema.names, "rate"])
 
-    return known.mapInArrow(run, f"`{key}` {known.schema[0].dataType.simpleString()}, digest long, tokens long, p array<double>, rate double")
+    return known.mapInArrow(run, f"`{key}` {known.schema[0].dataType.simpleString()}, tokens long, p array<double>, rate double")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", total: float | None = None, most: float = float("inf"), seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, domains: Domains, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, most: float = float("inf"), seed: int = 0) -> DataFrame:
     """docs with its own columns, each row as often as its rate says: the whole part always, the rest by a coin that
-    depends on key, text and seed alone, so the same rows come on every run."""
-    found = mixed(docs, labelled, weights, key, text, domain, total, most)
-    coin = F.pmod(F.xxhash64(F.col(key), F.col("digest"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = found.select(F.col(key).alias("__id"), F.col("digest").alias("__digest"), F.floor(F.col("rate") + coin).cast("int").alias("__n")).where("__n > 0").dropDuplicates(["__id", "__digest"])
-    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__digest"))
-    out = docs.join(copies, same).withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
-    return out.select(*docs.columns)
+    depends on key, text and seed alone, so the same rows come on every run. Texts aren't shuffled: the rates' few steps
+    go to a second scan, which finds each document's posterior anew. An empty table stays empty."""
+    known = written(posteriors(docs, domains, key, text), "posteriors")
+    steps, _, _ = fitted(known, weights, total, most)
+    drop(known)
+    model = docs.sparkSession.sparkContext.broadcast((domains, steps))
+    coin = F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), coin.alias("__coin"))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        domains, steps = model.value
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                p = domains.posterior(*statistics(*utf8(part.column(at)), BUCKETS))
+                times = np.floor(steps.rates(p)[0] + part.column("__coin").to_numpy()).astype(np.int64)
+                again = part.take(pa.array(np.repeat(np.arange(len(times)), times)))
+                yield pa.RecordBatch.from_arrays(again.columns[:-1], schema=pa.schema([again.schema.field(i) for i in range(len(again.columns) - 1)]))
+
+    return rows.mapInArrow(run, docs.schema)
