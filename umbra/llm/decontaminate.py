@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A window is 13 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. The hash set
-of the windows is broadcast while its row count stays under a bound, and joined by a shuffle beyond it. One scan hashes
-every token window of every document; hits are then verified on the words themselves before they count.
+A window is 13 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. One scan of
+the documents splits each text once. A small bitmap over hashes of a window's first and last word, a literal of the plan,
+drops nearly all windows inside the row; the few that are left carry their words and meet the hash set of windows in a
+join that compares length, hash and words, so a hit is verified there and no text is read or shuffled a second time. The
+hash set is broadcast while its measured bytes stay under a bound, and joined by a shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -10,16 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.shared import written
+from umbra.llm.shared import drop, written
 
 WIDTH = 13
-#: Benchmark windows that are broadcast at most: 16 bytes of key each.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table (windows with their words; ids of documents to drop) that is broadcast at most.
+BROADCAST_BYTES = 64 << 20
+#: Places of the bitmap for each window, and at most.
+PLACES, MOST_PLACES = 16, 1 << 22
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words where case still stands.
 CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NONE = "array<struct<pos:int,len:int,gram:bigint>>"
+_NONE = "array<struct<pos:int,len:int,gram:bigint,said:string>>"
 
 
 def word_array(text: Column) -> Column:
@@ -32,18 +36,35 @@ def _bound(value: Column, body) -> Column:
     return F.flatten(F.transform(F.array(value), body))
 
 
-def _windows(hashes: Column, length: int) -> Column:
-    size = F.size(hashes)
-    every = F.transform(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(hashes, i, length)).alias("gram")))
+def _ends(first: Column, last: Column, length: int, places: int) -> Column:
+    """The bitmap's place of a window whose first and last words have these hashes."""
+    return F.xxhash64(first, last, F.lit(length)).bitwiseAND(F.lit(places - 1)).cast("int")
+
+
+def _bitmap(grams: DataFrame, lengths: list[int], places: int) -> Column:
+    """An array literal with true where a benchmark window has its place: at most MOST_PLACES flags."""
+    kind = None
+    for n in lengths:
+        here = _ends(F.xxhash64(F.element_at("w", 1)), F.xxhash64(F.element_at("w", -1)), n, places)
+        kind = F.when(F.col("len") == n, here) if kind is None else kind.when(F.col("len") == n, here)
+    on = {r["at"] for r in grams.select(kind.alias("at")).distinct().collect()}  # at most `places` numbers
+    return F.split(F.lit(",".join("1" if i in on else "0" for i in range(places))), ",").cast("array<boolean>")
+
+
+def _windows(ws: Column, hs: Column, length: int, bitmap: Column, places: int) -> Column:
+    """(pos, len, gram, said) of those windows of a text that the bitmap lets through."""
+    size = F.size(ws)
+    maybe = F.filter(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.get(bitmap, _ends(F.get(hs, i - 1), F.get(hs, i + (length - 2)), length, places)))
+    every = F.transform(maybe, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(hs, i, length)).alias("gram"), F.array_join(F.slice(ws, i, length), " ").alias("said")))
     return F.when(size >= length, every).otherwise(F.array().cast(_NONE))
 
 
 def benchmark_windows(bench: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(item, len, gram, said) distinct: each window's hash and its words joined by one space."""
+    """(item, len, gram, said, w) distinct: each window's hash, its words joined by one space, and its words."""
     rows = bench.select(F.col(key).cast("string").alias("item"), word_array(F.col(text)).alias("ws")).where(F.size("ws") > 0)
     rows = rows.withColumn("len", F.least(F.size("ws"), F.lit(width)))
     rows = rows.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("len") + 1), lambda i: F.slice("ws", i, F.col("len")))).alias("w"))
-    return rows.select("item", "len", F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("gram"), F.array_join("w", " ").alias("said")).distinct()
+    return rows.select("item", "len", F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("gram"), F.array_join("w", " ").alias("said"), "w").distinct()
 
 
 def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, spans: bool = False) -> DataFrame:
@@ -55,33 +76,30 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     """
     grams = written(benchmark_windows(bench, item, item_text, width), "benchmark")
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most `width` numbers
-    wanted = grams.select("len", "gram").distinct()
-    few = grams.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda x: x)
-
-    def scan(ws: Column) -> Column:
-        marker = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.size(ws).cast("bigint").alias("gram")))
-        if not lengths:
-            return marker
-        return _bound(F.transform(ws, lambda x: F.xxhash64(x)), lambda hs: F.concat(marker, *[_windows(hs, n) for n in lengths]))
+    size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("said") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
+    places = 1 << max(10, min(MOST_PLACES, PLACES * size["n"]) - 1).bit_length()
+    places = min(MOST_PLACES, places)
 
     row = [F.col(key).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
-    seen = docs.select(*row, F.explode(_bound(word_array(F.col(text)), scan)).alias("w")).select("id", "text_hash", "w.*")
-    hit = seen.join(small(wanted.select("len", "gram", F.lit(True).alias("hit"))), ["len", "gram"], "left").where("pos = 0 or hit")
-    found = written(hit.select("id", "text_hash", "pos", "len", "gram"), "windows")
-
-    asked = found.where("pos > 0").groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "len", "gram")).alias("asked"))
-    texts = docs.select(*row, F.col(text).alias("text"))
-    joined = texts.join(asked.toDF("id_", "hash_", "asked"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
-    said = _bound(word_array(F.col("text")), lambda ws: F.transform("asked", lambda h: F.struct(h.pos.alias("pos"), h.len.alias("len"), h.gram.alias("gram"), F.array_join(F.slice(ws, h.pos, h.len), " ").alias("said"))))
-    checked = joined.select("id", "text_hash", F.explode(said).alias("h")).select("id", "text_hash", "h.*").join(small(grams), ["len", "gram", "said"])
+
+    def looked(ws: Column) -> Column:
+        none = F.array().cast(_NONE)
+        found = none if not lengths else _bound(F.transform(ws, lambda x: F.xxhash64(x)), lambda hs: F.concat(*[_windows(ws, hs, n, bitmap, places) for n in lengths]))
+        return F.array(F.struct(F.size(ws).cast("bigint").alias("n_words"), found.alias("maybe")))
+
+    bitmap = _bitmap(grams, lengths, places) if lengths else F.array().cast("array<boolean>")
+    seen = docs.select(*row, F.get(_bound(word_array(F.col(text)), looked), F.lit(0)).alias("x")).select("id", "text_hash", "x.*")
+    found = written(seen, "windows")
+
+    small = F.broadcast if size["bytes"] <= BROADCAST_BYTES else (lambda x: x)
+    maybe = found.where(F.size("maybe") > 0).select("id", "text_hash", F.explode("maybe").alias("m")).select("id", "text_hash", "m.*")
+    checked = maybe.join(small(grams.drop("w")), ["len", "gram", "said"])
     hits = checked.groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "len")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
     hits = hits.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.pos, h.pos + h.len - 1))))).cast("bigint"))
 
-    marks = found.where("pos = 0").select("id", "text_hash", F.col("gram").alias("n_words"))
     hits = hits.toDF("id_", "hash_", "hits", "items", "n_hit")
-    out = marks.join(hits, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
-    return out.select(
+    out = found.select("id", "text_hash", "n_words").join(hits, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
+    out = out.select(
         F.col("id").alias(key),
         "text_hash",
         "n_words",
@@ -89,6 +107,8 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         *([F.coalesce("hits", F.array().cast("array<struct<pos:int,len:int>>")).alias("hits")] if spans else []),
     )
+    out._umbra_used = [grams, found]
+    return out
 
 
 def contaminated() -> Column:
@@ -108,12 +128,17 @@ def _without(text: Column, hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, remove: str = "documents") -> DataFrame:
     """docs with its own columns: without contaminated documents (remove="documents"), or with every hit word cut out of
-    the texts (remove="spans"). Documents without hits come back as they were, nulls included."""
-    result = contamination(docs, bench, key, text, item, item_text, width, spans=True)
+    the texts (remove="spans"). Documents without hits come back as they were: nulls, empty texts, repeated rows. The
+    few rows that change are found by key and text, so of rows that share a key only those with the text are touched."""
+    result = contamination(docs, bench, key, text, item, item_text, width, spans=remove != "documents")
     bad = contaminated() if remove == "documents" else F.col("n_hit") > 0
-    hits = result.where(bad).select(F.col(key).alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__hash"])
+    hits = result.where(bad).select(F.col(key).alias("__id"), F.col("text_hash").alias("__hash"), *([F.col("hits").alias("__hits")] if remove != "documents" else [])).dropDuplicates(["__id", "__hash"])
+    hits = written(hits, "hits")
+    drop(*result._umbra_used)
+    size = hits.agg(F.coalesce(F.sum(F.lit(64) + (8 * F.size("__hits") if remove != "documents" else F.lit(0))), F.lit(0)).alias("bytes")).first()["bytes"]
+    small = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
     if remove == "documents":
-        return docs.join(hits, same, "left_anti")
-    joined = docs.join(hits, same, "left")
+        return docs.join(small, same, "left_anti")
+    joined = docs.join(small, same, "left")
     return joined.withColumn(text, F.when(F.col("__hits").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("__hits")))).select(*docs.columns)
