@@ -12,15 +12,37 @@ LOOKAROUND = ["AU_POSTCODE", "VEHICLE_REGISTRATION", "NAME_CONSULTANT", "TIME",
 O, M, S = "chr(57344)", "chr(57345)", "chr(57346)"
 
 
+#: Look-around regexes said without it: what stands before (kept), the span, what stands after (kept), by type in order.
+_STATE, _CODE = r"(?:NSW|VIC|QLD|TAS|ACT)\s", r"(?:0[289][0-9]{2}|[1-9][0-9]{3})\b"
+_WHO = [r"(?:Diary\s+)?Assigned\s+To", "(?:Consultant|Agent|Handler|Officer)", "(?:Representative|Rep|Contact)"]
+_NAME = r"[A-Z][a-z]+\s+[A-Z][a-z]+"
+_AFTER = r"\s+(?:Subject|Re|Regarding|For|About|Status|Case|Date|Time|Matter|Issue|Type|Category)(?:\s|:|$)"
+AROUND: dict[str, list[tuple[str, str, str]]] = {
+    "TIME": [("^|[^/0-9]", r"\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?(?:\s*[AaPp]\.?[Mm]\.?)?\b", "")],
+    "PHONE_INTL": [
+        ("^|[^0-9]", r"\+[0-9]{1,3}[\s.\-()]*[0-9][0-9\s.\-()]{6,18}[0-9]", "$|[^0-9]"),
+        ("^|[^0-9]", r"00[0-9]{1,3}[\s.\-()]+[0-9][0-9\s.\-()]{6,16}[0-9]", "$|[^0-9]"),
+        ("^|[^0-9]", r"\([0-9]{3,4}\)[\s.\-]?[0-9]{3,4}[\s.\-]?[0-9]{4,7}\b", ""),
+    ],
+    "US_SSN": [("", r"\b(?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})\b", "")],
+    "AU_POSTCODE": [(f"(?i:{pre})", _CODE, "") for pre in (_STATE, r"(?:WA|SA|NT)\s", r"postcode\s", r"post\scode\s", r"postal\scode\s")],
+    "NAME_CONSULTANT": [(rf"{who}\s*:\s*", _NAME, after) for after in (_AFTER, "$") for who in _WHO],
+}
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def scan(s: Scan, source: str, key: str = "doc_id") -> str:
+def scan(s: Scan, source: str, key: str = "doc_id", around: tuple[str, str, str] | None = None) -> str:
     """Candidates of one scan: the regex brackets its matches, a split cuts there, a window adds up lengths."""
     rx = f"(?i){s.regex}" if s.ignore_case else s.regex
     group = "'\\1'" if s.grouped else "'\\0'"
     marked = f"regexp_replace(text, {q(rx)}, {O} || '\\0' || {M} || {group} || {S}, 'g')"
+    if s.entity_type in AROUND:
+        pre, body, post = around or ("", "", "")
+        rx = f"({pre})({body})({post})"
+        marked = f"regexp_replace(text, {q(rx)}, '\\1' || {O} || '\\2' || {M} || '\\2' || {S} || '\\3', 'g')"
     return f"""
 SELECT {key}, {s.ordinal} AS ordinal, '{s.entity_type}' AS entity_type, CAST({s.score} AS DOUBLE) AS score, CAST(e - length(g) AS INT) AS "start", CAST(e AS INT) AS "end", g AS txt, text
 FROM (SELECT {key}, text, i, split_part(split_part(p, {S}, 1), {M}, 2) AS g,
@@ -31,7 +53,9 @@ WHERE i > 1"""
 
 def candidates(catalogue: Catalogue, types: list[str], source: str, key: str = "doc_id") -> str:
     known = sum(len(d.patterns) for d in catalogue.definitions)
-    every = "\nUNION ALL\n".join(scan(s, source, key) for s in catalogue.scans(set(types)))
+    scans = catalogue.scans(set(types))
+    of = {t: iter(rows) for t, rows in AROUND.items()}
+    every = "\nUNION ALL\n".join(scan(s, source, key, next(of[s.entity_type]) if s.entity_type in AROUND else None) for s in scans)
     labels = ", ".join(map(q, C.LABEL_TEXTS))
     return f"""SELECT {key}, ordinal, entity_type, score, "start", "end", txt,
   substr(text, greatest("start" - {C.CONTEXT_WINDOW}, 0) + 1, least("start", {C.CONTEXT_WINDOW})) AS before, substr(text, "end" + 1, {C.CONTEXT_WINDOW}) AS after

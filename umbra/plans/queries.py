@@ -16,6 +16,7 @@ from umbra.operators import text as T
 from umbra.operators.anonymize import age, anonymize
 from umbra.operators.detect import detect, scanned, suggested
 from umbra.plans import oracle as O
+from umbra.sources.tables import anonymize_columns
 from umbra.streaming import streams
 
 CATALOGUE = Catalogue()
@@ -37,6 +38,15 @@ when 9 then concat('CRN: ', substr({_D}, 1, 3), ' ', substr({_D}, 4, 3), ' ', su
 when 10 then concat('VIN 1HGCM82633A', lpad(cast(k % 1000000 as string), 6, '0'), ', a Toyota Corolla ', cast(1990 + k % 30 as string), ' seen at Western Australia Bank')
 else concat('Logged 2024-05-', lpad(cast(1 + k % 28 as string), 2, '0'), 'T14:32:00Z. INV-', cast(10000 + k % 80000 as string), ', BSB: 062-', lpad(cast(k % 1000 as string), 3, '0'), ' Account: ', substr({_D}, 1, 8), ', broker BRK-', cast(1000 + k % 9000 as string)) end"""
 CLAIMS_SQL = f"claims AS (SELECT k AS doc_id, {CLAIM} AS text, seg FROM (SELECT o_orderkey AS k, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey))"
+#: Notes for the types whose regexes look around, with sections and places.
+EXTRA = f"""case k % 6
+when 0 then concat('Seen at ', lpad(cast(k % 24 as string), 2, '0'), ':', lpad(cast(k % 60 as string), 2, '0'), ' pm and 7:05:59 AM, not 12/10:30 but 9:', lpad(cast(k % 70 as string), 2, '0'))
+when 1 then concat('Ring +', cast(1 + k % 900 as string), ' ', substr({_D}, 1, 3), '-', substr({_D}, 4, 3), '-', substr({_D}, 6, 4), ', 0013 408-555-', lpad(cast(k % 10000 as string), 4, '0'), ' or (', cast(100 + k % 9000 as string), ') 555-', lpad(cast(k % 90000 as string), 5, '0'), '.')
+when 2 then concat('SSN: ', lpad(cast(k % 1000 as string), 3, '0'), '-', lpad(cast(k % 100 as string), 2, '0'), '-', lpad(cast(k * 7 % 10000 as string), 4, '0'), ' filed, 666-04-7100 and 818-04-7100 not both')
+when 3 then concat('Lives in NSW ', cast(2000 + k % 900 as string), ', postcode 0830, Post Code ', lpad(cast(k % 10000 as string), 4, '0'), ' and WA 6', lpad(cast(k % 1000 as string), 3, '0'))
+when 4 then concat('Diary Assigned To: Jane Doe Subject: hail. Agent: Tom Lee Status: open ', cast(k as string), '. Contact: Mary Brown')
+else concat('Claim Details: hail on the roof ', cast(k as string), case k % 4 when 1 then '. Customer Details: none' when 3 then '. Next  Steps: call, Vehicle Information: none' else '' end) end"""
+EXTRAS_SQL = f"extras AS (SELECT k AS doc_id, {EXTRA} AS text FROM (SELECT o_orderkey AS k FROM orders))"
 AS_OF = datetime.date(2024, 1, 1)
 
 
@@ -51,6 +61,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("k").alias("doc_id"), F.expr(CLAIM).alias("text"), "seg")
 
 
+def extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a second note for each order."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("doc_id"), F.expr(EXTRA).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -69,10 +84,10 @@ def _scan_query(name: str, types: list[str], source: str = "claims") -> None:
     columns = ["doc_id", "entity_type", "start", "end", "text"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = claims(spark, sf_dir) if source == "claims" else table(spark, sf_dir, source)
+        docs = claims(spark, sf_dir) if source == "claims" else extras(spark, sf_dir) if source == "extras" else table(spark, sf_dir, source)
         return scanned(docs, CATALOGUE, active=set(types)).select(*columns, "score")
 
-    with_ = f"WITH {CLAIMS_SQL}, " if source == "claims" else "WITH "
+    with_ = f"WITH {CLAIMS_SQL}, " if source == "claims" else f"WITH {EXTRAS_SQL}, " if source == "extras" else "WITH "
     query(name, f'{with_}cand AS ({O.candidates(CATALOGUE, types, source)}) SELECT doc_id, entity_type, "start", "end", txt AS text, score FROM cand')(run)
 
 
@@ -91,22 +106,11 @@ _scan_query("person_spans", ["PERSON"])
 _scan_query("organization_spans", ["ORGANIZATION"])
 
 
-def _looked_around(kind: str, inner: str, source: str, group: int = 1) -> str:
-    """Spans of a look-around regex said without it: with the characters before it, in a group, taken off again."""
-    del group
-    return f"""WITH {CLAIMS_SQL}, p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, {O.q(inner)}, 0)) AS whole, unnest(regexp_extract_all(text, {O.q(inner)}, 1)) AS m FROM {source})
-SELECT doc_id, '{kind}' AS entity_type, count(*) AS n, min(m) AS first_text FROM p GROUP BY doc_id"""
-
-
-def _counted(kind: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = scanned(claims(spark, sf_dir), CATALOGUE, active={kind})
-        return found.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"), F.min("text").alias("first_text"))
-
-    return run
-
-
-query("postcode_spans", _looked_around("AU_POSTCODE", r"(?i)(?:NSW|VIC|QLD|TAS|ACT|WA|SA|NT|postcode|post\scode|postal\scode)\s((?:0[289]\d{2}|[1-9]\d{3})\b)", "claims"))(_counted("AU_POSTCODE"))
+_scan_query("time_spans", ["TIME"], "extras")
+_scan_query("phone_intl_spans", ["PHONE_INTL"], "extras")
+_scan_query("ssn_spans", ["US_SSN"], "extras")
+_scan_query("postcode_spans", ["AU_POSTCODE"], "extras")
+_scan_query("consultant_names", ["NAME_CONSULTANT"], "extras")
 
 
 # --- validators over numbers made from order keys ---
@@ -281,26 +285,59 @@ SELECT c.doc_id, coalesce(g.text, c.text) AS text, CAST(coalesce(n_items, 0) AS
 @query("mixed_ops_text", _spliced_sql(_SIMPLE, _NEW_SQL))
 def mixed_ops_text(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    out = anonymize(notes, detect(notes, active=set(_SIMPLE)), _OPS, as_of=AS_OF)
+    out = anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True), _OPS, as_of=AS_OF)
     return out.select("doc_id", "text", F.size("items").alias("n_items"))
 
 
 @query("op_replace", _spliced_sql(_SIMPLE, "'<' || entity_type || '>'"))
 def op_replace(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    return anonymize(notes, detect(notes, active=set(_SIMPLE))).select("doc_id", "text", F.size("items").alias("n_items"))
+    return anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True)).select("doc_id", "text", F.size("items").alias("n_items"))
+
+
+for _name, _new in {"mask": "repeat('*', length(text))", "redact": "'[REDACTED]'", "hash": "'HASH-' || substr(sha256(text), 1, 10)"}.items():
+
+    def _one_operator(spark, sf_dir, name=_name):
+        notes = claims(spark, sf_dir)
+        return anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True), dict.fromkeys(_SIMPLE, name)).select("doc_id", "text", F.size("items").alias("n_items"))
+
+    query(f"op_{_name}", _spliced_sql(_SIMPLE, _new))(_one_operator)
+
+#: Keys that are null, repeat with other texts, or repeat with the same text.
+_ODD_KEY = "CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 < 3 THEN k % 50 ELSE k END"
+
+
+_ODD_SQL = _spliced_sql(_SIMPLE, "'<' || entity_type || '>'")
+_ROWS = "SELECT c.doc_id, coalesce(g.text, c.text) AS text, CAST(coalesce(n_items, 0) AS INT) AS n_items FROM claims c LEFT JOIN g ON c.doc_id = g.doc_id"
+_OF = _ODD_KEY.replace(" k ", " c.doc_id ")
+
+
+@query("odd_keys", _ODD_SQL.replace(_ROWS, f"SELECT {_OF} AS doc_id, coalesce(g.text, c.text) AS text, CAST(coalesce(n_items, 0) AS INT) AS n_items FROM claims c LEFT JOIN g ON c.doc_id = g.doc_id CROSS JOIN range(2)"))
+def odd_keys(spark, sf_dir):
+    """Every note twice, under keys that are null or repeat: each row comes back with its own text rewritten."""
+    notes = claims(spark, sf_dir).select(F.col("doc_id").alias("k"), "text").select(F.expr(_ODD_KEY).alias("doc_id"), "text")
+    twice = notes.unionByName(notes)
+    return anonymize(twice, detect(twice, active=set(_SIMPLE), hashed=True)).select("doc_id", "text", F.size("items").alias("n_items"))
+
+
+@query("odd_columns", _ODD_SQL.replace(_ROWS, f"SELECT {_OF} AS id, coalesce(g.text, c.text) AS note, CASE WHEN c.doc_id % 3 <> 0 THEN coalesce(g.text, c.text) END AS other FROM claims c LEFT JOIN g ON c.doc_id = g.doc_id"))
+def odd_columns(spark, sf_dir):
+    """Two text columns of a table whose key is null or repeats."""
+    notes = claims(spark, sf_dir).select(F.col("doc_id").alias("k"), F.col("text").alias("note")).select(F.expr(_ODD_KEY).alias("id"), "note", F.when(F.col("k") % 3 != 0, F.col("note")).alias("other"))
+    return anonymize_columns(notes, ["note", "other"], key="id", detection={"active": set(_SIMPLE)})
 
 
 @query("anonymize_all")
 def anonymize_all(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    return anonymize(notes, detect(notes))
+    return anonymize(notes, detect(notes, hashed=True))
 
 
-@query("keep_postcode", f"WITH {CLAIMS_SQL} SELECT doc_id, regexp_extract(text, 'NSW (\\d{{4}})', 1) AS postcode FROM claims WHERE doc_id % 12 = 6")
+@query("keep_postcode", f"WITH {CLAIMS_SQL} SELECT doc_id, CASE WHEN doc_id % 12 = 6 THEN regexp_extract(text, 'NSW (\\d{{4}})', 1) ELSE regexp_extract(text, ' (\\d{{4}}) ', 1) END AS postcode FROM claims")
 def keep_postcode(spark, sf_dir):
-    notes = claims(spark, sf_dir).where("doc_id % 12 = 6")
-    out = anonymize(notes, detect(notes, active={"AU_ADDRESS", "AU_POSTCODE"}))
+    """The number that stands alone after rewriting: a note with an address keeps its postcode, others are as they were."""
+    notes = claims(spark, sf_dir)
+    out = anonymize(notes, detect(notes, active={"AU_ADDRESS", "AU_POSTCODE"}, hashed=True))
     return out.select("doc_id", F.regexp_extract("text", r" (\d{4}) ", 1).alias("postcode"))
 
 
@@ -308,7 +345,7 @@ def keep_postcode(spark, sf_dir):
 SELECT count(*) AS total_documents, CAST(sum(coalesce(k, 0)) AS BIGINT) AS total_entities, CAST(sum(n) AS BIGINT) AS total_characters, CAST(sum(coalesce(a, 0)) AS BIGINT) AS total_anonymized_characters, round(sum(coalesce(k, 0)) / count(*), 6) AS entities_per_document, round(sum(coalesce(a, 0)) / sum(n), 6) AS anonymization_rate FROM d LEFT JOIN e USING (doc_id)""")
 def report_summary(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    return report.summary(report.document_report(notes, anonymize(notes, detect(notes, active=set(_SIMPLE)))))
+    return report.summary(report.document_report(notes, anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True))))
 
 
 @query("pii_column_rate")
@@ -361,9 +398,37 @@ def segments(spark, sf_dir):
     return T.segmented(table(spark, sf_dir, "documents")).select("doc_id", "segment", "start", "end", F.md5("text").alias("digest"))
 
 
-@query("claim_sections")
+_SECTIONS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS section FROM extras WHERE regexp_matches(text, {O.q('(?i)' + rx)})" for k, rx in T.SECTIONS.items())
+
+
+@query("claim_sections", f"WITH {EXTRAS_SQL} SELECT doc_id, section FROM ({_SECTIONS})")
 def claim_sections(spark, sf_dir):
-    return T.sectioned(T.segmented(claims(spark, sf_dir))).groupBy("section").agg(F.count("*").alias("n"))
+    return T.sectioned(T.segmented(extras(spark, sf_dir))).select("doc_id", "section")
+
+
+# What each of these texts holds, written out.
+_GOLDEN = [
+    ("His TFN is 123 456 789.", [("AU_TFN", "123 456 789")]),
+    ("Contact 123 456 789 for details", [("AU_CENTRELINK_CRN", "123 456 789")]),
+    ("ABN number is 51 824 753 556", [("AU_ABN", "51 824 753 556")]),
+    ("Medicare: 2123 45678 0", [("AU_MEDICARE", "2123 45678 0")]),
+    ("the form shows 818-04-7100 as filed", [("US_SSN", "818-04-7100")]),
+    ("the form shows 900-04-7100 as filed", []),
+    ("the line 0013 408-555-2222 was logged", [("PHONE_INTL", "0013 408-555-2222")]),
+    ("we met at 14:35 today", [("TIME", "14:35")]),
+    ("write to a.b@x.example.com now", [("EMAIL_ADDRESS", "a.b@x.example.com")]),
+    ("the postcode 2913 was given", [("AU_POSTCODE", "2913")]),
+    ("she owes $1,250.00 to us", [("MONEY_AMOUNT", "$1,250.00")]),
+    ("logged 2024-05-01T14:32:00Z by cron", [("ISO_DATETIME", "2024-05-01T14:32:00Z")]),
+    ("", []),
+    (None, []),
+]
+
+
+@query("golden_entities", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{x}')" for i, (_, found) in enumerate(_GOLDEN) for t, x in found) + ") v(doc_id, entity_type, text)")
+def golden_entities(spark, sf_dir):
+    """Short texts with their entities written out by hand, not derived from the catalogue."""
+    return detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_GOLDEN)], "doc_id int, text string")).select("doc_id", "entity_type", "text")
 
 
 @query("acronym_expand", f"WITH {CLAIMS_SQL} SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bDOB\\b', 'Date of Birth', 'g'), '(?i)\\bTFN\\b', 'Tax File Number', 'g') AS text FROM claims")
