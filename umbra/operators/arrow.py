@@ -84,7 +84,7 @@ def _digit_in(parsed) -> bool:
     return False
 
 
-def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, carry: tuple[str, ...] = (), skip: bool = True) -> DataFrame:
     """The same candidates as umbra.operators.detect.scanned, in the same columns.
 
     A regex is run over texts only that hold one of the literals which any match of it must hold, found from the regex
@@ -123,7 +123,7 @@ def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: st
                             continue
                     for m in rx.finditer(said):
                         a, b = m.span(1) if m.lastindex else m.span()
-                        if s.ordinal < known and skipped(s.entity_type, said[a:b]):
+                        if skip and s.ordinal < known and skipped(s.entity_type, said[a:b]):
                             continue
                         keys.append(i)
                         found.append((s.ordinal, s.entity_type, s.score, a, b, said[a:b], said[max(0, a - C.CONTEXT_WINDOW) : a], said[b : b + C.CONTEXT_WINDOW]))

@@ -151,14 +151,17 @@ def suggested(entities: DataFrame) -> DataFrame:
     return entities.withColumn("suggested", F.when(best.score > 0, best.kind))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = False) -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = False, acronyms: dict[str, str] | None = None) -> DataFrame:
     """(key, entity_type, start, end, text, score) of every entity; start and end count code points, end exclusive.
 
     Keys may be null or repeat (see above); a null text has no entities; rows alike in key and text each give theirs;
     other columns are ignored, whatever their names; an empty table gives no rows. With hashed, text_hash (xxhash64 of
     the row's text) follows, which says to anonymize() which of several rows of one key an entity is of.
 
-    extra: candidates of another source, such as a named-entity model, with scanned()'s columns; they are subject to
+    acronyms are written out in the text before it is scanned, so places count in the written-out text (rewrite that, see
+    umbra.operators.process).
+
+    extra: candidates of another source, such as a named-entity model (umbra.operators.named cleans its spans), with scanned()'s columns; they are subject to
     active, adjust and threshold, and hold for those rows of their key whose text has theirs in its place. engine:
     "native" for Catalyst scans, "arrow" for Python's regexes over Arrow batches; "auto" takes the first for few scans, as
     it needs no Python worker, and the second for many or for patterns that the in-plan form can't take: it is the faster
@@ -167,6 +170,10 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue:
     if not 0 <= threshold <= 1:
         raise ValueError("Threshold must be between 0 and 1.0")
     catalogue = catalogue or Catalogue()
+    if acronyms:
+        from umbra.operators.text import expanded
+
+        docs = docs.withColumn(text, expanded(F.col(text), acronyms).text)
     if engine == "auto":
         scans = catalogue.scans(active, threshold, adjust)
         engine = "native" if len(scans) <= FEW and all(C.terminal_group(s.regex) for s in scans) else "arrow"

@@ -83,18 +83,22 @@ def error_runs(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: st
 
 
 def export(reports: DataFrame, stats: DataFrame, path: str, format: str = "json") -> str:
-    """Writes a report: json and html of summary and types, csv of the documents (by Spark, as many files as it has)."""
+    """Writes a report: json, html and txt of summary and types, csv of the documents (by Spark, as many files as it has)."""
     kind = format.lower()
     if kind == "csv":
         reports.write.mode("overwrite").csv(path, header=True)
         return path
-    if kind not in ("json", "html"):
+    if kind not in ("json", "html", "txt"):
         raise ValueError(f"Unsupported format: {format}. Use 'json', 'csv', or 'html'.")
     whole, types = summary(reports).first().asDict(), [r.asDict() for r in stats.orderBy(F.desc("count"), "entity_type").collect()]  # a row a type
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     if kind == "json":
         Path(path).write_text(json.dumps({**whole, "entities": types}, indent=2))
         return path
+    if kind == "txt":
+        lines = ["Processing Report", "=" * 50, "", *(f"{k.replace('_', ' ').title()}: {v}" for k, v in whole.items()), "", "Entities Found:", *(f"  - {t['entity_type']}: {t['count']}" for t in sorted(types, key=lambda t: t["entity_type"]))]
+        Path(path).write_text("\n".join(lines) + "\n")
+        return path
     rows = lambda cells: "".join(f"<tr>{''.join(f'<td>{html.escape(str(c))}</td>' for c in r)}</tr>" for r in cells)
     Path(path).write_text(f"<!doctype html><title>Report</title><h1>Summary</h1><table>{rows(whole.items())}</table><h1>Entities</h1><table>{rows([(t['entity_type'], t['count'], t['percentage']) for t in types])}</table>")
     return path

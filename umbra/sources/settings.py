@@ -48,6 +48,24 @@ class Settings:
         return True
 
 
+    def export(self, path: str | Path, metadata: bool = True) -> bool:
+        """Writes the part of the settings that reproduces what they do, with counts and examples as metadata."""
+        out: dict[str, Any] = {"version": self.get("version", "1.0.0"), "description": "Configuration for sharing"}
+        if types := self.get("entity_types.active"):
+            out["entity_types"] = {"active": types}
+        if operators := self.get("anonymization.operators"):
+            out["anonymization"] = {"operators": operators}
+        out["processing"] = {k: self.get(f"processing.{k}", v) for k, v in {"batch_size": 1000, "worker_count": None, "expand_acronyms": True, "use_pyarrow": True}.items()}
+        words, known = self.get("acronyms.dictionary") or {}, self.get("patterns") or []
+        if words:
+            out["acronyms"] = {"case_sensitive": self.get("acronyms.case_sensitive", False), "dictionary": words}
+        if metadata and words:
+            out.setdefault("metadata", {})["acronyms"] = {"count": len(words), "examples": dict([*words.items()][:10])}
+        if metadata and known:
+            out.setdefault("metadata", {})["patterns"] = {"count": len(known), "types": sorted({p["entity_type"] for p in known if "entity_type" in p})}
+        return str(path).endswith((".json", ".yaml", ".yml")) and Settings(out).save(path)
+
+
 def _yaml():
     try:
         import yaml
