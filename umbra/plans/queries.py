@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -222,7 +223,20 @@ def detect_threshold(spark, sf_dir):
     return detect(claims(spark, sf_dir), active=set(_STRICT), threshold=0.9)
 
 
-@query("suggested_types")
+def _suggested_sql() -> str:
+    """Votes of each type's phrases (two) and words (one each) in a candidate's context; the first type of most votes."""
+    before, after = "trim(lower(before))", "trim(lower(after))"
+    both = f"({before} || ' ' || {after})"
+    votes = []
+    for kind, phrases in O.C.CONTEXT_BEFORE.items():
+        words = " + ".join(f"CAST(contains({both}, {O.q(w)}) AS INT)" for w in O.C.CONTEXT_WORDS.get(kind, [])) or "0"
+        votes.append(f"CASE WHEN {' OR '.join(f'regexp_matches({before}, {O.q(p)})' for p in phrases)} THEN 2 ELSE 0 END + {words}")
+    kinds = [*O.C.CONTEXT_BEFORE]
+    best = f"[{', '.join(votes)}]"
+    return f"WITH {CLAIMS_SQL}, cand AS ({O.candidates(CATALOGUE, ['AU_TFN', 'AU_CENTRELINK_CRN', 'AU_ABN'], 'claims')}), v AS (SELECT entity_type, {best} AS votes FROM cand) SELECT entity_type, CASE WHEN list_max(votes) > 0 THEN list_extract({kinds!r}, list_position(votes, list_max(votes))) END AS suggested, count(*) AS n FROM v GROUP BY 1, 2"
+
+
+@query("suggested_types", _suggested_sql())
 def suggested_types(spark, sf_dir):
     return suggested(scanned(claims(spark, sf_dir), CATALOGUE, active={"AU_TFN", "AU_CENTRELINK_CRN", "AU_ABN"})).groupBy("entity_type", "suggested").agg(F.count("*").alias("n"))
 
@@ -238,16 +252,20 @@ def doc_entity_counts(spark, sf_dir):
     return report.document_counts(entities(spark, sf_dir)).select("doc_id", "entity_count", F.size("type_counts").cast("bigint").alias("types"))
 
 
+def _by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the segment of their note's customer, which goes along in the key: notes aren't joined again."""
+    notes = claims(spark, sf_dir).select(F.struct("doc_id", "seg").alias("of"), "text")
+    return detect(notes, key="of", active=set(PLAIN)).select("of.seg", "entity_type")
+
+
 @query("entities_by_segment", f"{_DETECT} SELECT seg, entity_type, count(*) AS n FROM entities JOIN claims USING (doc_id) GROUP BY seg, entity_type")
 def entities_by_segment(spark, sf_dir):
-    notes = claims(spark, sf_dir)
-    return detect(notes, active=set(PLAIN)).join(notes.select("doc_id", "seg"), "doc_id").groupBy("seg", "entity_type").agg(F.count("*").alias("n"))
+    return _by_segment(spark, sf_dir).groupBy("seg", "entity_type").agg(F.count("*").alias("n"))
 
 
 @query("entity_rollup", f"{_DETECT} SELECT coalesce(seg, 'ALL') AS seg, coalesce(entity_type, 'ALL') AS entity_type, count(*) AS n FROM entities JOIN claims USING (doc_id) GROUP BY ROLLUP (seg, entity_type)")
 def entity_rollup(spark, sf_dir):
-    notes = claims(spark, sf_dir)
-    rows = detect(notes, active=set(PLAIN)).join(notes.select("doc_id", "seg"), "doc_id").rollup("seg", "entity_type").agg(F.count("*").alias("n"))
+    rows = _by_segment(spark, sf_dir).rollup("seg", "entity_type").agg(F.count("*").alias("n"))
     return rows.select(F.coalesce("seg", F.lit("ALL")).alias("seg"), F.coalesce("entity_type", F.lit("ALL")).alias("entity_type"), "n")
 
 
@@ -457,11 +475,12 @@ def session_counts(spark, sf_dir):
 
 @query("stream_window_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, sf_dir):
-    """The events table as a stream into a memory sink, read when it has run dry."""
+    """The events table as a stream whose last state is written by each batch, read when it has run dry."""
     kind = table(spark, sf_dir, "events").schema
-    name = f"umbra_windows_{abs(hash(sf_dir)) % 10**8}"
+    folder = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='umbra-stream-')}"
+    path = f"{folder.rstrip('/')}/windows-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/even[t]s.parquet")
-    counts = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    running = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp()).start()
+    counts = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+    running = counts.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start()
     running.awaitTermination()
-    return spark.table(name).select(F.col("w.start").alias("window_start"), "event_type", "n")
+    return spark.read.parquet(f"{path}/out")
