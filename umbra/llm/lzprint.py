@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from umbra.llm.kernels import mix, slices
 
 SLOTS = 128
-#: Rows of a range of ids that one task takes.
-ROWS = 4096
-#: Ranges at most, so that their first ids stay a short list on the driver.
-RANGES = 100_000
+#: Bytes of text of a range of rows that one task takes, about.
+RANGE = 8 << 20
+#: Ranges at most, so that their first rows stay a short list on the driver, and rows looked at for each to place its bounds.
+RANGES, LOOKED = 100_000, 16
 _ODD = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _FULL = np.iinfo(np.uint64).max
@@ -136,44 +136,58 @@ def _equal(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a >> np.uint64(48)) == (b >> np.uint64(48))).mean())
 
 
+def _ordered(rank: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Keys and text hashes as 16 bytes each that sort like the pairs."""
+    both = np.stack([np.asarray(rank, np.int64), np.asarray(said, np.int64)], 1).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+
+
 def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row with n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next row is the one of the next smaller key, after the last the first; the edited text has its last third
-    replaced by as much of the next text. Rows of one key follow each other by text; a null key comes after all others
-    and is returned as null; a null text is empty; one single row is its own next one; an empty table gives no rows.
-    Other columns are ignored.
-
-    One shuffle deals the rows to ranges of keys. Each range also gets the next one's first row, so every task has the
-    neighbours it needs. Only counts, range bounds and first ids, a few numbers a range, come to the driver.
+    replaced by as much of the next text. Rows of one key follow each other by text hash, then text; a null key comes
+    after all others and is returned as null; a null text is empty; one single row is its own next one; an empty table
+    gives no rows. Other columns are ignored.
+
+    One shuffle deals the rows to ranges of (key, text hash), cut at equal shares of the bytes, so a key that many rows
+    share is dealt to several tasks; only rows alike in key and text stay together. Each range also gets the next one's
+    first row, so every task has the neighbours it needs. Only counts, range bounds and first rows, a few numbers a range,
+    come to the driver.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rank = F.coalesce("id", F.lit(-(2**63)))  # a null comes last
-    count = rows.count()
-    n = max(1, min(RANGES, -(-count // ROWS)))
-    cuts = np.zeros(0, np.int64)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rank, said = F.coalesce("id", F.lit(-(2**63))), F.xxhash64("text")  # a null comes last
+    size = F.octet_length("text") + 64
+    much = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    n = max(1, min(RANGES, -(-much["bytes"] // RANGE)))
+    cuts = np.zeros(0, "S16")
     if n > 1:
-        shares = [k / n for k in range(1, n)]
-        cuts = np.unique(np.array(rows.agg(F.percentile_approx(rank, shares, max(10_000, 20 * n)).alias("cuts")).first()["cuts"], np.int64))
+        one_of = max(1, much["rows"] // (LOOKED * n))
+        seen = rows.select(rank.alias("rank"), said.alias("said"), size.alias("size")).where(F.pmod(F.xxhash64("rank", "said", F.lit(5)), F.lit(one_of)) == 0).toArrow()
+        places = _ordered(seen.column("rank").to_numpy(), seen.column("said").to_numpy())
+        order = np.argsort(places)
+        share = np.cumsum(seen.column("size").to_numpy()[order].astype(float))
+        if len(order):
+            cuts = np.unique(places[order][np.searchsorted(share, share[-1] * np.arange(1, n) / n)])
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series((len(cuts) - np.searchsorted(cuts, ids.to_numpy(), "left")).astype(np.int32))
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series((len(cuts) - np.searchsorted(cuts, _ordered(ids.to_numpy(), hashes.to_numpy()), "left")).astype(np.int32))
 
-    heads = rows.groupBy(place(rank).alias("range")).agg(F.max(rank).alias("head")).orderBy("range").collect()
+    heads = rows.groupBy(place(rank, said).alias("range")).agg(F.max(F.struct(rank.alias("rank"), said.alias("said"))).alias("head")).orderBy("range").collect()
     kind = f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not heads:
         return docs.sparkSession.createDataFrame([], kind)
-    first = {r["range"]: r["head"] for r in heads}
+    first = {r["range"]: (r["head"]["rank"], r["head"]["said"]) for r in heads}
     before = dict(zip(first, [list(first)[-1], *first], strict=False))  # of the first: the last
 
     @F.pandas_udf("array<int>")
-    def targets(ids: pd.Series) -> pd.Series:
-        at = (len(cuts) - np.searchsorted(cuts, ids.to_numpy(), "left")).tolist()
-        return pd.Series([np.array([r, -1 - before[r]] if first[r] == x else [r], np.int32) for r, x in zip(at, ids.tolist(), strict=True)])
+    def targets(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        at = (len(cuts) - np.searchsorted(cuts, _ordered(ids.to_numpy(), hashes.to_numpy()), "left")).tolist()
+        return pd.Series([np.array([r, -1 - before[r]] if first[r] == x else [r], np.int32) for r, x in zip(at, zip(ids.tolist(), hashes.tolist(), strict=True), strict=True)])
 
-    dealt = rows.select("id", "text", F.explode(targets(rank)).alias("to"))
+    dealt = rows.select("id", "text", F.explode(targets(rank, said)).alias("to"))
     dealt = dealt.select("id", "text", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("to"), (F.col("to") < 0).alias("guest"))
-    sorted_ = dealt.repartitionById(len(cuts) + 1, "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("id"), "text")
+    sorted_ = dealt.repartitionById(len(cuts) + 1, "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("id"), F.desc(F.xxhash64("text")), "text")
     out = sorted_.mapInArrow(_compared, kind.replace(f"{key} long", "id long", 1))
     return out.withColumnRenamed("id", key)
