@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm import components, decontaminate, lattice, lzprint, machine, mixing, sanitise, secrets, setsketch, sstable, toxicity
 from umbra.llm.queries import tokenizer_file
-from umbra.llm.shared import fresh
+from umbra.llm.shared import fresh, training
 
 SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "ñu", "ö", "ti"]
 SCHEMA = "doc_id long, text string, lang string, score double, id long, token string"
@@ -101,6 +101,34 @@ def test_large_buckets_are_compared_in_full(spark, monkeypatch):
     assert got == classes({i: shingles(t, 1) for i, t in enumerate(texts)})
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_group_of_copies_around_one_text(spark, own):
+    """Random edits of one text: the ones under the threshold end by words of their own, or, where copies draw their
+    words from a few, by listing."""
+    rng = random.Random(23)
+    base, texts = prose(rng, 90).split(), []
+    for i in range(260):
+        ws = list(base)
+        for _ in range(rng.randint(0, 9)):
+            ws[rng.randrange(len(ws))] = f"own{i}x{rng.random()}" if own else f"of{rng.randrange(4)}"
+        texts.append(" ".join(ws))
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(documents(spark, texts), width=4).collect()}
+    assert got == classes({i: shingles(t, 4) for i, t in enumerate(texts)})
+
+
+def test_ids_of_many_pairs_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "SPREAD", 7)
+    monkeypatch.setattr(setsketch, "BROADCAST_ROWS", 0)
+    test_large_group_of_near_copies(spark)
+
+
+def test_keys_with_several_texts_stand_for_one(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, "x y z")]
+    got = sorted((r.doc_id, r.component_id) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got in ([(1, 1), (1, 1), (2, 1), (3, 3), (4, 4)], [(1, 1), (1, 1), (2, 2), (3, 1), (4, 4)])
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 3000, np.uint64), rng.integers(0, 2**63, 1000, np.uint64)
@@ -156,7 +184,7 @@ def test_fingerprints_with_next(spark, corpus):
 
 
 def test_fingerprints_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(lzprint, "ROWS", 3)
+    monkeypatch.setattr(lzprint, "RANGE", 200)
     rows = [(k * 7 - 50, f"text number {k}") for k in range(40)] + [(None, "none")]
     got = {r.doc_id: r.near_next for r in lzprint.compared_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     order = sorted((r for r in rows if r[0] is not None), reverse=True) + [rows[-1]]
@@ -164,6 +192,17 @@ def test_fingerprints_over_many_ranges(spark, monkeypatch):
         assert got[i] == lzprint.likeness(lzprint.fingerprint(t), lzprint.fingerprint(order[(k + 1) % len(order)][1]))
 
 
+def test_fingerprints_of_one_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(lzprint, "RANGE", 300)
+    rows = [(None if k % 2 else 7, prose(random.Random(k), 12)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = {(r.doc_id, r.fingerprint): r.near_next for r in lzprint.compared_with_next(df).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, hashes[r[1]]), reverse=True)
+    for k, (i, t) in enumerate(order):
+        assert got[i, lzprint.fingerprint(t)] == lzprint.likeness(lzprint.fingerprint(t), lzprint.fingerprint(order[(k + 1) % len(order)][1]))
+
+
 def test_fingerprints_of_one_row_and_none(spark):
     assert lzprint.compared_with_next(spark.createDataFrame([(4, "abc")], "doc_id long, text string")).first().near_next == 1.0
     assert lzprint.compared_with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -235,6 +274,54 @@ def test_toxicity_finds_passages(spark):
     kept = toxicity.rejected(documents(spark, ODD + [rows[0][1]]), model)
     assert kept.count() == len(ODD) and kept.columns == ["doc_id", "text", "lang", "score", "id", "token"]
     assert toxicity.score(documents(spark, ["idiot"]), toxicity.fit(df.where("doc_id < 0"))).first().score < 0.5
+    with pytest.raises(ValueError):
+        toxicity.score(documents(spark, ["a"]), model, keep=(F.col("score"),))
+
+
+INSULTS = "you utterly worthless stinking pile of rotten garbage fools".split()
+
+
+def _toxic_rows(kind, rng, n=300):
+    """Half toxic: by one passage that stands in different texts word for word, or as near copies of a few texts."""
+    hosts = [prose(rng, 60).split() for _ in range(8)]
+    for i in range(n):
+        ws = prose(rng, 60).split()
+        if i % 2:
+            yield i, " ".join(ws), 0
+        elif kind == "passage":
+            at = rng.randrange(len(ws))
+            yield i, " ".join(ws[:at] + INSULTS + ws[at:]), 1
+        else:
+            host = list(hosts[i % 8])
+            host[rng.randrange(60)] = f"number{i}"
+            yield i, " ".join(host[:30] + INSULTS + host[30:]), 1
+
+
+@pytest.mark.parametrize("kind", ["passage", "copies"])
+def test_toxic_words_of_fixed_passages_and_copies_are_learnt(spark, kind):
+    df = spark.createDataFrame(list(_toxic_rows(kind, random.Random(21))), "doc_id long, text string, label int")
+    model = toxicity.fit(df)
+    assert {w.encode() for w in INSULTS} <= set(model.lexicon)
+    fresh_ = documents(spark, [" ".join(prose(random.Random(31 + i), 40).split() + INSULTS) for i in range(5)] + [prose(random.Random(50 + i), 60) for i in range(20)])
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(fresh_, model).collect()}
+    assert all(got[i] for i in range(5)) and sum(got[i] for i in range(5, 25)) <= 1
+
+
+def test_the_curve_converges_on_separable_rows():
+    x = np.concatenate([np.zeros(14_000), np.full(60, 2.1), np.linspace(2.8, 7, 1700)])
+    y = np.concatenate([np.zeros(14_060), np.ones(1700)])
+    a, b = toxicity.curve(x, y)
+    assert ((a + b * x >= 0) == (y == 1)).all()
+
+
+def test_training_takes_keys_before_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(3, "a text"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (None, 1), (4, None)], "doc_id long, label int")
+    got = {r.key: (r.text, r.label) for r in training(docs, labels, "doc_id", "text", "label", 1000).collect()}
+    assert len(got) == 50 and got[3] == ("a text", 1) and got[4] == ("text 4", 0)
+    few = [training(docs.repartition(n), labels, "doc_id", "text", "label", 10).collect() for n in (1, 5)]
+    assert sorted(few[0]) == sorted(few[1]) and len(few[0]) <= 10
+    assert training(docs.where("doc_id < 0"), labels, "doc_id", "text", "label", 10).count() == 0
 
 
 PII = ["mail ann.b@x.example.com or +61 (2) 1234-5678", "ip 10.0.0.255 and 10.0.0.256", "card 4111 1111 1111 1111 4111-1111-1111-1112", "a@b", "@@x@y.z.", "x.y@z.w@q.r", "1.2.3.4.5.6.7.8", "+1+22222222222", "0" * 5000 + ".1.1.1"]
@@ -304,14 +391,40 @@ def test_terms_go_from_every_document_that_names_the_entity(spark):
 def test_mixing_meets_the_targets(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 50) if i % 4 else " | ".join(prose(rng, 50).split()), "clean" if i % 4 else "low") for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
-    out = mixing.mixed(df, df, {"clean": 0.9, "low": 0.1}).collect()
+    df, weights = spark.createDataFrame(rows, "doc_id long, text string, domain string"), {"clean": 0.9, "low": 0.1}
+    model = mixing.fit(df, None, list(weights))
+    out = mixing.mixed(df, model, weights).collect()
     got = [sum(r.tokens * r.p[k] * r.rate for r in out) for k in range(2)]
     assert all(r.rate >= 0 for r in out) and abs(got[0] / sum(got) - 0.9) < 0.01
-    thin = mixing.mix(df, df, {"clean": 0.9, "low": 0.1}, most=1.0)
+    thin = mixing.mix(df, model, weights, most=1.0)
     kept = Counter(r.domain for r in thin.collect())
     assert thin.columns == df.columns and kept["clean"] >= 295 and kept["low"] < 80
-    assert mixing.mix(documents(spark, ODD), df, {"clean": 0.9, "low": 0.1}).columns == documents(spark, []).columns
+    odd = mixing.mix(documents(spark, ODD), model, weights)
+    assert odd.columns == documents(spark, []).columns and odd.count() >= 0 and mixing.mix(documents(spark, []), model, weights).count() == 0
+
+
+def test_mixing_copies_rows_by_their_rate(spark):
+    df = spark.createDataFrame([(i, f"word{i} again") for i in range(60)], "doc_id long, text string")
+    none = mixing.fit(df.where("doc_id < 0").selectExpr("doc_id", "text", "'a' as domain"), None, ["a", "b"])
+    got = Counter(r.doc_id for r in mixing.mix(df, none, {"a": 0.5, "b": 0.5}, total=300.0).collect())  # 120 tokens, 300 wanted: 2.5 times each
+    assert set(got.values()) == {2, 3} and len(got) == 60
+
+
+@pytest.mark.parametrize("most", [float("inf"), 1.0])
+def test_rates_minimise_the_least_squares(spark, most):
+    rng = np.random.default_rng(7)
+    p, t = rng.dirichlet([0.3] * 3, 60), rng.integers(0, 900, 60)
+    known = spark.createDataFrame([(int(n), [float(x) for x in row]) for n, row in zip(t, p)], "tokens long, p array<double>")
+    share, total = np.array([0.5, 0.3, 0.2]), 0.8 * t.sum()
+    steps, goal, reached = mixing.fitted(known, {"a": 0.5, "b": 0.3, "c": 0.2}, total=total, most=most)
+    assert np.allclose(goal, share * total)
+    r, _ = steps.rates(p)
+    assert r.min() >= 0 and r.max() <= most and np.allclose((t * r) @ p, reached)
+    a, x = (p * t[:, None]).T, np.ones(60)  # brute force: very many small plain gradient steps
+    for _ in range(100_000):
+        x = np.clip(x - a.T @ (a @ x - goal) / np.linalg.norm(a, 2) ** 2, 0, most)
+    best = np.linalg.norm(a @ x - goal)
+    assert np.linalg.norm(reached - goal) <= best + 2e-2 * goal.sum()
 
 
 def naive_hits(doc, items, width=13):
@@ -347,7 +460,7 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     test_decontamination_equals_brute_force(spark)
 
 
@@ -386,6 +499,51 @@ def test_lattice_scores_equal_the_plain_model(spark, corpus, monkeypatch):
     assert twice.where("doc_id = 3").select("score").distinct().count() == 1 and twice.count() == len(texts) + 1
 
 
+def test_lattice_scores_equal_brute_force(spark, corpus):
+    """score and lattice against sums over every segmentation, with the pieces' probabilities that training gives."""
+    texts = ["ab ba aab", "zz ab", None, "é ab\tbab", "ab ab ab", "cab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = lattice.Lattice.of(tokenizer_file("piece_bpe_32k.model"))
+    learn = F.col("doc_id") != 5
+    got = {r.doc_id: r for r in lattice.score(df, learn, tokenizer_file("piece_bpe_32k.model"), rounds=2, head=2).collect()}
+    counts = Counter(w for t in texts[:5] for w in (t or "").split())
+
+    def ways(m, s, i=0):
+        """Every segmentation of s[i:]: the log-probabilities of its pieces; a character without a piece is its bytes."""
+        if i == len(s):
+            yield []
+            return
+        pieces = [(s[i:j], m.log[s[i:j]]) for j in range(i + 1, len(s) + 1) if s[i:j] in m.log]
+        if not any(len(p) == 1 for p, _ in pieces):
+            pieces.append((s[i], sum(m.bytes_log[b] for b in s[i].encode())))
+        for p, v in pieces:
+            for rest in ways(m, s, i + len(p)):
+                yield [(p, v), *rest]
+
+    total_of = lambda m, w: sum(math.exp(sum(v for _, v in x)) for x in ways(m, "▁" + w))
+    m = start
+    for _ in range(2):  # expectation maximisation over distinct words, by enumeration
+        n, of_bytes = Counter(), [0.0] * 256
+        for w in counts:
+            z = total_of(m, w)
+            for x in ways(m, "▁" + w):
+                share = math.exp(sum(v for _, v in x)) / z
+                for p, v in x:
+                    if p in m.log and m.log[p] == v:
+                        n[p] += share
+                    else:
+                        for b in p.encode():
+                            of_bytes[b] += share
+        m = lattice.Lattice.normalised({p: n[p] + lattice.FLOOR for p in m.log}, [x + lattice.FLOOR for x in of_bytes], 5 + lattice.FLOOR)
+    total, distinct, d = sum(counts.values()) + 5, len(counts) + 1, lattice.DISCOUNT
+    for i, t in enumerate(texts):
+        ws = (t or "").split()
+        pure = sum(math.log10(total_of(m, w)) for w in ws) + m.end / math.log(10)
+        whole = sum(math.log10(d * distinct / total * total_of(m, w) + max(0, counts[w] - d) / total) for w in ws)
+        whole += math.log10((5 - d) / total + d * distinct / total * math.exp(m.end))
+        assert abs(got[i].lattice - pure) < 1e-6 and abs(got[i].score - whole) < 1e-6
+
+
 def test_lattice_learns_in_two_rounds(spark, corpus):
     df, file = documents(spark, corpus[:40]), tokenizer_file("piece_bpe_32k.model")
     learn = (F.col("doc_id") % 7) != 2
@@ -412,6 +570,30 @@ def test_secret_forest(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_planted_findings_held_out(spark):
+    rows = secrets.planted(spark, 3000).cache()
+    at = secrets.candidates(rows, "n", "text", "path").join(rows.select("n", "start", "end", "label"), ["n", "start", "end"])
+    assert at.count() > 2800  # nearly every planted value is one candidate
+    docs = rows.where("n % 5 = 0").select(F.col("n").alias("doc_id"), "text")
+    host = documents(spark, [prose(random.Random(i), 80) for i in range(50)], 10**6).select("doc_id", "text")
+    got = secrets.scan(docs.unionByName(host), rows.where("n % 5 <> 0").drop("n"))
+    held = got.join(rows.selectExpr("n as doc_id", "start", "end", "label"), ["doc_id", "start", "end"]).collect()
+    caught = np.mean([r.predicted for r in held if r.label])
+    right = np.mean([r.label for r in held if r.predicted])
+    assert caught > 0.9 and right > 0.9 and 0.2 < np.mean([r.label for r in held]) < 0.8
+
+
+def test_bare_keys_are_told_from_names(spark):
+    rng = random.Random(19)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    texts = [f"{prose(rng, 8)} {key()} {prose(rng, 5)}" for _ in range(40)] + [f"{prose(rng, 8)} defaultUserFactoryManager {prose(rng, 3)}" for _ in range(40)]
+    got = secrets.scan(documents(spark, texts)).collect()
+    assert np.mean([r.predicted for r in got if r.candidate.startswith("AKIA")]) > 0.9
+    assert np.mean([r.predicted for r in got if r.candidate.startswith("default")]) < 0.1
+    clash = documents(spark, texts[:3]).select(F.col("doc_id").alias("path"), F.col("text").alias("start"))
+    assert secrets.scan(clash, key="path", text="start").columns[0] == "path"
+
+
 def test_unquoted_secrets_are_found(spark):
     rng = random.Random(16)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
@@ -434,7 +616,7 @@ def test_token_shards_round_trip(spark, corpus, monkeypatch):
 
     path, file = fresh(spark, "t"), tokenizer_file("word_bpe_49k.json")
     df = documents(spark, corpus).unionByName(documents(spark, ["none"]).withColumn("doc_id", F.lit(None).cast("long")))
-    sstable.write(df, path, file, rows=20, shard=2000)
+    sstable.write(df, path, file, size=4000, shard=2000)
     t = Tokenizer.from_file(file)
     order = [(None, "none"), *enumerate(corpus)]
     at, want = 0, {}
@@ -457,8 +639,9 @@ def test_encoder_equals_the_library():
     encode, t = sstable.Encoder(file), Tokenizer.from_file(file)
     rng = random.Random(14)
     alphabet = "aB1 'sth$\tÉñß²½ºª«\xa0\x85́Σσİ漢\U0001f600\n<|endoftext|>"
-    for _ in range(400):
-        s = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+    assert encode.by_word
+    for k in range(800):
+        s = "".join(rng.choice(alphabet if k % 2 else "aBcé ßñ$'s12!") for _ in range(rng.randint(0, 40)))
         assert encode(s, 1) == np.array([*t.encode(s, add_special_tokens=False).ids, 1], "<u2").tobytes()
 
 
