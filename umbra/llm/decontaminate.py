@@ -1,10 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 A window is 13 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. One scan of
-the documents splits each text once. A small bitmap over hashes of a window's first and last word, a literal of the plan,
-drops nearly all windows inside the row; the few that are left carry their words and meet the hash set of windows in a
-join that compares length, hash and words, so a hit is verified there and no text is read or shuffled a second time. The
-hash set is broadcast while its measured bytes stay under a bound, and joined by a shuffle beyond it.
+the documents splits each text once. Two small bitmaps, literals of the plan, drop nearly all windows inside the row: one
+over hashes of a window's first and last word, and for those left one over the hash of all words. The few that are left
+carry their words and meet the hash set of windows in a join that compares length, hash and words, so a hit is verified
+there and no text is read or shuffled a second time. The hash set is broadcast while its measured bytes stay under a
+bound, and joined by a shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from umbra.llm.shared import drop, written
 WIDTH = 13
 #: Bytes of a table (windows with their words; ids of documents to drop) that is broadcast at most.
 BROADCAST_BYTES = 64 << 20
-#: Places of the bitmap for each window, and at most.
-PLACES, MOST_PLACES = 16, 1 << 22
+#: Places of a bitmap for each window, and at most.
+PLACES, MOST_PLACES = 32, 1 << 22
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words where case still stands.
 CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,21 +42,31 @@ def _ends(first: Column, last: Column, length: int, places: int) -> Column:
     return F.xxhash64(first, last, F.lit(length)).bitwiseAND(F.lit(places - 1)).cast("int")
 
 
-def _bitmap(grams: DataFrame, lengths: list[int], places: int) -> Column:
+def _bitmap(grams: DataFrame, place: Column, places: int) -> Column:
     """An array literal with true where a benchmark window has its place: at most MOST_PLACES flags."""
+    on = {r["at"] for r in grams.select(place.alias("at")).distinct().collect()}  # at most `places` numbers
+    return F.split(F.lit(",".join("1" if i in on else "0" for i in range(places))), ",").cast("array<boolean>")
+
+
+def _bitmaps(grams: DataFrame, lengths: list[int], places: int) -> tuple[Column, Column]:
     kind = None
     for n in lengths:
         here = _ends(F.xxhash64(F.element_at("w", 1)), F.xxhash64(F.element_at("w", -1)), n, places)
         kind = F.when(F.col("len") == n, here) if kind is None else kind.when(F.col("len") == n, here)
-    on = {r["at"] for r in grams.select(kind.alias("at")).distinct().collect()}  # at most `places` numbers
-    return F.split(F.lit(",".join("1" if i in on else "0" for i in range(places))), ",").cast("array<boolean>")
+    return _bitmap(grams, kind, places), _bitmap(grams, _whole(F.col("gram"), places), places)
+
+
+def _whole(gram: Column, places: int) -> Column:
+    return gram.bitwiseAND(F.lit(places - 1)).cast("int")
 
 
-def _windows(ws: Column, hs: Column, length: int, bitmap: Column, places: int) -> Column:
-    """(pos, len, gram, said) of those windows of a text that the bitmap lets through."""
-    size = F.size(ws)
-    maybe = F.filter(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.get(bitmap, _ends(F.get(hs, i - 1), F.get(hs, i + (length - 2)), length, places)))
-    every = F.transform(maybe, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(hs, i, length)).alias("gram"), F.array_join(F.slice(ws, i, length), " ").alias("said")))
+def _windows(ws: Column, hs: Column, length: int, bitmaps: tuple[Column, Column], places: int) -> Column:
+    """(pos, len, gram, said) of those windows of a text that the bitmaps let through."""
+    size, (ends, whole) = F.size(ws), bitmaps
+    maybe = F.filter(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.get(ends, _ends(F.get(hs, i - 1), F.get(hs, i + (length - 2)), length, places)))
+    each = F.transform(maybe, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hs, i, length)).alias("gram")))
+    left = F.filter(each, lambda w: F.get(whole, _whole(w.gram, places)))
+    every = F.transform(left, lambda w: F.struct(w.pos.alias("pos"), F.lit(length).alias("len"), w.gram.alias("gram"), F.array_join(F.slice(ws, w.pos, length), " ").alias("said")))
     return F.when(size >= length, every).otherwise(F.array().cast(_NONE))
 
 
@@ -77,17 +88,16 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     grams = written(benchmark_windows(bench, item, item_text, width), "benchmark")
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most `width` numbers
     size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("said") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
-    places = 1 << max(10, min(MOST_PLACES, PLACES * size["n"]) - 1).bit_length()
-    places = min(MOST_PLACES, places)
+    places = min(MOST_PLACES, 1 << (max(10, PLACES * size["n"]) - 1).bit_length())
 
     row = [F.col(key).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
 
     def looked(ws: Column) -> Column:
         none = F.array().cast(_NONE)
-        found = none if not lengths else _bound(F.transform(ws, lambda x: F.xxhash64(x)), lambda hs: F.concat(*[_windows(ws, hs, n, bitmap, places) for n in lengths]))
+        found = none if not lengths else _bound(F.transform(ws, lambda x: F.xxhash64(x)), lambda hs: F.concat(*[_windows(ws, hs, n, bitmaps, places) for n in lengths]))
         return F.array(F.struct(F.size(ws).cast("bigint").alias("n_words"), found.alias("maybe")))
 
-    bitmap = _bitmap(grams, lengths, places) if lengths else F.array().cast("array<boolean>")
+    bitmaps = _bitmaps(grams, lengths, places) if lengths else None
     seen = docs.select(*row, F.get(_bound(word_array(F.col(text)), looked), F.lit(0)).alias("x")).select("id", "text_hash", "x.*")
     found = written(seen, "windows")
 
