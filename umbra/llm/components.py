@@ -9,7 +9,8 @@ from umbra.llm.shared import drop, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root): root is the least node reachable. Nodes without links don't appear.
+    """(a, b) links to (node, root): root is the least node reachable. Nodes without links don't appear; links that repeat
+    or join a node with itself add nothing; an empty table gives no rows. Other columns are ignored; ids aren't null.
 
     Each round gives every remaining node the least of itself and its neighbours as parent, follows parents
     twice, and contracts the links; stars, the usual shape here, end after one round. Nothing is collected:
@@ -20,11 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parent")
+        first = parent
         for _ in range(2):
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("up"))
-            shorter = written(parent.join(up, "p").select("a", F.col("up").alias("p")), "parent")
-            drop(parent)
-            parent = shorter
+            parent = parent.join(up, "p").select("a", F.col("up").alias("p"))
+        parent = written(parent, "parent")
+        drop(first)
         to = parent.select(F.col("a").alias("root"), F.col("p").alias("next"))
         if labels is None:
             new = written(parent.select(F.col("a").alias("node"), F.col("p").alias("root")), "labels")

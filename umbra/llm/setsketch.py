@@ -6,13 +6,23 @@ and equal registers are likelier the more alike two sets are. With b = 1.001 and
 Jaccard similarity to within 0.0003.
 
 Plan. Texts with one and the same set are grouped by a 128-bit digest first, so that thousands of copies are one set.
-Bands of registers give candidate buckets. Pairs never come from all pairs of a bucket: each bucket pairs its members
-with one pivot, verified links are contracted to components, and only what still crosses components goes on. Buckets
-whose crossing pairs would exceed a multiple of their members are compared slice by slice, each slice of members with
-all others, and links are contracted after each slice. Every pair of a bucket is compared or already connected at the
-end, so no bucket is cut off.
+Bands of registers give candidate buckets. Pairs never come from all pairs of a bucket while there's another way:
+
+1. Twice, each bucket's most central member (the one that shares most buckets with others) is compared with all members
+   of other components, links are contracted to components, and the central member, now judged against all, leaves.
+2. The shingles of the members that still share a bucket with another component are counted over them. One that no other
+   such member has can't be in any intersection, so with s other shingles a set of n has a similarity of at most s / n
+   to anything, and two sets of at most m / (n1 + n2 - m) to each other, m the lesser s. Two members that share a shingle
+   which few have (RARE at most) are found by that shingle, a few pairs for each; for all others the bound holds with the
+   lesser number of shingles that many have. The bounds are exact: members and pairs below the threshold are dropped
+   without losing a link. Near copies of one text that lie under the threshold from its centre are mostly so by words of
+   their own, and end here.
+3. Crossing pairs that the bounds leave are listed and judged; in buckets that would list very many, one slice of members
+   with all others at a time, links being contracted after each slice.
+
+Every pair of a bucket is judged, bounded under the threshold, or already connected at the end, so no bucket is cut off.
 A pair is first judged by the joint maximum-likelihood estimate from registers and set sizes; survivors are
-compared exactly on their full sets.
+compared exactly on their full sets. A pair is judged once.
 """
 
 from __future__ import annotations
@@ -24,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from umbra.llm.components import components
 from umbra.llm.kernels import mix, shingle_sets, slices, utf8, words
@@ -34,11 +43,17 @@ BASE, TOP = 1.001, 65534
 ROWS, BANDS = 7, 36
 REGISTERS = ROWS * BANDS
 #: A pair goes on to exact comparison unless its estimate lies this many standard errors under the threshold.
-ERRORS = 4.0
+ERRORS = 6.0
 #: A bucket's crossing pairs are listed at once while they're at most so many a member; else slice by slice.
-PER_MEMBER = 32
+PER_MEMBER = 512
 #: Members of the largest bucket that are compared with the whole bucket in one turn, about.
-SLICE = 256
+SLICE = 1024
+#: Pairs of one id that one task joins to its registers or text; an id of more is split.
+SPREAD = 1000
+#: Rows of a table of ids that is broadcast at most: 16 bytes each, twice that as a hash table.
+BROADCAST_ROWS = 1_000_000
+#: Members that may hold a shingle which pairs are found by.
+RARE = 4
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -79,17 +94,36 @@ def estimate(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (lo + hi) / 2
 
 
-def _sketches(width: int, key: str, text: str):
+def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, "text"):
                 n, digest, regs = [], [], []
-                hashes, _, _, tok = words(*utf8(part.column(text)))
+                hashes, _, _, tok = words(*utf8(part.column("text")))
                 for members in shingle_sets(hashes, tok, width):
                     n.append(len(members))
                     digest.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None)
                     regs.append(registers(members).tobytes() if len(members) else None)
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n", "digest", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("said"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["id", "said", "n", "digest", "regs"])
+
+    return run
+
+
+def _tokens(width: int):
+    """(token, times, ids): each shingle of a part of the texts, how often it stands there, and who holds it, where few do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, _, _, tok = words(*utf8(part.column("text")))
+                sets = list(shingle_sets(hashes, tok, width))
+                every = np.concatenate([np.zeros(0, np.uint64), *sets])
+                ids = np.repeat(part.column("id").to_numpy(), [len(x) for x in sets])
+                order = np.argsort(every, kind="stable")
+                token, first, times = np.unique(every[order], return_index=True, return_counts=True)
+                few = np.repeat(times <= RARE, times)
+                at = np.concatenate([[0], np.cumsum(np.where(times <= RARE, times, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(ids[order][few], pa.int64()))], names=["token", "times", "ids"])
 
     return run
 
@@ -118,15 +152,17 @@ def _near(threshold: float):
 def _same(width: int, percent: int):
     """Pairs with 100 * intersection >= percent * union on their full sets."""
 
+    def sets(part: pa.RecordBatch, of: str, text: str) -> list[np.ndarray]:
+        _, first, place = np.unique(part.column(of).to_numpy(), return_index=True, return_inverse=True)
+        hashes, _, _, tok = words(*utf8(part.column(text).take(pa.array(first))))  # a text of many pairs once
+        each = list(shingle_sets(hashes, tok, width))
+        return [each[k] for k in place.tolist()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ta"):
-                sets = []
-                for c in ("ta", "tb"):
-                    hashes, _, _, tok = words(*utf8(part.column(c)))
-                    sets.append(list(shingle_sets(hashes, tok, width)))
                 keep = []
-                for x, y in zip(*sets, strict=True):
+                for x, y in zip(sets(part, "a", "ta"), sets(part, "b", "tb"), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -134,24 +170,63 @@ def _same(width: int, percent: int):
     return run
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcasting while its count allows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 class _Search:
-    """The state of one run over written tables: reps (id, n, regs), text of candidates, links found."""
+    """The state of one run: docs (id, said, text), reps (id, n, regs; one id for each distinct set), links found, pairs judged."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, key: str, text: str, width: int, percent: int):
-        self.docs, self.reps, self.key, self.text, self.width, self.percent = docs, reps, key, text, width, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int, unique: bool):
+        self.docs, self.reps, self.width, self.percent, self.unique = docs, reps, width, percent, unique
         self.links: list[DataFrame] = []
+        self.judged: list[DataFrame] = []
+        self.made: list[DataFrame] = []  # small tables that go when the run ends
         self.roots: DataFrame | None = None
-        self.texts: DataFrame | None = None
+
+    def texts(self, ids: DataFrame, few: bool) -> DataFrame:
+        """(id, text) of some ids, which may repeat; an id that stands for several texts is its text of least hash."""
+        some = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        if self.unique:
+            return some.select("id", "text")
+        return some.groupBy("id").agg(F.min(F.struct("said", "text")).alias("x")).select("id", "x.text")
+
+    def hot(self, pairs: DataFrame) -> DataFrame | None:
+        """(id, salts) of the ids of very many written pairs, None where there's none."""
+        if pairs.count() <= SPREAD:
+            return None
+        each = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+        found = written(each.where(F.col("count") > SPREAD).select("id", F.ceil(F.col("count") / SPREAD).cast("int").alias("salts")), "hot")
+        self.made.append(found)
+        return None if found.isEmpty() else _small(found)
+
+    def attached(self, pairs: DataFrame, side: str, table: DataFrame, names: list[str], hot: DataFrame | None) -> DataFrame:
+        """Pairs with the columns of table (id, ...) of one side; an id of very many pairs is dealt to several tasks."""
+        named = table.toDF(side, *names)
+        if hot is None:
+            return pairs.join(named, side)
+        few = hot.withColumnRenamed("id", side)
+        left = pairs.join(few, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        right = named.join(few, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        return left.join(right, [side, "salt"]).drop("salt")
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of the distinct (a, b) that are links and contracts anew."""
+        for old in self.judged:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        self.judged.append(pairs)
+        hot = self.hot(pairs)
         regs = self.reps.select("id", "n", "regs")
-        joined = pairs.join(regs.toDF("a", "na", "ra"), "a").join(regs.toDF("b", "nb", "rb"), "b")
-        near = written(joined.mapInArrow(_near(self.percent / 100), "a long, b long"), "near")
-        if not near.isEmpty():
-            texts = self.texts.toDF("id", "text")
-            full = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+        joined = self.attached(self.attached(pairs, "a", regs, ["na", "ra"], hot), "b", regs, ["nb", "rb"], hot)
+        near = written(joined.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_near(self.percent / 100), "a long, b long"), "near")
+        many = near.count()
+        if many:
+            texts = written(self.texts(near.select(F.explode(F.array("a", "b")).alias("id")), 2 * many <= BROADCAST_ROWS), "texts")
+            full = self.attached(self.attached(near, "a", texts, ["ta"], hot), "b", texts, ["tb"], hot).select("a", "b", "ta", "tb")
             found = written(full.mapInArrow(_same(self.width, self.percent), "a long, b long"), "found")
+            drop(texts)
             if not found.isEmpty():
                 self.links.append(found)
                 edges = self.links[0]
@@ -168,42 +243,75 @@ class _Search:
             return rows.withColumn("root", F.col("id"))
         return rows.join(self.roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    def crossing(self, rows: DataFrame, what: str = "rows") -> DataFrame:
-        """(id, key, band, root, members, pairs) of buckets that hold more than one component, written."""
-        rows = written(self.rooted(rows), what)
+    def crossing(self, rows: DataFrame) -> DataFrame:
+        """Rows (with root, members, pairs) of buckets that hold more than one component, written."""
+        rows = self.rooted(rows.drop("root", "members", "pairs"))
         parts = rows.groupBy("key", "root").count()
         whole = parts.groupBy("key").agg(F.sum("count").alias("members"), F.count("*").alias("parts"), ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
-        out = written(rows.join(whole.where("parts > 1").select("key", "members", "pairs"), "key"), what)
-        drop(rows)
-        return out
-
-    def star(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each bucket's pivot of this turn with its members in other components; rows that remain to be seen."""
-        pick = F.xxhash64(F.col("id"), F.lit(turn))
-        pivot = rows.groupBy("key").agg(F.min_by(F.struct("id", "root"), pick).alias("pivot"))
-        to = rows.join(pivot, "key").where("root <> pivot.root")
-        return to.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        return written(rows.join(whole.where("parts > 1").select("key", "members", "pairs"), "key"), "rows")
+
+    def star(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of each bucket's most central member with its members in other components, and the rows without that
+        member. In the second turn the central one is that outside the component of the most central of all."""
+        rank = F.struct("popular", -F.col("id"))
+        some = rows
+        if turn:
+            lead = rows.groupBy("key").agg(F.max_by("root", rank).alias("lead"))
+            some = rows.join(lead, "key").where("root <> lead")
+        pivot = some.groupBy("key").agg(F.max_by(F.struct("id", "root"), rank).alias("pivot"))
+        both = written(rows.join(pivot, "key"), "star")
+        self.made.append(both)
+        pairs = both.where("root <> pivot.root").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        return pairs, both.where("id <> pivot.id").select("id", "key", "n", "popular")
+
+    def bounded(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of members that can have a link at all, with s, the shingles that others may share, and f, those that
+        many have; and the pairs of such members in other components that share a shingle which few have."""
+        ids = written(rows.select("id", "n", "root").distinct(), "ids")
+        texts = self.texts(ids.select("id"), ids.count() <= BROADCAST_ROWS)
+        tokens = written(texts.mapInArrow(_tokens(self.width), "token long, times long, ids array<long>"), "tokens")
+        totals = tokens.groupBy("token").agg(F.sum("times").alias("t"), F.min(F.get("ids", F.lit(0))).alias("id"))
+        totals = written(totals.where(F.col("t") <= RARE), "totals")
+        own = totals.where("t = 1").groupBy("id").agg(F.count("*").alias("own"))
+        rare = written(tokens.join(totals.where("t > 1").select("token"), "token").select("token", F.explode("ids").alias("id")), "rare")
+        some = rare.groupBy("id").agg(F.count("*").alias("rare"))
+        s = F.col("n") - F.coalesce("own", F.lit(0))
+        known = ids.join(own, "id", "left").join(some, "id", "left").select("id", "n", "root", s.alias("s"), (s - F.coalesce("rare", F.lit(0))).alias("f"))
+        known = written(known.where(100 * F.col("s") >= self.percent * F.col("n")), "known")
+        drop(ids, tokens, totals)
+        self.made += [rare, known]
+        holds = rare.join(known, "id")
+        other = holds.select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "root", "s")))
+        both = F.least("s", "s2")
+        shared = holds.join(other, "token").where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (100 * both >= self.percent * (F.col("n") + F.col("n2") - both)))
+        pairs = shared.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+        return rows.join(known.select("id", "s", "f"), "id"), pairs
 
     def run(self) -> None:
-        keyed = self.reps.select("id", F.posexplode(_bands()).alias("band", "key"))
-        shared = keyed.groupBy("key").count().where("count > 1").select("key")
-        rows = written(keyed.join(shared, "key").select("id", "key", "band"), "buckets")
-        if rows.isEmpty():
+        keyed = self.reps.select("id", "n", F.explode(_bands()).alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        first = written(keyed.join(shared, "key"), "buckets")
+        if first.isEmpty():
             return
-        ids = rows.select("id").distinct()
-        self.texts = written(self.docs.join(ids.withColumnRenamed("id", self.key), self.key, "left_semi").select(self.key, F.coalesce(self.text, F.lit("")).alias("text")).dropDuplicates([self.key]), "texts")
+        popular = first.groupBy("id").agg(F.sum("size").alias("popular"))
+        rows = first.join(popular, "id").select("id", "key", "n", "popular")
         for turn in range(2):
             now = self.crossing(rows)
-            drop(rows)
-            rows = now.select("id", "key", "band")
-            rows._umbra_path = now._umbra_path
-            if rows.isEmpty():
+            if now.isEmpty():
                 return
-            self.verify(self.star(now, turn))
+            pairs, rows = self.star(now, turn)
+            self.verify(pairs)
+            drop(now)
+        drop(first)
         now = self.crossing(rows)
+        if now.isEmpty():
+            return
+        left, sharing = self.bounded(now)
+        old, now = now, self.crossing(left)
+        drop(old)
         few = now.where(F.col("pairs") <= PER_MEMBER * F.col("members"))
-        self.verify(self.listed(few, few))
-        large = now.where(F.col("pairs") > PER_MEMBER * F.col("members")).select("id", "key", "band")
+        self.verify(self.listed(few, few).unionByName(sharing).distinct())
+        large = now.where(F.col("pairs") > PER_MEMBER * F.col("members"))
         if large.isEmpty():
             drop(now)
             return
@@ -216,16 +324,19 @@ class _Search:
         part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(turns))
         for turn in range(turns):
             self.verify(self.listed(now.where(part == turn), now))
-            old, now = now, self.crossing(now.where(part > turn).select("id", "key", "band"))
+            old, now = now, self.crossing(now.where(part > turn))
             drop(old)
             if now.isEmpty():
                 return
 
     def listed(self, some: DataFrame, rows: DataFrame) -> DataFrame:
-        """Distinct crossing pairs of some of a bucket's rows with all of its rows."""
-        left = some.select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-        right = rows.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
-        return left.join(right, "key").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        """Distinct crossing pairs of some of a bucket's rows with all of its rows that the bound leaves. Pairs that share
+        a shingle which few have are judged before, so only those that many have count here."""
+        left = some.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("f").alias("fx"))
+        right = rows.select(F.col("key").alias("of"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("f").alias("fy"))
+        both = F.least("fx", "fy")
+        may = (F.col("rx") != F.col("ry")) & (100 * both >= self.percent * (F.col("nx") + F.col("ny") - both))
+        return left.join(right, (F.col("key") == F.col("of")) & may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -233,21 +344,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Links join texts whose sets of width-word shingles have 100 * intersection >= percent * union; words are split at
     ASCII white space with A-Z lowered. A null, empty or blank text has an empty set and links with nothing. A text of
-    fewer words is one shingle. Rows that repeat a key are one document when their texts agree; when they don't, the
-    key stands for the row that a join finds first. A null key links with nothing and isn't kept out: its
+    fewer words is one shingle. Rows that repeat a key are one document: where their texts differ, that of the least
+    hash stands for all, and the others belong to its class. A null key links with nothing and isn't kept out: its
     component_id is null and kept is true. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = written(rows.mapInArrow(_sketches(width, "id", "text"), T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("regs", T.BinaryType())])), "sketches")
-    some = base.where("digest is not null and id is not null")
-    groups = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    reps = written(groups, "reps")
-    plain = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    search = _Search(plain, reps, key, text, width, percent)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("said"), "text")
+    base = written(rows.mapInArrow(_sketches(width), "id long, said long, n long, digest binary, regs binary"), "sketches")
+    some = base.where("id is not null")
+    used = [base]
+    again = written(some.groupBy("id").count().where("count > 1").select("id"), "again")
+    unique = again.isEmpty()
+    if not unique:  # the sets of keys that repeat: one row each
+        once = some.join(_small(again), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("said", "n", "digest", "regs"), "said").alias("x")).select("id", "x.*")
+        some = written(some.join(_small(again), "id", "left_anti").select("id", "said", "n", "digest", "regs").unionByName(once), "sketches")
+        used.append(some)
+    some = some.where("digest is not null")
+    # equal sets: all but the least id are copies of it; registers aren't shuffled for that
+    groups = written(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"), "groups")
+    copies = written(some.select("id", "digest").join(_small(groups), "digest").where("id <> rep").select("id", "rep"), "copies")
+    reps = some.join(_small(copies), "id", "left_anti")
+    search = _Search(rows.where("id is not null"), reps, width, percent, unique)
     search.run()
-    classes = search.rooted(reps.select("id", "digest")).select("digest", "root")
-    out = base.select("id", "n", "digest").join(classes, "digest", "left")
+    whole = copies.select("id", F.col("rep").alias("node"))
+    if search.roots is not None:
+        linked = search.roots.select(F.col("node").alias("id"), "root")
+        whole = whole.join(search.roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")).unionByName(linked)
+    else:
+        whole = whole.withColumnRenamed("node", "root")
+    classes = written(whole, "roots")  # one row for each id that isn't alone
+    out = base.select("id", "n").join(_small(classes), "id", "left")
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     out = written(out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))), "classes")
-    drop(base, reps, *search.links, *[x for x in (search.roots, search.texts) if x is not None])
+    drop(*used, again, groups, copies, classes, *search.links, *search.judged, *search.made, *([search.roots] if search.roots is not None else []))
     return out
