@@ -8,8 +8,10 @@ bisection, as are the restarts inside a block. A value is the document's ids, tw
 allows, else four.
 
 Shards are made by range partitioning on the id and written by Spark's own sink, so that any store Spark knows can hold
-them and lost tasks leave nothing behind: one file a folder `range=../part=../docs=../tokens=..`, whose name tells what
-offsets need without opening it. The sink ends a file with one line feed, which the reader expects.
+them and lost tasks leave nothing behind: one file a folder `shard=r..-p..-d..-t..-b..` (range, part of it, documents,
+ids, ids before it in its range), whose name tells what offsets need without opening it. Ranges are sized by bytes and
+at most RANGES, so the driver holds one total for each, never a list of shards. The sink ends a file with one line feed,
+which the reader expects.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from umbra.llm.kernels import slices
 MAGIC = b"UMBRASST"
 FOOTER = struct.Struct("<QQQQQQBx6x8s")  # index at and size, filter at and size, entries, tokens, id width, magic
 BLOCK, RESTART = 1 << 16, 16
-#: Bytes of ids after which a task starts a new shard, rows of a range, and bits of filter for each key.
-SHARD, ROWS, BITS, HASHES = 8 << 20, 4096, 10, 7
-#: Distinct words whose ids a worker keeps.
-CACHE = 500_000
+#: Bytes of ids after which a task starts a new shard; bits of filter for each key and its hashes.
+SHARD, BITS, HASHES = 32 << 20, 10, 7
+#: Bytes of text of a range, about, and ranges at most: beyond that ranges grow.
+RANGE, RANGES = 16 << 20, 100_000
+#: Distinct words whose ids a worker process keeps.
+CACHE = 150_000
 
 
 def key_of(doc: int | None) -> bytes:
@@ -190,8 +194,16 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it's printable, else one from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder(dict):
-    """Ids of whole texts as bytes. For files whose words are encoded one by one, each distinct word is encoded once."""
+    """Ids of whole texts as bytes. For files whose words are encoded one by one, each distinct word is encoded once, by
+    the file's own model alone; a few samples decide on opening whether that is what the library does with whole texts."""
 
     def __init__(self, path: str):
         import json
@@ -200,12 +212,15 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.bytes = _byte_characters()
         with open(path, encoding="utf-8") as f:
             head = json.load(f)
         split = str(head.get("pre_tokenizer"))
-        self.by_word = "'normalizers': [{'type': 'NFC'}, {'type': 'Replace', 'pattern': {'Regex': '\\\\s+'}, 'content': ' '}, {'type': 'Lowercase'}]" in str(head.get("normalizer")) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in split and "'use_regex': False" in split and "'invert': True" in split
         self.special = [t["content"] for t in head.get("added_tokens", [])]
+        self.by_word = "'normalizers': [{'type': 'NFC'}, {'type': 'Replace', 'pattern': {'Regex': '\\\\s+'}, 'content': ' '}, {'type': 'Lowercase'}]" in str(head.get("normalizer")) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in split and "'use_regex': False" in split and "'invert': True" in split
+        self.by_word = self.by_word and all(self(x, 1) == self.packed(x) + (1).to_bytes(self.width, "little") for x in ("Don't stop,it's 42!", "É ß ñu — “x”", "$$$ a_b\t<|c|> ½ Ünïcödé"))
 
     def packed(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
@@ -213,7 +228,8 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        self[word] = got = self.packed(word)
+        said = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        self[word] = got = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(said)])
         return got
 
     def __call__(self, text: str, end: int) -> bytes:
@@ -223,75 +239,88 @@ class Encoder(dict):
         return self.packed(text) + last
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 1, rows: int = ROWS, shard: int = SHARD) -> None:
+_open: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, opened once by each worker process."""
+    if path not in _open:
+        _open[path] = Encoder(path)
+    return _open[path]
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 1, size: int = RANGE, shard: int = SHARD) -> None:
     """Writes the shards. Ids ascend within a shard and from shard to shard; rows of one id follow each other by text;
     null and empty texts are the end id alone; an empty table leaves no shard."""
     few = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    ranges = max(1, -(-few.count() // rows))
+    much = few.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("bytes")).first()
+    ranges = max(1, min(RANGES, max(-(-much["bytes"] // size), min(docs.sparkSession.sparkContext.defaultParallelism, much["rows"] // 256))))
     ordered = few.repartitionByRange(ranges, F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, place, part, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, place, part, held, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, 0
         writer = Writer(encode.width)
 
         def flush() -> pa.RecordBatch:
-            row = [[place], [part], [len(writer.keys)], [writer.tokens], [writer.finish()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["range", "part", "docs", "tokens", "shard"])
+            name = f"r{place}-p{part}-d{len(writer.keys)}-t{writer.tokens}-b{before}"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.finish()], pa.binary())], names=["shard", "content"])
 
         for batch in batches:
             for piece in slices(batch, "text"):
                 for doc, said in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     ids = encode(said, end)
                     writer.add(key_of(doc), ids)
-                    size += len(ids)
-                    if size >= shard:
+                    held += len(ids)
+                    if held >= shard:
                         yield flush()
-                        part, size, writer = part + 1, 0, Writer(encode.width)
+                        before += writer.tokens
+                        part, held, writer = part + 1, 0, Writer(encode.width)
         if writer.keys:
             yield flush()
 
-    made = ordered.mapInArrow(run, "range int, part int, docs long, tokens long, shard binary")
-    made.select("range", "part", "docs", "tokens", F.col("shard").cast("string").alias("value")).write.partitionBy("range", "part", "docs", "tokens").option("compression", "none").text(path)
+    made = ordered.mapInArrow(run, "shard string, content binary")
+    made.select("shard", F.col("content").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards' bytes with what their folders say: range, part, docs, tokens."""
-    kind = "range int, part int, docs long, tokens long"
+    """The shards' bytes with what their folders say: range, part, docs, tokens, before."""
+    kind = "range int, part int, docs long, tokens long, before long"
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    if "range" not in raw.columns:  # nothing was written
+    if "shard" not in raw.columns:  # nothing was written
         return spark.createDataFrame([], f"content binary, {kind}")
-    return raw.selectExpr("content", *(f"cast({x.split()[0]} as {x.split()[1]}) as {x.split()[0]}" for x in kind.split(", ")))
+    named = raw.select("content", F.split("shard", "-").alias("x"))
+    return named.select("content", *(F.substring(F.get("x", F.lit(i)), 2, 20).cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(kind.split(", "))))
 
 
-def starts(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
-    """(range, part, ids before) of every shard in order: three numbers a shard, from folder names alone."""
-    rows = sorted((r["range"], r["part"], r["tokens"]) for r in shards(spark, path).select("range", "part", "tokens").collect())
-    out, total = [], 0
-    for r, p, n in rows:
-        out.append((r, p, total))
+def starts(spark: SparkSession, path: str) -> dict[int, int]:
+    """Ids before each range: one number for each of at most RANGES ranges, from folder names alone."""
+    rows = sorted((r["range"], r["tokens"]) for r in shards(spark, path).groupBy("range").agg(F.sum("tokens").alias("tokens")).collect())
+    out, total = {}, 0
+    for r, n in rows:
+        out[r] = total
         total += n
     return out
 
 
 def offsets(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Reads the shards back: key, start (ids of all documents before), n_tokens, ids_crc32 of each document."""
-    before = {(r, p): n for r, p, n in starts(spark, path)}
-    shared = spark.sparkContext.broadcast(before)
+    first = starts(spark, path)
+    shared = spark.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, p, data in zip(batch.column("range").to_pylist(), batch.column("part").to_pylist(), batch.column("content"), strict=True):
-                at, rows = shared.value[r, p], []
+            for r, before, data in zip(batch.column("range").to_pylist(), batch.column("before").to_pylist(), batch.column("content"), strict=True):
+                at, rows = shared.value[r] + before, []
                 for doc, ids in Reader(data.as_py()):
                     rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(4)], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    if not before:
+    if not first:
         return spark.createDataFrame([], f"{key} long, start long, n_tokens long, ids_crc32 long")
-    return shards(spark, path).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
+    return shards(spark, path).select("range", "before", "content").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
 
 
 def lookup(spark: SparkSession, path: str, doc: int | None) -> list[list[int]]:
