@@ -1,28 +1,43 @@
 """Secret scanning with DataFrame functions only: candidates by pattern, a random forest against false positives.
 
 Candidates are runs of 16 or more characters of a key's alphabet with a digit, or with a capital after a small letter.
-Each gets numbers: length, classes and transitions between them, distinct characters, entropy, how much of it
-dictionary words cover, its path, and the words beside it. A forest is trained by Spark on labelled findings and scores
-every candidate inside the JVM.
+Each gets numbers: length, classes and transitions between them, how likely its letter pairs are in the corpus's words,
+how much of it dictionary words cover, distinct characters, entropy, its path, and the words beside it. Dictionary and
+letter pairs are counted over all documents. A forest is trained by Spark on labelled findings and scores every
+candidate inside the JVM.
+
+Labelled findings are the caller's, or planted ones: random keys, and things that look like keys, set into lines of
+either kind, each with the label it was planted with. Some lines and values are shared by both labels, so the label
+isn't a rule over the forest's inputs.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.shared import drop, written
+
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z+/_-]*[a-z][A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])"
 #: Characters of text kept on either side of a candidate.
 BESIDE = 48
 #: Labelled findings that a fit takes at most, those of the smallest hash.
 FIT_ROWS = 20_000
-TREES, DEPTH = 20, 5
-#: Words that make a candidate look like a name rather than a key.
-DICTIONARY = ("the", "and", "ing", "tion", "ment", "test", "example", "sample", "dummy", "placeholder", "changeme", "your", "user", "name", "data", "file", "path", "index", "class", "function", "value", "string", "number", "default", "config", "version")
-FEATURES = ("length", "digits", "uppers", "symbols", "transitions", "hexadecimal", "distinct", "entropy", "coverage", "repeats", "path_test", "path_code", "key_word", "assigned", "quoted", "digest_word", "url")
+TREES, DEPTH = 30, 8
+#: Planted findings that are learnt from where the caller has none, and what is planted.
+PLANTED = 6000
+#: Words of the dictionary: at least this share of all words of the corpus and this many times, so a million at most.
+SHARE, TIMES = 1e-6, 2
+#: Rows of a table of candidates that is broadcast at most.
+BROADCAST_ROWS = 500_000
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "likely", "hexadecimal", "distinct", "entropy", "coverage", "repeats", "path_test", "path_code", "key_word", "assigned", "quoted", "digest_word", "url")
 _OPEN, _SHUT = "\ue000", "\ue001"
 
 
@@ -47,28 +62,102 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return rows.select(key, "path", "start", (F.col("start") + F.char_length("candidate")).alias("end"), "candidate", "before", "after")
 
 
-def described(found: DataFrame) -> DataFrame:
-    """The findings with the forest's numbers."""
+#: Words that stand in code and settings more than in prose; part of every dictionary.
+CODE_WORDS = ("user", "name", "data", "file", "path", "index", "class", "value", "string", "number", "default", "config", "version", "service", "request", "response", "handler", "example", "sample", "test", "dummy", "placeholder", "change", "your", "api", "key", "token", "secret", "here", "password", "factory", "manager", "controller", "client", "server", "session", "message", "update", "create", "delete", "report", "account", "number", "total", "count")
+
+
+def planted(spark, rows: int = PLANTED, seed: int = 0) -> DataFrame:
+    """(n, text, path, start, end, label): findings with known labels, made from hashes of their number.
+
+    Keys: hexadecimal, base64, prefixed or upper-case ones, assigned with or without quotes, in URLs, headers or alone.
+    Others: digests, commits and ids, in their usual lines or alone; numbers; names in camel case, paths and slugs made of
+    words; placeholders where a key would stand."""
+    h = lambda k: f"sha2(concat('{seed}:{k}:', n), 256)"
+    pick = lambda k, n: f"pmod(xxhash64('{seed}:{k}', n), {n})"
+    array = lambda xs: "array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" for x in xs) + ")"
+    one = lambda xs, k: f"element_at({array(xs)}, 1 + cast({pick(k, len(xs))} as int))"
+    b64 = lambda k: f"translate(base64(unhex({h(k)})), '=\\n', '')"
+    upper = f"translate(substr({h('u')}, 1, 32), '0123456789abcdef', 'QZ3K7XWB5TN2MVHJ')"
+    mixed = f"translate(substr({h('m')}, 1, 40), '0123456789abcdef', 'aQ7zK3xWb5TnM2vH')"
+    word = lambda k: one(CODE_WORDS, k)
+    title = lambda k: f"initcap({word(k)})"
+    keys = [f"substr({h('a')}, 1, 32)", f"substr({h('b')}, 1, 40)", h("c"), f"substr({b64('d')}, 1, 40)", f"concat('AKIA', substr({upper}, 1, 16))", f"concat('ghp_', substr({mixed}, 1, 36))", f"concat('sk_live_', substr({mixed}, 1, 24))", f"concat('xoxb-', substr({h('e')}, 1, 12), '-', substr({mixed}, 1, 24))", f"substr({mixed}, 1, 24)"]
+    others = [
+        f"substr({h('f')}, 1, 40)", h("g"), f"substr({h('i')}, 1, 32)", f"concat_ws('-', substr({h('j')}, 1, 8), substr({h('j')}, 9, 4), substr({h('j')}, 13, 4), substr({h('j')}, 17, 4), substr({h('j')}, 21, 12))",
+        f"concat(cast(100000000 + {pick('k', 900000000)} as string), cast(100000000 + {pick('l', 900000000)} as string))", f"concat({word('o')}, {title('p')}, {title('q')}, {title('r')})", f"concat({word('s')}, '/', {word('t')}, '/', {word('v')}, {pick('w', 100)}, '/', {word('x')})",
+        f"concat({word('y')}, '-', {word('z')}, '-', {word('aa')}, '-', {pick('ab', 3000)})", f"concat('your-', {word('ac')}, '-key-here-', {pick('ad', 10)})", "concat(repeat('x', 20), '1')", f"concat({word('ae')}, '_', {word('af')}, '_', {word('ag')}, {pick('ah', 20)})",
+    ]
+    lines = ['{name} = "', "{name}: '", "{name}=", "export {name}=", '"{name}": "', "Authorization: Bearer ", "https://host.example.com/v1?page=2&{name}=", "{name}: "]
+    alone = ["use ", "see ", "with ", "and then ", "of the ", ", "]
+    names = ["token", "api_key", "API_KEY", "secret", "password", "AWS_SECRET_ACCESS_KEY", "auth_token", "clientSecret", "GITHUB_TOKEN", "private_key", "credential", "passwd"]
+    plain = ["commit ", "see commit ", "sha256: ", "md5 ", "checksum=", 'integrity="', "revision ", "id = ", "uuid: ", "https://host.example.com/", "path = ", "import ", "call ", "number ", "order ", "ref: "]
+    first = f"replace({one(lines, 'line')}, '{{name}}', {one(names, 'name')})"
+    is_key = f"{pick('label', 2)} = 0"
+    placeholder = f"{pick('other', len(others))} in ({len(others) - 3}, {len(others) - 2})"
+    df = spark.range(rows).select(F.col("id").alias("n"))
+    value = f"case when {is_key} then {_chosen(keys, pick('key', len(keys)))} else {_chosen(others, pick('other', len(others)))} end"
+    # a tenth of either kind stands in plain prose; placeholders stand where keys do
+    before = f"case when {pick('alone', 10)} = 0 then {one(alone, 'alone')} when {is_key} or {placeholder} then {first} else {one(plain, 'plain')} end"
+    df = df.select("n", F.expr(value).alias("value"), F.expr(before).alias("lead"), F.expr(is_key).cast("int").alias("label"), F.expr(one(["and so on\n", "we went\n", "", "thus "], "host")).alias("host"))
+    shut = F.when(F.col("lead").endswith('"'), '"').when(F.col("lead").endswith("'"), "'").otherwise("")
+    text = F.concat("host", "lead", "value", shut, F.lit(" and more"))
+    start = F.char_length("host") + F.char_length("lead")
+    return df.select("n", text.alias("text"), F.lit("").alias("path"), start.alias("start"), (start + F.char_length("value")).alias("end"), "label")
+
+
+def _chosen(values: list[str], which: str) -> str:
+    return f"case {which} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+
+
+def learnt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, float]]:
+    """The dictionary (word) and log2 of each letter pair's share after its first letter, from all words of all documents.
+
+    Words are runs of a-z in the lower-case text. The dictionary is written and holds 1 / SHARE words at most; pairs are
+    at most 26 * 26 numbers."""
+    ws = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ws = written(ws, "words")
+    total = ws.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = ws.where((F.char_length("word") >= 3) & (F.col("n") >= F.greatest(F.lit(float(TIMES)), F.lit(SHARE * total)))).select("word")
+    dictionary = written(often.unionByName(docs.sparkSession.createDataFrame([(w,) for w in CODE_WORDS], "word string")).distinct(), "dictionary")
+    pairs = ws.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
+    seen = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    drop(ws)
+    after = Counter()
+    for pair, n in seen.items():
+        after[pair[0]] += n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return dictionary, {a + b: math.log2((seen.get(a + b, 0) + 0.5) / (after[a] + 13.0)) for a in letters for b in letters}
+
+
+def described(found: DataFrame, dictionary: DataFrame, pairs: dict[str, float]) -> DataFrame:
+    """The findings with the forest's numbers; distinct candidates meet the dictionary once."""
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.char_length(c)
+    parts = F.transform(F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)), lambda x: F.lower(x))
+    each = found.select("candidate").distinct().select("candidate", F.explode(parts).alias("word")).where(F.char_length("word") >= 3)
+    covered = written(each.join(F.broadcast(dictionary), "word").groupBy("candidate").agg(F.sum(F.char_length("word")).alias("covered")), "covered")
+    found = found.join(F.broadcast(covered) if covered.count() <= BROADCAST_ROWS else covered, "candidate", "left")
     share = lambda rx: F.regexp_count(c, F.lit(rx)) / n
     flag = lambda col, rx: col.rlike(rx).cast("double")
     letters = F.filter(F.split(c, ""), lambda x: x != "")
     counts = F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: y == x)) / n)
     entropy = F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    table = F.from_json(F.lit(json.dumps(pairs)), "map<string,double>")
+    steps = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.coalesce(F.try_element_at(table, F.substring(low, i, F.lit(2))), F.lit(-8.0)))
     last_line = F.substring_index("before", "\n", -1)
     numbers: dict[str, Column] = {
-        "length": n.cast("double"), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "symbols": share("[+/_=-]"),
+        "length": n.cast("double"), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "symbols": share("[+/_=-]"),
         "transitions": F.regexp_count(c, F.lit("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z0-9])(?=[+/_=-])")) / n,
+        "likely": F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / (n - 1),
         "hexadecimal": flag(c, "^[0-9a-fA-F]+$"), "distinct": F.size(F.array_distinct(letters)).cast("double"), "entropy": entropy,
-        "coverage": F.lit(1.0) - F.char_length(F.regexp_replace(low, "|".join(DICTIONARY), "")) / n,
+        "coverage": F.coalesce(F.col("covered"), F.lit(0)) / n,
         "repeats": flag(c, r"(.)\1{3}"),
         "path_test": flag(F.col("path"), "(?i)test|example|sample|mock|fixture|spec|doc"), "path_code": flag(F.col("path"), r"(?i)\.(py|js|ts|java|go|rb|env|ya?ml|json|conf|cfg|ini|sh|tf)$"),
         "key_word": flag(last_line, "(?i)(secret|token|passw|api[_-]?key|auth|credential|private)"), "assigned": flag(last_line, "[=:]\\s*[\"'`]?$"),
         "quoted": (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"),
         "digest_word": flag(last_line, "(?i)(commit|sha-?[0-9]*|md5|digest|checksum|uuid|revision|integrity)"), "url": flag(last_line, r"(?i)(https?://|www\.)\S*$"),
     }
-    return found.select("*", *(F.round(numbers[f], 6).cast("double").alias(f) for f in FEATURES))
+    return found.select("*", *(F.round(numbers[f], 6).cast("double").alias(f) for f in FEATURES)).drop("covered")
 
 
 def train(labelled: DataFrame, label: str = "label", rows: int = FIT_ROWS) -> RandomForestClassificationModel | float:
@@ -94,27 +183,23 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | float) ->
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def weak_label() -> Column:
-    """Labels for findings nobody has judged: a secret is assigned to a credential's name, quoted or right after its =, and no example."""
-    bare = F.col("before").rlike("(?i)(secret|token|passw|api[_-]?key|auth|credential|private)[A-Za-z0-9_-]*=$")
-    real = ((F.col("quoted") == 1) | bare) & (F.col("assigned") == 1) & (F.col("key_word") == 1) & (F.col("digest_word") == 0) & (F.col("coverage") < 0.3) & (F.col("repeats") == 0)
-    return real.cast("int")
-
-
 def scan(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Every candidate of docs: key, start, end, candidate, score, predicted.
 
-    labelled has (text, path, start, end, label) findings judged before; without it the findings of documents whose
-    crc32(key) mod 5 is not 0 are labelled by weak_label(). An empty table gives no rows; other columns are ignored.
+    labelled has (text, path, start, end, label) findings judged before; without it the planted ones are learnt. Null and
+    empty texts have no candidate; long texts are scanned whole; repeated rows give repeated findings; equal scores are
+    told apart by nothing, as predicted is a threshold; a null key is a key like others; the key may have any name and
+    other columns are ignored; an empty table gives no rows.
     """
-    found = described(candidates(docs, key, text, path))
-    if labelled is None:
-        learn = found.where(F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5, F.lit(0)) != 0).withColumn("label", weak_label())
-    else:
-        numbered = labelled.withColumn("__n", F.monotonically_increasing_id())
-        marks = described(candidates(numbered, "__n", "text", "path"))
-        learn = marks.join(numbered.select("__n", "start", "end", "label"), ["__n", "start", "end"])
-    return judged(found, train(learn)).select(key, "start", "end", "candidate", F.round("score", 6).alias("score"), "predicted")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), (F.col(path) if path else F.lit("")).alias("path"))
+    found = written(candidates(rows, "__key", "text", "path"), "candidates")
+    dictionary, pairs = learnt(rows)
+    known = planted(spark).drop("n") if labelled is None else labelled
+    numbered = written(known.select(F.xxhash64("text", "start").alias("n"), "text", "path", "start", "end", "label"), "findings")
+    marks = candidates(numbered.dropDuplicates(["n"]), "n", "text", "path").join(numbered.select("n", "start", "end", "label").dropDuplicates(["n"]), ["n", "start", "end"])
+    model = train(described(marks, dictionary, pairs))
+    return judged(described(found, dictionary, pairs), model).select(F.col("__key").alias(key), "start", "end", "candidate", F.round("score", 6).alias("score"), "predicted")
 
 
 def redacted(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
