@@ -10,7 +10,9 @@ A word that the corpus holds has one more edge over its lattice, the whole word,
 of the corpus; the mass that discounting frees weighs the subword paths. Both kinds of path add up to the word's
 marginal probability, so common words aren't paid for piece by piece and unseen ones still have all segmentations.
 
-Beside it stands the plain add-one unigram model over words that the contract fixes as base.
+Two log-probabilities of a text come out: `lattice`, by the vocabulary's pieces alone, all segmentations of each word
+added up, and `score`, where the whole-word edge is one more path. Beside them stands the plain add-one unigram model
+over words that the contract fixes as base.
 """
 
 from __future__ import annotations
@@ -190,20 +192,21 @@ def _scored(shared, total: int, distinct: int):
         m: Lattice = shared.value
         free = math.log(DISCOUNT * distinct / total) if total else 0.0
         for batch in batches:
-            lm = []
+            lm, pieces = [], []
             for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                paths = free + m.word(text(w))
+                pieces.append(m.word(text(w)))
+                paths = free + pieces[-1]
                 own = math.log((n - DISCOUNT) / total) if n else -math.inf
                 lm.append(max(paths, own) + math.log1p(math.exp(-abs(paths - own))))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(lm, pa.float64())], names=["word", "n", "lm"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(lm, pa.float64()), pa.array(pieces, pa.float64())], names=["word", "n", "lm", "pieces"])
 
     return run
 
 
 def _parts(shared):
-    """Per row: (id, digest, word null, tokens, known, base, lm) of its end and frequent words; (id, digest, word, tokens) of others."""
-    names = ["id", "digest", "word", "tokens", "known", "base", "lm"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    """Per row: (id, digest, word null, tokens, known, base, lm, pieces) of its end and frequent words; (id, digest, word, tokens) of others."""
+    names = ["id", "digest", "word", "tokens", "known", "base", "lm", "pieces"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, end = shared.value
@@ -216,17 +219,18 @@ def _parts(shared):
 
             for doc, raw in zip(batch.column("id").to_pylist(), _raws(batch, "text"), strict=True):
                 digest = xxhash.xxh64_intdigest(raw) - (1 << 63)
-                known, base, lm, n = end[0], end[1], end[2], 1
+                known, base, lm, pieces, n = *end, 1
                 for w, k in Counter(raw.lower().split()).items():
                     got = head.get(w)
                     if got is None:
-                        add(doc, digest, w, k, 0, 0.0, 0.0)
+                        add(doc, digest, w, k, 0, 0.0, 0.0, 0.0)
                     else:
                         n += k
                         known += k * got[0]
                         base += k * got[1]
                         lm += k * got[2]
-                add(doc, digest, None, n, known, base, lm)
+                        pieces += k * got[3]
+                add(doc, digest, None, n, known, base, lm, pieces)
                 if len(rows[0]) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=names)
                     for r in rows:
@@ -237,7 +241,7 @@ def _parts(shared):
 
 
 def score(docs: DataFrame, learn: Column, model_file: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
-    """One row per row of docs: key, held_out (not learnt from), n_tokens, n_known, train_tokens, base_score, score (log10).
+    """One row per row of docs: key, held_out (not learnt from), n_tokens, n_known, train_tokens, base_score, score, lattice (log10).
 
     Words are split at ASCII white space with A-Z lowered; each text has one end. A null or empty text is its end
     alone. With no training rows every base probability is 1/(0+0+1). Rows that repeat a key and text get equal
@@ -251,24 +255,24 @@ def score(docs: DataFrame, learn: Column, model_file: str, key: str = "doc_id",
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     model = train(counts, ends, Lattice.of(model_file), rounds) if sums["n"] else Lattice.of(model_file)
     shared = spark.sparkContext.broadcast(model)
-    table = written(counts.mapInArrow(_scored(shared, total, distinct), "word binary, n long, lm double"), "scores")
+    table = written(counts.mapInArrow(_scored(shared, total, distinct), "word binary, n long, lm double, pieces double"), "scores")
     drop(counts)
 
     whole = math.log10(total + distinct + 1)
     base = F.log10(F.col("n") + 1) - F.lit(whole)
-    lm = F.col("lm") / F.lit(math.log(10))
-    most = table.orderBy(F.desc("n"), "word").limit(head).select("word", (F.col("n") > 0).cast("int").alias("known"), base.alias("base"), lm.alias("lm")).toArrow()
-    frequent = {w: (k, b, s) for w, k, b, s in zip(*(most.column(c).to_pylist() for c in ("word", "known", "base", "lm")), strict=True)}
+    lm, pieces = (F.col(c) / F.lit(math.log(10)) for c in ("lm", "pieces"))
+    most = table.orderBy(F.desc("n"), "word").limit(head).select("word", (F.col("n") > 0).cast("int").alias("known"), base.alias("base"), lm.alias("lm"), pieces.alias("pieces")).toArrow()
+    frequent = {w: x for w, *x in zip(*(most.column(c).to_pylist() for c in ("word", "known", "base", "lm", "pieces")), strict=True)}
     own_end = (ends - DISCOUNT) / total + DISCOUNT * distinct / total * math.exp(model.end) if ends else math.exp(model.end)
-    at_end = (int(ends > 0), math.log10(ends + 1) - whole, math.log10(own_end))
+    at_end = (int(ends > 0), math.log10(ends + 1) - whole, math.log10(own_end), model.end / math.log(10))
     held = spark.sparkContext.broadcast((frequent, at_end))  # at most `head` words
-    parts = written(rows.select("id", "text").mapInArrow(_parts(held), "id long, digest long, word binary, tokens long, known long, base double, lm double"), "parts")
+    parts = written(rows.select("id", "text").mapInArrow(_parts(held), "id long, digest long, word binary, tokens long, known long, base double, lm double, pieces double"), "parts")
 
-    rare = parts.where("word is not null").select("id", "digest", "word", "tokens").join(table.select("word", (F.col("n") > 0).cast("long").alias("known"), base.alias("base"), lm.alias("lm")), "word")
-    rare = rare.select("id", "digest", F.lit(0).alias("rows"), "tokens", *((F.col("tokens") * F.col(c)).alias(c) for c in ("known", "base", "lm")))
-    every = rare.unionByName(parts.where("word is null").select("id", "digest", F.lit(1).alias("rows"), "tokens", "known", "base", "lm"))
-    out = every.groupBy("id", "digest").agg(*(F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "lm")))
+    rare = parts.where("word is not null").select("id", "digest", "word", "tokens").join(table.select("word", (F.col("n") > 0).cast("long").alias("known"), base.alias("base"), lm.alias("lm"), pieces.alias("pieces")), "word")
+    rare = rare.select("id", "digest", F.lit(0).alias("rows"), "tokens", *((F.col("tokens") * F.col(c)).alias(c) for c in ("known", "base", "lm", "pieces")))
+    every = rare.unionByName(parts.where("word is null").select("id", "digest", F.lit(1).alias("rows"), "tokens", "known", "base", "lm", "pieces"))
+    out = every.groupBy("id", "digest").agg(*(F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "lm", "pieces")))
     n = F.col("rows")
     whole_number = lambda c: (F.col(c) / n).cast("long")  # noqa: E731  equal rows were summed together
-    out = out.select(F.col("id").alias(key), whole_number("tokens").alias("n_tokens"), whole_number("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / n).alias("base_score"), (F.col("lm") / n).alias("score"), F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("__again"))
+    out = out.select(F.col("id").alias(key), whole_number("tokens").alias("n_tokens"), whole_number("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / n).alias("base_score"), (F.col("lm") / n).alias("score"), (F.col("pieces") / n).alias("lattice"), F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("__again"))
     return out.drop("__again")

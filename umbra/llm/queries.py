@@ -70,7 +70,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = lattice.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, tokenizer_file("piece_bpe_32k.model"))
-    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice")
 
 
 def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
