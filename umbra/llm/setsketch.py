@@ -332,11 +332,16 @@ class _Search:
     def listed(self, some: DataFrame, rows: DataFrame) -> DataFrame:
         """Distinct crossing pairs of some of a bucket's rows with all of its rows that the bound leaves. Pairs that share
         a shingle which few have are judged before, so only those that many have count here."""
-        left = some.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("f").alias("fx"))
-        right = rows.select(F.col("key").alias("of"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("f").alias("fy"))
+        own = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a key for each band at most
+        left = some.join(own, "id").select("key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("f").alias("fx"), F.col("keys").alias("kx"))
+        right = rows.join(own, "id").select(F.col("key").alias("of"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("f").alias("fy"), F.col("keys").alias("ky"))
         both = F.least("fx", "fy")
         may = (F.col("rx") != F.col("ry")) & (100 * both >= self.percent * (F.col("nx") + F.col("ny") - both))
-        return left.join(right, (F.col("key") == F.col("of")) & may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")  # of the buckets that two members share, one lists them
+        pairs = left.join(right, (F.col("key") == F.col("of")) & may & once)
+        if some is rows:  # each pair comes from either side
+            pairs = pairs.where("x < y")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
