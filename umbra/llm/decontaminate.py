@@ -43,9 +43,15 @@ def _ends(first: Column, last: Column, length: int, places: int) -> Column:
 
 
 def _bitmap(grams: DataFrame, place: Column, places: int) -> Column:
-    """An array literal with true where a benchmark window has its place: at most MOST_PLACES flags."""
-    on = {r["at"] for r in grams.select(place.alias("at")).distinct().collect()}  # at most `places` numbers
-    return F.split(F.lit(",".join("1" if i in on else "0" for i in range(places))), ",").cast("array<boolean>")
+    """An array literal of 64 flags an element, set where a benchmark window has its place: at most MOST_PLACES flags."""
+    packed = [0] * (places // 64)
+    for r in grams.select(place.alias("at")).distinct().collect():  # at most `places` numbers
+        packed[r["at"] >> 6] |= 1 << (r["at"] & 63)
+    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in packed)), ",").cast("array<bigint>")
+
+
+def _on(bitmap: Column, place: Column) -> Column:
+    return F.call_function("shiftright", F.get(bitmap, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
 def _bitmaps(grams: DataFrame, lengths: list[int], places: int) -> tuple[Column, Column]:
@@ -63,9 +69,9 @@ def _whole(gram: Column, places: int) -> Column:
 def _windows(ws: Column, hs: Column, length: int, bitmaps: tuple[Column, Column], places: int) -> Column:
     """(pos, len, gram, said) of those windows of a text that the bitmaps let through."""
     size, (ends, whole) = F.size(ws), bitmaps
-    maybe = F.filter(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.get(ends, _ends(F.get(hs, i - 1), F.get(hs, i + (length - 2)), length, places)))
+    maybe = F.filter(F.sequence(F.lit(1), size - (length - 1)), lambda i: _on(ends, _ends(F.get(hs, i - 1), F.get(hs, i + (length - 2)), length, places)))
     each = F.transform(maybe, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hs, i, length)).alias("gram")))
-    left = F.filter(each, lambda w: F.get(whole, _whole(w.gram, places)))
+    left = F.filter(each, lambda w: _on(whole, _whole(w.gram, places)))
     every = F.transform(left, lambda w: F.struct(w.pos.alias("pos"), F.lit(length).alias("len"), w.gram.alias("gram"), F.array_join(F.slice(ws, w.pos, length), " ").alias("said")))
     return F.when(size >= length, every).otherwise(F.array().cast(_NONE))
 
@@ -88,7 +94,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     grams = written(benchmark_windows(bench, item, item_text, width), "benchmark")
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most `width` numbers
     size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("said") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
-    places = min(MOST_PLACES, 1 << (max(10, PLACES * size["n"]) - 1).bit_length())
+    places = min(MOST_PLACES, 1 << (max(64, PLACES * size["n"]) - 1).bit_length())
 
     row = [F.col(key).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
 
