@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm import decontaminate, lattice, lzprint, machine, mixing, sanitise, secrets, setsketch, sstable, toxicity
+from umbra.llm import chat, clusters, decontaminate, lattice, lzprint, machine, mixing, negatives, sanitise, secrets, setsketch, sstable, toxicity
 from umbra.llm.shared import fold, fresh, ship, table
 
 #: Domains of the mixing query and their target shares.
@@ -90,11 +90,42 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return clusters.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+#: What both rows of the added conversation say.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    out = chat.formatted(chat.linear(rows)).select("tree", "formatted", chat.turns(F.col("formatted")).alias("read"), F.array_join(chat.under_loss(F.col("formatted"), F.col("turns")), "").alias("loss"))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lz_fingerprint, op2_factorisation_machine, op3_segment_toxicity, op4_information_sanitiser, op5_soft_mixing,
         op6_benchmark_decontamination, op7_subword_lattice, op8_secret_forest, op9_sstable_tokens, op10_setsketch_near_dedup,
+        op11_block_norm_clusters, op12_hard_negatives, op13_reply_trees,
     )
 }
 
@@ -102,7 +133,48 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WORD = decontaminate.WORD
 
+#: Components, centroids and rounds of the clustering query.
+DIM, K, ROUNDS = 64, 40, 5
+
+
+def _clusters_sql() -> str:
+    """Every round over all distances, in whole numbers."""
+    kept = f"len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM}"
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {kept}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INT) AS j, v AS c FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v) ORDER BY h, v LIMIT {K})"""]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, min({{'d': d, 'j': j}}) AS x FROM (SELECT n, vec_id, v, j, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM (SELECT row_number() OVER () AS n, * FROM v), c{r}) GROUP BY n, vec_id, v)""")
+        if r < ROUNDS:
+            steps.append(f"""m{r} AS MATERIALIZED (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT x.j AS j, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT x, unnest(v) AS e, unnest(range({DIM})) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.j AS j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.j = m{r}.j)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, x.j AS cluster, x.d AS distance, CAST(sum(x.d) OVER (PARTITION BY x.j) AS BIGINT) AS cluster_inertia, CAST(sum(x.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} ON x.j = c{ROUNDS}.j"""
+
+
+#: A text's length once escaped: each backslash and each control string is one longer.
+_ESCAPED = lambda c: f"length(coalesce({c}, '')) + length(coalesce({c}, '')) - length(replace(coalesce({c}, ''), '\\', ''))" + "".join(f" + (length(coalesce({c}, '')) - length(replace(coalesce({c}, ''), '{x}', ''))) // {len(x)}" for x in chat.CONTROL)
+_MARKS = sum(map(len, (chat.OPEN, chat.MIDDLE, chat.CLOSE)))
+
 ORACLE: dict[str, str] = {
+    "op11_block_norm_clusters": _clusters_sql(),
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a, v b WHERE a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+""",
+    "op13_reply_trees": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{MARKED}' FROM range(2) r(i)),
+x AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  CAST(sum({_MARKS} + {_ESCAPED("role")} + {_ESCAPED("text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM x
+""",
     "op6_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM benchmark),
