@@ -44,10 +44,12 @@ def _ends(first: Column, last: Column, length: int, places: int) -> Column:
 
 def _bitmap(grams: DataFrame, place: Column, places: int) -> Column:
     """An array literal of 64 flags an element, set where a benchmark window has its place: at most MOST_PLACES flags."""
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)))
+    rows = grams.select(F.shiftright(place, 6).alias("at"), flag.alias("flag")).groupBy("at").agg(F.bit_or("flag").alias("flags"))
     packed = [0] * (places // 64)
-    for r in grams.select(place.alias("at")).distinct().collect():  # at most `places` numbers
-        packed[r["at"] >> 6] |= 1 << (r["at"] & 63)
-    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in packed)), ",").cast("array<bigint>")
+    for r in rows.collect():  # at most places / 64 numbers
+        packed[r["at"]] = r["flags"]
+    return F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
 
 
 def _on(bitmap: Column, place: Column) -> Column:
