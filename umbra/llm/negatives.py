@@ -119,7 +119,7 @@ def _negatives(shared, k: int, low: int, high: int):
         for ident, label, x in _chunks(batches, vectors.shape[1]):
             for p in range(0, len(ids), ANCHORS):
                 score = product(vectors[p : p + ANCHORS], x)
-                other = labels[p : p + ANCHORS][:, None] != label[None, :]
+                other = (labels[p : p + ANCHORS][:, None] != label[None, :]) & (ids[p : p + ANCHORS][:, None] != ident[None, :])
                 for turn in range(each):  # the anchors' positives of one place
                     some = np.flatnonzero(first[p : p + len(score)] + turn < first[p + 1 : p + 1 + len(score)])
                     slot = first[p + some] + turn
