@@ -108,7 +108,9 @@ def test_overlaps_fold(spark):
     rows = [(1, "EMAIL_ADDRESS", 0, 10, "0123456789", 0.9), (1, "PERSON", 5, 15, "56789abcde", 0.9), (1, "DATE", 20, 25, "klmno", 0.9), (1, "DATE", 20, 28, "klmnopqr", 0.9)]
     entities = spark.createDataFrame(rows, "doc_id long, entity_type string, start int, end int, text string, score double")
     docs = spark.createDataFrame([(1, "0123456789abcdefghijklmnopqrstuvw")], "doc_id long, text string")
-    assert anonymize(docs, entities).first().text == "<EMAIL_ADDRESS>abcdefghij<DATE>stuvw"
+    with pytest.raises(ValueError):
+        anonymize(docs, entities)
+    assert anonymize(docs, entities, unique=True).first().text == "<EMAIL_ADDRESS>abcdefghij<DATE>stuvw"
 
 
 @settings(max_examples=8, deadline=None)
@@ -148,8 +150,8 @@ def test_segments(spark):
 
 def test_reports(notes, tmp_path):
     entities = detect(notes).cache()
-    new = anonymize(notes, entities)
-    reports = report.document_report(notes, new)
+    new = anonymize(notes, entities, sized=True)
+    reports = report.document_report(new)
     whole = report.summary(reports).first()
     assert whole.total_documents == len(NOTES) and 0 < whole.anonymization_rate < 1
     stats = report.entity_stats(entities)

@@ -16,6 +16,11 @@ OPEN, MID, SHUT = "\ue000", "\ue001", "\ue002"
 SPAN = "array<struct<start:int,end:int>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, which an expression that names a Column twice doesn't promise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """The text with the three marker characters replaced one for one, so that offsets hold."""
     return F.translate(F.coalesce(text, F.lit("")), OPEN + MID + SHUT, "\ufffd" * 3)

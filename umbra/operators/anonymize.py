@@ -1,7 +1,8 @@
 """Anonymisation: entities to rewritten texts.
 
-Per document an array of entities becomes replacement items, an overlap fold picks among them, and a splice from right
-to left writes them in. All of it is array functions on one row; the only shuffle is the join of entities to texts.
+Entities are shuffled once, by row: a sweep finds clusters of those that overlap, each cluster's entities become
+replacement items, and an overlap fold picks among them. The join of items to texts is the only shuffle of texts; a splice
+writes the items in.
 """
 
 from __future__ import annotations
@@ -9,14 +10,17 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.functions import catalog as C
+from umbra.functions.spans import let
 
 AS_OF = datetime.date(2024, 1, 1)
 ITEM = "array<struct<entity_type:string,start:int,end:int,original:string,replacement:string,operator:string>>"
 Operator = str | Callable[[Column], Column]
+#: Kept items that lie behind are gathered by so many; characters of a long text's pieces.
+FULL, PIECE = 256, 4096
 
 
 def age(text: Column, as_of: datetime.date = AS_OF) -> Column:
@@ -80,50 +84,91 @@ def items_of(entities: Column, operators: dict[str, Operator], bracket: int = 5,
 
 
 def folded(items: Column, priority: dict[str, int] | None = None) -> Column:
-    """Items without overlaps: in order of start, longest first, each against the first kept one that it overlaps."""
+    """Items without overlaps: in order of start, longest first, each against the first kept one that it overlaps.
+
+    Kept items that end before the next one starts can't be met again; they leave the few that each item is compared
+    with, in pieces of FULL, so that a step copies no long array."""
     ranks = F.create_map(*[x for t, p in {**C.PRIORITY, **(priority or {})}.items() for x in (F.lit(t), F.lit(p))])
     rank = lambda e: F.coalesce(ranks[e.entity_type], F.lit(0))
     ordered = F.array_sort(items, lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end))
+    none = F.array().cast(ITEM)
 
-    def step(kept: Column, e: Column) -> Column:
-        met = F.get(F.filter(kept, lambda k: (e.start < k.end) & (e.end > k.start)), F.lit(0))
+    def against(open_: Column, e: Column, met: Column) -> Column:
         better = ((rank(e) > rank(met)) & ~((e.start >= met.start) & (e.end <= met.end))) | ((rank(e) == rank(met)) & (e.end - e.start > met.end - met.start))
-        others = F.filter(kept, lambda k: ~((k.start == met.start) & (k.end == met.end) & (k.entity_type == met.entity_type)))
-        return F.when(met.isNull(), F.concat(kept, F.array(e))).when(better, F.concat(others, F.array(e))).otherwise(kept)
+        others = F.filter(open_, lambda k: ~((k.start == met.start) & (k.end == met.end) & (k.entity_type == met.entity_type)))
+        return F.when(met.isNull(), F.concat(open_, F.array(e))).when(better, F.concat(others, F.array(e))).otherwise(open_)
+
+    def step(acc: Column, e: Column) -> Column:
+        gone = F.filter(acc.open, lambda k: k.end <= e.start)
+        left = F.filter(acc.open, lambda k: k.end > e.start)
+        now = let(left, lambda o: let(F.get(F.filter(o, lambda k: (e.start < k.end) & (e.end > k.start)), F.lit(0)), lambda met: against(o, e, met)))
+        whole = F.size(acc.part) >= FULL
+        return F.struct(F.when(whole, F.concat(acc.full, F.array(acc.part))).otherwise(acc.full).alias("full"), F.concat(F.when(whole, none).otherwise(acc.part), gone).alias("part"), now.alias("open"))
+
+    zero = F.struct(F.array().cast(f"array<{ITEM}>").alias("full"), none.alias("part"), none.alias("open"))
+    return F.aggregate(ordered, zero, step, lambda acc: F.concat(F.flatten(acc.full), acc.part, acc.open))
+
 
-    return F.aggregate(ordered, F.array().cast(ITEM), step)
+def _cut(pieces: Column, a: Column, b: Column) -> Column:
+    """Characters a to b of a text given in pieces of PIECE characters."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    some = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    within = F.substring(some(i), a - i * PIECE + 1, b - a)
+    across = F.concat(F.substring(some(i), a - i * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(some(j), F.lit(1), b - j * PIECE))
+    return F.when(i == j, within).otherwise(across)
 
 
 def spliced(text: Column, items: Column) -> Column:
-    """The text with items (last first) written in: pieces joined once, or one item after the other where items overlap."""
-    first = F.reverse(items)
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(first, i - 1).end)
-    pieces = F.transform(first, lambda e, i: F.concat(F.substring(text, before(i) + 1, e.start - before(i)), e.replacement))
-    joined = F.concat(F.array_join(pieces, ""), F.substring(text, F.get(items, F.lit(0)).end + 1, F.char_length(text)))
-    overlap = F.exists(F.transform(first, lambda e, i: e.start < before(i)), lambda x: x)
+    """The text with items (last first) written in: pieces joined once, or one item after the other where items overlap.
+    A long text is cut into pieces first, since finding a character of a text means counting from its beginning."""
+
+    def joined(first: Column, cut) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(first, i - 1).end)
+        parts = F.transform(first, lambda e, i: F.concat(cut(before(i), e.start), e.replacement))
+        return F.concat(F.array_join(parts, ""), cut(F.element_at(first, -1).end, F.char_length(text)))
+
+    ordered = lambda cut: let(F.reverse(items), lambda first: joined(first, cut))
+    short = ordered(lambda a, b: F.substring(text, a + 1, b - a))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / PIECE).cast("int")), lambda j: F.substring(text, j * PIECE + 1, F.lit(PIECE)))
+    long = let(pieces, lambda p: ordered(lambda a, b: _cut(p, a, b)))
+    overlap = let(items, lambda x: F.exists(F.transform(x, lambda e, i: e.end > F.coalesce(F.get(x, i - 1).start, e.end)), lambda o: o))
     one_by_one = F.aggregate(items, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e.start), e.replacement, F.substring(acc, e.end + 1, F.char_length(acc))))
-    return F.when(F.size(items) == 0, text).when(overlap, one_by_one).otherwise(joined)
+    return F.when(F.size(items) == 0, text).when(overlap, one_by_one).when(F.char_length(text) <= PIECE, short).otherwise(long)
+
+
+def clustered(entities: DataFrame, of: list[str]) -> DataFrame:
+    """Distinct entities with `cluster`: those of a row that overlap, directly or through others, share a number. A sweep by
+    start with the running maximum of ends; all windows and groups after it share one shuffle."""
+    whole = Window.partitionBy(*of).orderBy("start", F.desc("end"))
+    reach = F.max("end").over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    dealt = entities.repartition(*[F.col(c) for c in of]).distinct()
+    new = dealt.withColumn("__new", F.when(F.col("start") < reach, 0).otherwise(1))
+    return new.withColumn("cluster", F.sum("__new").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+
 
+def anonymize(docs: DataFrame, entities: DataFrame, operators: dict[str, Operator] | None = None, key: str = "doc_id", text: str = "text", bracket: int = 5, keep_postcode: bool = True, priority: dict[str, int] | None = None, as_of: datetime.date = AS_OF, unique: bool = False, sized: bool = False) -> DataFrame:
+    """docs' rows as (key, text rewritten, items by descending start); with sized also original_length. A null text stays
+    null, without items.
 
-def anonymize(docs: DataFrame, entities: DataFrame, operators: dict[str, Operator] | None = None, key: str = "doc_id", text: str = "text", bracket: int = 5, keep_postcode: bool = True, priority: dict[str, int] | None = None, as_of: datetime.date = AS_OF) -> DataFrame:
-    """docs' rows as (key, text rewritten, items by descending start). A null text stays null, without items.
+    Keys may be null or repeat: entities go to the rows of their key that have the text of their text_hash, which detect()
+    gives. Entities without text_hash are an error unless `unique` says that no key is null or repeats; then they go by
+    key alone. Rows alike in key and text come out alike. Other columns are ignored; empty tables give no rows.
 
-    Keys may be null or repeat. Entities with text_hash (detect(hashed=True)) go to the rows of their key that have that
-    text; without it to every row of their key whose text has theirs in its place, so that no row gets another's spans.
-    Rows alike in key and text come out alike. Other columns are ignored; empty tables give no rows.
+    Postcodes, overlaps and replacements are settled within clusters of overlapping entities, so no step's work grows
+    with the square of a row's entities unless all of them overlap.
     """
-    kind = "array<struct<start:int,end:int,entity_type:string,text:string,score:double>>"
     exact = "text_hash" in entities.columns
-    of = [F.col(key).alias("__of"), *([F.col("text_hash").alias("__of_hash")] if exact else [])]
-    grouped = entities.groupBy(*of).agg(F.array_sort(F.collect_set(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
-    rows = docs.select(F.col(key), F.col(text).alias("__said"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"))
+    if not exact and not unique:
+        raise ValueError("Entities need text_hash, as detect() gives it; without it keys must be unique: say so with unique=True.")
+    of = ["__of", "__of_hash"] if exact else ["__of"]
+    own = entities.select(F.col(key).alias("__of"), *([F.col("text_hash").alias("__of_hash")] if exact else []), "start", "end", "entity_type", "text", "score")
+    each = clustered(own, of).groupBy(*of, "cluster").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
+    kept = each.select(*of, folded(items_of(F.col("__entities"), operators or {}, bracket, keep_postcode, as_of), priority).alias("items"))
+    grouped = kept.groupBy(*of).agg(F.array_sort(F.flatten(F.collect_list("items")), lambda a, b: b.start - a.start).alias("__items"))
+    said = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key), F.col(text).alias("__said"), F.xxhash64(said).alias("__hash"))
     same = F.col(key).eqNullSafe(F.col("__of"))
     joined = rows.join(grouped, same & (F.col("__hash") == F.col("__of_hash")) if exact else same, "left")
-    said = F.col("__said")
-    own = F.filter(F.coalesce("__entities", F.array().cast(kind)), lambda e: said.isNotNull() & (F.substring(said, e.start + 1, e.end - e.start) == e.text))
-    # native scans read three private-use characters as U+FFFD, so their spans may differ in these from the text
-    own = F.coalesce("__entities", F.array().cast(kind)) if exact else own
-    items = folded(items_of(own, operators or {}, bracket, keep_postcode, as_of), priority)
-    last_first = F.array_sort(items, lambda a, b: b.start - a.start)
-    out = joined.select(key, said.alias("__said"), last_first.alias("items"))
-    return out.select(key, spliced(F.col("__said"), F.col("items")).alias(text), "items")
+    out = joined.select(key, "__said", F.when(F.col("__said").isNotNull(), F.coalesce("__items", F.array().cast(ITEM))).otherwise(F.array().cast(ITEM)).alias("items"))
+    size = [F.char_length(F.coalesce("__said", F.lit(""))).cast("bigint").alias("original_length")] if sized else []
+    return out.select(key, spliced(F.col("__said"), F.col("items")).alias(text), "items", *size)

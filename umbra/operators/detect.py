@@ -2,7 +2,7 @@
 
 docs -> candidate spans of every scan (one narrow pass, no text carried on) -> arbitration between candidates of one
 span -> absorption of spans inside wider ones -> context filter and boost. Only candidates are shuffled, once, by
-row: the window over a span and the fold over a row's winners share that partitioning.
+row: the windows over a span and over a row's winners share that partitioning.
 
 A row is told from others by its key, two hashes of its text and the partition it was scanned in, so keys may be null or
 repeat: rows that share a key never see each other's spans. Rows alike in key and text are found alike and each gives its
@@ -112,16 +112,21 @@ def arbitrated(found: DataFrame, catalogue: Catalogue, by: list[str], as_of_year
 def absorbed(winners: DataFrame, by: list[str]) -> DataFrame:
     """Winners without those inside a wider winner of a trusted type and no lower priority.
 
-    One array of a row's winners, filtered against the containers among them: a range anti-join that needs no join.
+    A sweep over a row's winners by start, the wider first: whatever holds a span comes before it, so a running maximum
+    of ends, one for each priority that containers have, says whether any does. One sort, no array of a row's winners.
     """
     base = F.create_map(*[x for t, p in C.PRIORITY.items() for x in (F.lit(t), F.lit(p))])
-    priority = lambda c: F.coalesce(base[c], F.lit(C.UNLISTED_PRIORITY))
-    each = [c for c in winners.columns if c not in by]
-    rows = winners.groupBy(*by).agg(F.collect_list(F.struct(*each)).alias("all"))
-    rows = rows.withColumn("wide", F.transform(F.filter("all", lambda o: o.entity_type.isin(*C.CONTAINERS)), lambda o: F.struct(o.start.alias("start"), o.end.alias("end"), priority(o.entity_type).alias("rank"))))
-    inside = lambda w: F.exists("wide", lambda o: (o.start <= w.start) & (w.end <= o.end) & (o.end - o.start > w.end - w.start) & (priority(w.entity_type) <= o["rank"]))
-    kept = F.when(F.size("wide") == 0, F.col("all")).otherwise(F.filter("all", lambda w: w.entity_type.isin(*C.NEVER_ABSORBED) | ~inside(w)))
-    return rows.select(*by, F.explode(kept).alias("w")).select(*by, "w.*")
+    priority = F.coalesce(base[F.col("entity_type")], F.lit(C.UNLISTED_PRIORITY))
+    levels = sorted({C.PRIORITY.get(t, C.UNLISTED_PRIORITY) for t in C.CONTAINERS})
+    earlier = Window.partitionBy(*by).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    wide = F.col("entity_type").isin(*C.CONTAINERS)
+    reach = {f"__reach{i}": F.max(F.when(wide & (priority >= p), F.col("end"))).over(earlier) for i, p in enumerate(levels)}
+    rows = winners.withColumns(reach)
+    least = None  # of the levels that may hold a span of this priority, the lowest one counts them all
+    for i, p in enumerate(levels):
+        least = F.when(priority <= p, F.col(f"__reach{i}")) if least is None else least.when(priority <= p, F.col(f"__reach{i}"))
+    inside = F.coalesce(least >= F.col("end"), F.lit(False))
+    return rows.where(F.col("entity_type").isin(*C.NEVER_ABSORBED) | ~inside).select(*winners.columns)
 
 
 def in_context(winners: DataFrame) -> DataFrame:
@@ -151,12 +156,12 @@ def suggested(entities: DataFrame) -> DataFrame:
     return entities.withColumn("suggested", F.when(best.score > 0, best.kind))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = False, acronyms: dict[str, str] | None = None) -> DataFrame:
-    """(key, entity_type, start, end, text, score) of every entity; start and end count code points, end exclusive.
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = True, acronyms: dict[str, str] | None = None) -> DataFrame:
+    """(key, entity_type, start, end, text, score, text_hash) of every entity; start and end count code points, end exclusive.
 
     Keys may be null or repeat (see above); a null text has no entities; rows alike in key and text each give theirs;
-    other columns are ignored, whatever their names; an empty table gives no rows. With hashed, text_hash (xxhash64 of
-    the row's text) follows, which says to anonymize() which of several rows of one key an entity is of.
+    other columns are ignored, whatever their names; an empty table gives no rows. text_hash (xxhash64 of the row's text)
+    says which of several rows of one key an entity is of; without `hashed` it's left out.
 
     acronyms are written out in the text before it is scanned, so places count in the written-out text (rewrite that, see
     umbra.operators.process).

@@ -25,20 +25,37 @@ def document_counts(entities: DataFrame, key: str = "doc_id") -> DataFrame:
     return each.groupBy(key).agg(F.sum("n").alias("entity_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("type_counts"))
 
 
-def document_report(docs: DataFrame, anonymized: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: length, entities, characters anonymised, their ratio."""
-    size = docs.select(key, F.char_length(F.coalesce(text, F.lit(""))).cast("bigint").alias("original_length"))
-    cut = anonymized.select(key, F.size("items").cast("bigint").alias("entity_count"), F.aggregate("items", F.lit(0).cast("bigint"), lambda a, i: a + F.char_length(i.original)).alias("anonymized_chars"))
-    return size.join(cut, key).withColumn("anonymization_ratio", F.when(F.col("original_length") > 0, F.round(F.col("anonymized_chars") / F.col("original_length"), 6)).otherwise(0.0))
+def document_report(anonymized: DataFrame, key: str = "doc_id", seconds: str | None = None) -> DataFrame:
+    """Per row of anonymize(sized=True): key, original_length, entity_count, anonymized_chars, anonymization_ratio, and with
+    `seconds` (a column of the input) processing_time.
+
+    One narrow pass over one table, so null and repeated keys give a row each; null and empty texts have length 0 and
+    ratio 0; an empty table gives no rows."""
+    cut = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, i: a + F.char_length(i.original))
+    ratio = F.when(F.col("original_length") > 0, F.round(F.col("anonymized_chars") / F.col("original_length"), 6)).otherwise(0.0)
+    time = [F.col(seconds).cast("double").alias("processing_time")] if seconds else []
+    return anonymized.select(key, "original_length", F.size("items").cast("bigint").alias("entity_count"), cut.alias("anonymized_chars"), *time).withColumn("anonymization_ratio", ratio)
 
 
 def summary(reports: DataFrame) -> DataFrame:
-    """One row over document_report(): totals, entities a document, share of characters anonymised."""
-    total = reports.agg(F.count("*").alias("total_documents"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("total_entities"), F.coalesce(F.sum("original_length"), F.lit(0)).alias("total_characters"), F.coalesce(F.sum("anonymized_chars"), F.lit(0)).alias("total_anonymized_characters"))
+    """One row over document_report(): totals, entities a document, share of characters anonymised, and the mean
+    processing_time where the reports have one. distribution() has the types."""
+    timed = "processing_time" in reports.columns
+    total = reports.agg(
+        F.count("*").alias("total_documents"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("total_entities"), F.coalesce(F.sum("original_length"), F.lit(0)).alias("total_characters"),
+        F.coalesce(F.sum("anonymized_chars"), F.lit(0)).alias("total_anonymized_characters"), *([F.round(F.coalesce(F.avg("processing_time"), F.lit(0.0)), 6).alias("avg_processing_time")] if timed else []),
+    )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
     return total.withColumns({"entities_per_document": ratio("total_entities", "total_documents"), "anonymization_rate": ratio("total_anonymized_characters", "total_characters")})
 
 
+def distribution(anonymized: DataFrame) -> DataFrame:
+    """(entity_type, count, share in percent of all items) of anonymize()'s items."""
+    each = anonymized.select(F.explode("items").alias("i")).groupBy("i.entity_type").agg(F.count("*").alias("count"))
+    # a row a type: the window holds as many rows as there are types
+    return each.withColumn("share", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(F.lit(1))), 4))
+
+
 def operator_counts(anonymized: DataFrame) -> DataFrame:
     """Items by type and operator."""
     return anonymized.select(F.explode("items").alias("i")).groupBy("i.entity_type", "i.operator").agg(F.count("*").alias("count"))
@@ -59,11 +76,31 @@ def column_rates(docs: DataFrame, columns: list[str], entities_of, sample: int =
     return long.join(hit, key, "left").groupBy("column").agg(F.count("*").alias("sampled"), F.count("hit").alias("detected"), F.round(F.count("hit") / F.count("*"), 6).alias("rate"))
 
 
+def _swept(gold: DataFrame, found: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, start, end, g, f): runs of characters between span boundaries, with whether gold and found cover them.
+
+    Each span is two events, +1 at its start and -1 at its end; running sums over a document's and label's events say what
+    covers each stretch. The work follows the number of spans, not of characters; overlapping and repeated spans of one
+    side cover a character once."""
+    sides = None
+    for df, g, f in ((gold, 1, 0), (found, 0, 1)):
+        some = df.where("end > start").select(key, label, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+        some = some.select(key, label, "e.at", (F.col("e.d") * g).alias("g"), (F.col("e.d") * f).alias("f"))
+        sides = some if sides is None else sides.unionByName(some)
+    dealt = sides.repartition(key, label).groupBy(key, label, "at").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
+    order = Window.partitionBy(key, label).orderBy("at")
+    on = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0
+    return dealt.select(key, label, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), on("g").alias("g"), on("f").alias("f")).where("end is not null")
+
+
 def char_scores(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """(label, tp, fp, fn, precision, recall, f1) over characters of (key, start, end, label) spans."""
-    chars = lambda df: df.select(key, label, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct()
-    both = chars(gold.where("end > start")).withColumn("g", F.lit(1)).join(chars(found.where("end > start")).withColumn("f", F.lit(1)), [key, label, "at"], "full")
-    counts = both.groupBy(label).agg(F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"))
+    """(label, tp, fp, fn, precision, recall, f1) over characters of (key, start, end, label) spans.
+
+    Rows of one key are one document, null keys too; empty spans cover nothing; a label without any span has no row."""
+    size = F.col("end").cast("bigint") - F.col("start")
+    of = lambda c: F.coalesce(F.sum(F.when(c, size)), F.lit(0)).alias
+    g, f = F.col("g"), F.col("f")
+    counts = _swept(gold, found, key, label).groupBy(label).agg(of(g & f)("tp"), of(~g & f)("fp"), of(g & ~f)("fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return counts.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(ratio(2 * p * r, p + r), 6)})
@@ -71,11 +108,12 @@ def char_scores(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: s
 
 def error_runs(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: str = "label", longest: int | None = None) -> DataFrame:
     """(label, kind fp or fn, key, start, end, length) of contiguous wrong characters; longest keeps so many of each label and kind."""
-    chars = lambda df: df.where("end > start").select(key, label, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct()
-    g, f = chars(gold), chars(found)
-    wrong = f.join(g, [key, label, "at"], "left_anti").withColumn("kind", F.lit("fp")).unionByName(g.join(f, [key, label, "at"], "left_anti").withColumn("kind", F.lit("fn")))
-    run = F.col("at") - F.row_number().over(Window.partitionBy(key, label, "kind").orderBy("at"))
-    out = wrong.withColumn("run", run).groupBy(label, "kind", key, "run").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).drop("run").withColumn("length", F.col("end") - F.col("start"))
+    kind = F.when(F.col("f") & ~F.col("g"), "fp").when(F.col("g") & ~F.col("f"), "fn").otherwise("")
+    order = Window.partitionBy(key, label).orderBy("start")
+    rows = _swept(gold, found, key, label).withColumn("kind", kind)
+    new = F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1)
+    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind <> ''")
+    out = rows.groupBy(label, "kind", key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run").withColumn("length", F.col("end") - F.col("start"))
     if longest is None:
         return out
     place = F.row_number().over(Window.partitionBy(label, "kind").orderBy(F.desc("length"), key, "start"))

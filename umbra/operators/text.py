@@ -37,6 +37,8 @@ METADATA: dict[str, str] = {
 SEGMENT, OVERLAP, KEYWORD_SCORE, MATCH_SCORE = 300, 50, 0.3, 0.2
 # End of fixed values.
 
+#: Characters of a bucket that segments and entities meet by.
+BUCKET = 512
 EXPANSION = "array<struct<acronym:string,expansion:string,original_start:int,original_end:int,expanded_start:int,expanded_end:int>>"
 
 
@@ -93,10 +95,12 @@ def likelihood(text: Column) -> tuple[Column, Column]:
 
 
 def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SEGMENT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, segment number, text, start, end, pii_likelihood, pii_scores) of every segment."""
-    rows = docs.select(key, F.posexplode(segments(F.col(text), most, overlap)).alias("segment", "s")).select(key, "segment", F.col("s.text").alias("text"), "s.start", "s.end")
+    """(key, segment number, text, start, end, pii_likelihood, pii_scores, text_hash) of every segment; text_hash is the
+    whole text's. Keys may be null or repeat; null and empty texts have no segments; rows alike each give theirs."""
+    rows = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.posexplode(segments(F.col(text), most, overlap)).alias("segment", "s"))
+    rows = rows.select(key, "segment", F.col("s.text").alias("text"), "s.start", "s.end", "text_hash")
     rate, scores = likelihood(F.col("text"))
-    return rows.withColumns({"pii_likelihood": rate, "pii_scores": scores})
+    return rows.select(key, "segment", "text", "start", "end", rate.alias("pii_likelihood"), scores.alias("pii_scores"), "text_hash")
 
 
 def sectioned(parts: DataFrame) -> DataFrame:
@@ -119,10 +123,19 @@ def incident(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return first.select(key, F.regexp_replace(head, r"(?U)^\s+|\s+$", "").alias("incident_description"))
 
 
-def by_segment(parts: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Entities inside each segment, with offsets that count from its start."""
-    spans = entities.select(F.col(key), "entity_type", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("text").alias("e_text"), "score")
-    inside = parts.select(key, "segment", "start", "end").join(spans, key).where("e_start >= start and e_end <= end")
+def by_segment(parts: DataFrame, entities: DataFrame, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """(key, segment, entity_type, start, end, text, score) of the entities inside each segment, with offsets that count
+    from its start.
+
+    A range join on row and bucket of offsets: an entity meets those segments of its own row (key and text_hash, of
+    segmented() and detect()) that reach into the bucket where it starts. So null and repeated keys never mix texts, and a
+    text of very many segments and entities is dealt by its buckets. Rows alike in key and text each give theirs."""
+    spans = entities.select(F.col(key).alias("__of"), F.col("text_hash").alias("__of_hash"), "entity_type", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("text").alias("e_text"), "score").distinct()
+    spans = spans.withColumn("__at", F.floor(F.col("e_start") / bucket).cast("int"))
+    reach = F.sequence(F.floor(F.col("start") / bucket).cast("int"), F.floor(F.col("end") / bucket).cast("int"))
+    rows = parts.select(key, "text_hash", "segment", "start", "end", F.explode(reach).alias("__bucket"))
+    same = F.col(key).eqNullSafe(F.col("__of")) & (F.col("text_hash") == F.col("__of_hash")) & (F.col("__bucket") == F.col("__at"))
+    inside = rows.join(spans, same & (F.col("e_start") >= F.col("start")) & (F.col("e_end") <= F.col("end")))
     return inside.select(key, "segment", "entity_type", (F.col("e_start") - F.col("start")).alias("start"), (F.col("e_end") - F.col("start")).alias("end"), F.col("e_text").alias("text"), "score")
 
 
@@ -133,7 +146,10 @@ def structured(entities: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def explained(entities: DataFrame, docs: DataFrame, catalogue, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """Entities with the regexes that match them, their type's context words, and the text around them."""
+    """Entities with the regexes that match them, their type's context words, and the text around them.
+
+    An entity goes to the rows of its key whose text has its text_hash, so null and repeated keys never mix texts; rows
+    alike in key and text each give theirs."""
     regexes = {d.entity_type: [] for d in catalogue.definitions}
     context = {d.entity_type: d.context for d in catalogue.definitions}
     for d in catalogue.definitions:
@@ -143,6 +159,7 @@ def explained(entities: DataFrame, docs: DataFrame, catalogue, key: str = "doc_i
         hits = F.filter(F.array(*[F.when(F.col("text").rlike(f"(?Ud){r}"), F.lit(r)) for r in rxs]), lambda x: x.isNotNull())
         matching = F.when(F.col("entity_type") == kind, hits) if matching is None else matching.when(F.col("entity_type") == kind, hits)
     words = F.create_map(*[x for k, v in context.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]) if v else F.array().cast("array<string>"))])
-    said = docs.select(key, F.col(text).alias("__said"))
+    said = docs.select(F.col(key).alias("__of"), F.col(text).alias("__said"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"))
+    same = F.col(key).eqNullSafe(F.col("__of")) & (F.col("text_hash") == F.col("__hash"))
     around = F.substring(F.col("__said"), F.greatest(F.col("start") - window, F.lit(0)) + 1, F.least(F.col("start"), F.lit(window)) + F.col("end") - F.col("start") + window)
-    return entities.join(said, key).select(key, "entity_type", "start", "end", F.col("text").alias("matched_text"), "score", matching.alias("matching_patterns"), words[F.col("entity_type")].alias("context_terms"), around.alias("context"))
+    return entities.distinct().join(said, same).select(key, "entity_type", "start", "end", F.col("text").alias("matched_text"), "score", matching.alias("matching_patterns"), words[F.col("entity_type")].alias("context_terms"), around.alias("context"))

@@ -7,7 +7,7 @@ from umbra.functions.catalog import Catalogue, Scan
 from umbra.functions.validators import DATE_SHAPES
 from umbra.operators.detect import AS_OF_YEAR
 
-#: Types with a regex that the other engine's RE2 can't take (look-around).
+#: Types with a regex that the other engine's RE2 can't take (look-around); they are said by hand in AROUND and AT.
 LOOKAROUND = ["AU_POSTCODE", "VEHICLE_REGISTRATION", "NAME_CONSULTANT", "TIME", "PHONE_INTL", "US_SSN"]
 O, M, S = "chr(57344)", "chr(57345)", "chr(57346)"
 
@@ -29,6 +29,17 @@ AROUND: dict[str, list[tuple[str, str, str]]] = {
     "NAME_CONSULTANT": [(rf"{who}\s*:\s*", _NAME, after) for after in (_AFTER, "$") for who in _WHO],
 }
 
+#: Regexes with look-ahead at the first character only, said as tests of the text from each word's first letter on: what
+#: must match there, what must not, and the span.
+_STATES = r"(?:NSW|VIC|QLD|WA|SA|TAS|NT|ACT\b)"
+_SHORT = "DOB|PLC|LLC|ABN|ACN|TFN|VIN|REF|POL|CRN|BSB|GST"
+AT: dict[str, list[tuple[list[str], list[str], str]]] = {
+    "VEHICLE_REGISTRATION": [
+        ([r"[A-Z0-9\-\s]*[0-9]\b"], [r"AU-[0-9]+\b", _STATES, rf"(?:{_SHORT}|SSN|TIN|NIN)(?:\b|[0-9])", r"[A-Z]{1,3}\s+[0-9]{3}-[0-9]{2}-[0-9]{4}\b"], r"[A-Z]{1,3}[-\s]?[A-Z0-9]{2,3}[-\s]?[A-Z0-9]{1,3}\b"),
+        ([], [rf"(?:{_SHORT})[0-9]"], r"[A-Z]{2,3}[0-9]{2,3}[A-Z]?\b"),
+    ],
+}
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -51,11 +62,73 @@ FROM (SELECT {key}, text, i, split_part(split_part(p, {S}, 1), {M}, 2) AS g,
 WHERE i > 1"""
 
 
+def scan_at(s: Scan, source: str, key: str, rule: tuple[list[str], list[str], str]) -> str:
+    """Candidates of a regex whose look-aheads all stand at its beginning: every place is tried, and of the places that
+    match each is taken that begins where the one taken before has ended."""
+    must, never, body = rule
+    at_once = lambda r: q("^(?:" + r + ")")
+    tests = [f"regexp_matches(rest, {at_once(r)})" for r in must] + [f"NOT regexp_matches(rest, {at_once(r)})" for r in never]
+    words = q(chr(92) + "b([A-Z])")
+    return f"""
+SELECT {key}, {s.ordinal} AS ordinal, '{s.entity_type}' AS entity_type, CAST({s.score} AS DOUBLE) AS score, CAST(x.s AS INT) AS "start", CAST(x.e AS INT) AS "end", substr(text, x.s + 1, x.e - x.s) AS txt, text
+FROM (SELECT {key}, any_value(text) AS text, unnest(list_reduce(list([{{'s': i, 'e': i + length(hit)}}] ORDER BY i), lambda a, b: CASE WHEN b[1].s >= a[len(a)].e THEN list_concat(a, b) ELSE a END)) AS x
+  FROM (SELECT *, substr(text, CAST(i + 1 AS INT)) AS rest FROM (SELECT {key}, text, i, regexp_extract(substr(text, CAST(i + 1 AS INT), 20), {at_once(body)}) AS hit
+    FROM (SELECT {key}, text, k, CAST(coalesce(sum(length(p)) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS i
+      FROM (SELECT {key}, text, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT {key}, text, string_split(regexp_replace(text, {words}, {O} || '\\1', 'g'), {O}) AS ps FROM {source} WHERE regexp_matches(text, {q(chr(92) + 'b(?:' + body + ')')}))))
+    WHERE k > 1) WHERE hit <> '') WHERE {' AND '.join(tests)} GROUP BY {key})"""
+
+
+def folded(items: str, priority: dict[str, int]) -> str:
+    """Recursive CTEs up to `folded` (doc_id, items): the overlap fold over {items} (doc_id, item struct s, e, t, o, r), one step an item."""
+    rank = lambda c: f"(CASE {c}.t " + " ".join(f"WHEN '{t}' THEN {p}" for t, p in priority.items()) + " ELSE 0 END)"
+    return f"""listed AS MATERIALIZED (SELECT doc_id, list(item ORDER BY item.s, item.e DESC, item.t) AS items FROM {items} GROUP BY doc_id),
+steps AS (
+  SELECT doc_id, 0 AS i, items[1:0] AS kept FROM listed
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN met IS NULL THEN list_append(kept, x)
+      WHEN ({rank('x')} > {rank('met')} AND NOT (x.s >= met.s AND x.e <= met.e)) OR ({rank('x')} = {rank('met')} AND x.e - x.s > met.e - met.s)
+      THEN list_append(list_filter(kept, lambda k: NOT (k.s = met.s AND k.e = met.e AND k.t = met.t)), x) ELSE kept END
+  FROM (SELECT *, list_filter(kept, lambda k: x.s < k.e AND x.e > k.s)[1] AS met FROM (SELECT steps.doc_id, i, kept, items[i + 1] AS x FROM steps JOIN listed ON steps.doc_id = listed.doc_id WHERE i < len(items)))),
+folded AS (SELECT steps.doc_id, kept AS items FROM steps JOIN listed ON steps.doc_id = listed.doc_id AND i = len(items))"""
+
+
+def spliced(source: str) -> str:
+    """A query of (doc_id, text, n_items): {source}'s texts with the items of `folded`, which don't overlap, written in."""
+    return f"""each AS (SELECT doc_id, unnest(items) AS x FROM folded),
+ordered AS (SELECT doc_id, x.s AS s, x.e AS e, x.r AS r, lag(x.e, 1, 0) OVER (PARTITION BY doc_id ORDER BY x.s) AS b FROM each),
+joined AS (SELECT c.doc_id, string_agg(substr(c.text, o.b + 1, o.s - o.b) || o.r, '' ORDER BY o.s) || substr(any_value(c.text), max(o.e) + 1) AS text, count(*) AS n FROM {source} c JOIN ordered o ON c.doc_id = o.doc_id GROUP BY c.doc_id)
+SELECT c.doc_id, coalesce(joined.text, c.text) AS text, CAST(coalesce(n, 0) AS INT) AS n_items FROM {source} c LEFT JOIN joined ON c.doc_id = joined.doc_id"""
+
+
+def segments(source: str, most: int, overlap: int) -> str:
+    """Recursive CTEs up to `segments` (doc_id, segment, text, start, end) of {source}: paragraphs packed one after the other."""
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"""paras AS MATERIALIZED (SELECT doc_id, text, regexp_split_to_array(text, '\\n\\s*\\n') AS ps FROM {source} WHERE length(text) > {most}),
+packed AS (
+  SELECT doc_id, 0 AS i, '' AS now, 0::BIGINT AS pos, 0 AS n, CAST(NULL AS VARCHAR) AS seg, 0::BIGINT AS a, 0::BIGINT AS b FROM paras
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN whole THEN substr(now, cut + 1) || chr(10) || chr(10) || para WHEN now <> '' THEN now || chr(10) || chr(10) || para ELSE para END,
+    CASE WHEN whole THEN pos + cut ELSE pos END, CASE WHEN whole THEN n + 1 ELSE n END, CASE WHEN whole THEN now END, pos, pos + length(now)
+  FROM (SELECT packed.doc_id, i, now, pos, n, ps[i + 1] AS para, length(now) + length(ps[i + 1]) > {most} AND now <> '' AS whole, greatest(0, length(now) - {overlap}) AS cut
+    FROM packed JOIN paras ON packed.doc_id = paras.doc_id WHERE i < len(ps))),
+segments AS (
+  SELECT doc_id, n - 1 AS segment, {strip('seg')} AS text, a AS "start", b AS "end" FROM packed WHERE seg IS NOT NULL
+  UNION ALL SELECT packed.doc_id, n, {strip('now')}, pos, pos + length(now) FROM packed JOIN paras ON packed.doc_id = paras.doc_id AND i = len(ps) WHERE now <> ''
+  UNION ALL SELECT doc_id, 0, text, 0, length(text) FROM {source} WHERE text <> '' AND length(text) <= {most})"""
+
+
 def candidates(catalogue: Catalogue, types: list[str], source: str, key: str = "doc_id") -> str:
     known = sum(len(d.patterns) for d in catalogue.definitions)
     scans = catalogue.scans(set(types))
     of = {t: iter(rows) for t, rows in AROUND.items()}
-    every = "\nUNION ALL\n".join(scan(s, source, key, next(of[s.entity_type]) if s.entity_type in AROUND else None) for s in scans)
+    at = {t: iter(rows) for t, rows in AT.items()}
+
+    def said(s: Scan) -> str:
+        if s.entity_type in AT and "(?!" in s.regex:
+            return scan_at(s, source, key, next(at[s.entity_type]))
+        return scan(s, source, key, next(of[s.entity_type]) if s.entity_type in AROUND else None)
+
+    every = "\nUNION ALL\n".join(map(said, scans))
     labels = ", ".join(map(q, C.LABEL_TEXTS))
     return f"""SELECT {key}, ordinal, entity_type, score, "start", "end", txt,
   substr(text, greatest("start" - {C.CONTEXT_WINDOW}, 0) + 1, least("start", {C.CONTEXT_WINDOW})) AS before, substr(text, "end" + 1, {C.CONTEXT_WINDOW}) AS after
@@ -126,7 +199,7 @@ def _table(table: dict[str, list[str]], test, types: list[str]) -> str:
 
 
 def detect(catalogue: Catalogue, types: list[str], source: str, key: str = "doc_id") -> str:
-    """CTEs up to `entities` ({key}, entity_type, start, end, text, score), for types without look-around."""
+    """CTEs up to `entities` ({key}, entity_type, start, end, text, score)."""
     rank = " ".join(f"WHEN '{t}' THEN {catalogue.effective(t)!r}" for t in types)
     base = lambda c: f"(CASE {c} " + " ".join(f"WHEN '{t}' THEN {C.PRIORITY.get(t, C.UNLISTED_PRIORITY)}" for t in types) + f" ELSE {C.UNLISTED_PRIORITY} END)"
     span = f'OVER (PARTITION BY {key}, "start", "end")'

@@ -187,7 +187,7 @@ _DETECT = f"WITH {CLAIMS_SQL}, {O.detect(CATALOGUE, PLAIN, 'claims')}"
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(claims(spark, sf_dir), active=set(PLAIN))
+    return detect(claims(spark, sf_dir), active=set(PLAIN), hashed=False)
 
 
 @query("detect_entities", f'{_DETECT} SELECT doc_id, entity_type, "start", "end", text, score FROM entities')
@@ -197,22 +197,22 @@ def detect_entities(spark, sf_dir):
 
 @query("detect_all_types")
 def detect_all_types(spark, sf_dir):
-    return detect(claims(spark, sf_dir))
+    return detect(claims(spark, sf_dir), hashed=False)
 
 
 @query("detect_documents")
 def detect_documents(spark, sf_dir):
-    return detect(table(spark, sf_dir, "documents"))
+    return detect(table(spark, sf_dir, "documents"), hashed=False)
 
 
 @query("detect_pages")
 def detect_pages(spark, sf_dir):
-    return detect(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    return detect(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), hashed=False)
 
 
 @query("detect_native", f'{_DETECT} SELECT doc_id, entity_type, "start", "end", text, score FROM entities')
 def detect_native(spark, sf_dir):
-    return detect(claims(spark, sf_dir), active=set(PLAIN), engine="native")
+    return detect(claims(spark, sf_dir), active=set(PLAIN), engine="native", hashed=False)
 
 
 _STRICT = ["EMAIL_ADDRESS", "AU_PHONE", "CREDIT_CARD"]
@@ -220,7 +220,7 @@ _STRICT = ["EMAIL_ADDRESS", "AU_PHONE", "CREDIT_CARD"]
 
 @query("detect_threshold", f'WITH {CLAIMS_SQL}, {O.detect(CATALOGUE, _STRICT, "claims").replace("cand AS (", "cand AS (SELECT * FROM (", 1).replace("),\nflagged", ") WHERE score >= 0.9),\nflagged", 1)} SELECT doc_id, entity_type, "start", "end", text, score FROM entities')
 def detect_threshold(spark, sf_dir):
-    return detect(claims(spark, sf_dir), active=set(_STRICT), threshold=0.9)
+    return detect(claims(spark, sf_dir), active=set(_STRICT), threshold=0.9, hashed=False)
 
 
 def _suggested_sql() -> str:
@@ -303,21 +303,21 @@ SELECT c.doc_id, coalesce(g.text, c.text) AS text, CAST(coalesce(n_items, 0) AS
 @query("mixed_ops_text", _spliced_sql(_SIMPLE, _NEW_SQL))
 def mixed_ops_text(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    out = anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True), _OPS, as_of=AS_OF)
+    out = anonymize(notes, detect(notes, active=set(_SIMPLE)), _OPS, as_of=AS_OF)
     return out.select("doc_id", "text", F.size("items").alias("n_items"))
 
 
 @query("op_replace", _spliced_sql(_SIMPLE, "'<' || entity_type || '>'"))
 def op_replace(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    return anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True)).select("doc_id", "text", F.size("items").alias("n_items"))
+    return anonymize(notes, detect(notes, active=set(_SIMPLE))).select("doc_id", "text", F.size("items").alias("n_items"))
 
 
 for _name, _new in {"mask": "repeat('*', length(text))", "redact": "'[REDACTED]'", "hash": "'HASH-' || substr(sha256(text), 1, 10)"}.items():
 
     def _one_operator(spark, sf_dir, name=_name):
         notes = claims(spark, sf_dir)
-        return anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True), dict.fromkeys(_SIMPLE, name)).select("doc_id", "text", F.size("items").alias("n_items"))
+        return anonymize(notes, detect(notes, active=set(_SIMPLE)), dict.fromkeys(_SIMPLE, name)).select("doc_id", "text", F.size("items").alias("n_items"))
 
     query(f"op_{_name}", _spliced_sql(_SIMPLE, _new))(_one_operator)
 
@@ -335,7 +335,7 @@ def odd_keys(spark, sf_dir):
     """Every note twice, under keys that are null or repeat: each row comes back with its own text rewritten."""
     notes = claims(spark, sf_dir).select(F.col("doc_id").alias("k"), "text").select(F.expr(_ODD_KEY).alias("doc_id"), "text")
     twice = notes.unionByName(notes)
-    return anonymize(twice, detect(twice, active=set(_SIMPLE), hashed=True)).select("doc_id", "text", F.size("items").alias("n_items"))
+    return anonymize(twice, detect(twice, active=set(_SIMPLE))).select("doc_id", "text", F.size("items").alias("n_items"))
 
 
 @query("odd_columns", _ODD_SQL.replace(_ROWS, f"SELECT {_OF} AS id, coalesce(g.text, c.text) AS note, CASE WHEN c.doc_id % 3 <> 0 THEN coalesce(g.text, c.text) END AS other FROM claims c LEFT JOIN g ON c.doc_id = g.doc_id"))
@@ -345,17 +345,11 @@ def odd_columns(spark, sf_dir):
     return anonymize_columns(notes, ["note", "other"], key="id", detection={"active": set(_SIMPLE)})
 
 
-@query("anonymize_all")
-def anonymize_all(spark, sf_dir):
-    notes = claims(spark, sf_dir)
-    return anonymize(notes, detect(notes, hashed=True))
-
-
 @query("keep_postcode", f"WITH {CLAIMS_SQL} SELECT doc_id, CASE WHEN doc_id % 12 = 6 THEN regexp_extract(text, 'NSW (\\d{{4}})', 1) ELSE regexp_extract(text, ' (\\d{{4}}) ', 1) END AS postcode FROM claims")
 def keep_postcode(spark, sf_dir):
     """The number that stands alone after rewriting: a note with an address keeps its postcode, others are as they were."""
     notes = claims(spark, sf_dir)
-    out = anonymize(notes, detect(notes, active={"AU_ADDRESS", "AU_POSTCODE"}, hashed=True))
+    out = anonymize(notes, detect(notes, active={"AU_ADDRESS", "AU_POSTCODE"}))
     return out.select("doc_id", F.regexp_extract("text", r" (\d{4}) ", 1).alias("postcode"))
 
 
@@ -363,7 +357,7 @@ def keep_postcode(spark, sf_dir):
 SELECT count(*) AS total_documents, CAST(sum(coalesce(k, 0)) AS BIGINT) AS total_entities, CAST(sum(n) AS BIGINT) AS total_characters, CAST(sum(coalesce(a, 0)) AS BIGINT) AS total_anonymized_characters, round(sum(coalesce(k, 0)) / count(*), 6) AS entities_per_document, round(sum(coalesce(a, 0)) / sum(n), 6) AS anonymization_rate FROM d LEFT JOIN e USING (doc_id)""")
 def report_summary(spark, sf_dir):
     notes = claims(spark, sf_dir)
-    return report.summary(report.document_report(notes, anonymize(notes, detect(notes, active=set(_SIMPLE), hashed=True))))
+    return report.summary(report.document_report(anonymize(notes, detect(notes, active=set(_SIMPLE)), sized=True)))
 
 
 @query("pii_column_rate")
