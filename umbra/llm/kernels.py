@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,24 @@ def words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[
     return h, s, e, np.searchsorted(s, offs)
 
 
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+_malloc_trim = _trim()
+
+
+def release() -> None:
+    """Gives memory that nothing uses back to the machine, so that an idle worker doesn't hold a former stage's peak."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 * PIECE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about so many bytes, a longer text alone."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -104,6 +123,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 * PIECE) -> Iterato
         to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def shingle_sets(h: np.ndarray, tok: np.ndarray, width: int) -> Iterator[np.ndarray]:
