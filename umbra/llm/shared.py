@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers when it's neither installed nor on their path, and keeps the
     session's Arrow batches to BATCH bytes where they're allowed more."""
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(size, "0").rstrip("b") or 0) > BATCH:
+    if int(spark.conf.get(size).rstrip("b")) > BATCH:
         spark.conf.set(size, str(BATCH))
     root = Path(__file__).resolve().parents[2]
     path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
