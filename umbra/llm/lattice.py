@@ -21,7 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
+import ahocorasick
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -44,11 +44,32 @@ FLOOR = 0.01
 
 
 class Lattice:
-    """Piece log-probabilities and the walks over a word's segmentations."""
+    """Piece log-probabilities and the walks over a word's segmentations.
+
+    A word whose every character is a piece has piece edges alone, and an automaton over the pieces lists them by end
+    place in one pass; other words go the long way, where a character may also stand for its bytes."""
 
     def __init__(self, log: dict[str, float], bytes_log: list[float], end: float):
         self.log, self.bytes_log, self.end = log, bytes_log, end
-        self.heads = {p[:k] for p in log for k in range(1, len(p) + 1)}
+        self._build()
+
+    def _build(self) -> None:
+        self.heads = {p[:k] for p in self.log for k in range(1, len(p) + 1)}
+        self.single = {p for p in self.log if len(p) == 1} - {START}
+        self.found = ahocorasick.Automaton()
+        for p, v in self.log.items():
+            self.found.add_word(p, (len(p) - 1, p, v))
+        self.found.make_automaton()
+
+    def __getstate__(self):
+        return self.log, self.bytes_log, self.end
+
+    def __setstate__(self, state) -> None:
+        self.log, self.bytes_log, self.end = state
+        self._build()
+
+    def plain(self, word: str) -> bool:
+        return START in self.log and self.single.issuperset(word)
 
     @classmethod
     def of(cls, model_file: str) -> Lattice:
@@ -104,10 +125,39 @@ class Lattice:
 
     def word(self, word: str) -> float:
         """Natural log of the word's probability: all segmentations together."""
-        return self.forward(self.edges(word))[-1]
+        if not self.plain(word):
+            return self.forward(self.edges(word))[-1]
+        exp, log1p = math.exp, math.log1p
+        alpha: list = [0.0] + [None] * (len(word) + 1)
+        for e, (k, _, v) in self.found.iter(START + word):
+            t, o = alpha[e - k] + v, alpha[e + 1]
+            alpha[e + 1] = t if o is None else (o + log1p(exp(t - o)) if o > t else t + log1p(exp(o - t)))
+        return alpha[-1]
+
+    def expect_plain(self, word: str, weight: float, pieces: dict[str, float]) -> float:
+        """expect() of a word whose every character is a piece."""
+        exp, log1p, n = math.exp, math.log1p, len(word) + 1
+        alpha: list = [0.0] + [None] * n
+        edges = []
+        for e, (k, p, v) in self.found.iter(START + word):
+            i = e - k
+            t, o = alpha[i] + v, alpha[e + 1]
+            edges.append((e + 1, i, p, v, t))
+            alpha[e + 1] = t if o is None else (o + log1p(exp(t - o)) if o > t else t + log1p(exp(o - t)))
+        total, get = alpha[n], pieces.get
+        beta: list = [None] * n + [0.0]
+        edges.reverse()  # by descending end: what follows a place is known before it
+        for j, i, p, v, t in edges:
+            b = beta[j]
+            pieces[p] = get(p, 0.0) + exp(t + b - total) * weight
+            t, o = v + b, beta[i]
+            beta[i] = t if o is None else (o + log1p(exp(t - o)) if o > t else t + log1p(exp(o - t)))
+        return total
 
     def expect(self, word: str, weight: float, pieces: dict[str, float], of_bytes: list[float]) -> float:
         """Adds the expected counts of the word's pieces, weight times; returns its log-probability."""
+        if self.plain(word):
+            return self.expect_plain(word, weight, pieces)
         edges = self.edges(word)
         alpha = self.forward(edges)
         n, total = len(edges) - 1, alpha[-1]
