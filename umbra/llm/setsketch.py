@@ -175,6 +175,11 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _ends(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of pairs' a and b (and what else they hold) under the name id."""
+    return left.withColumnRenamed("a", "id").unionByName(right.withColumnRenamed("b", "id"))
+
+
 class _Search:
     """The state of one run: docs (id, said, text), reps (id, n, regs; one id for each distinct set), links found, pairs judged."""
 
@@ -196,7 +201,7 @@ class _Search:
         """(id, salts) of the ids of very many written pairs, None where there's none."""
         if pairs.count() <= SPREAD:
             return None
-        each = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+        each = _ends(pairs.groupBy("a").count(), pairs.groupBy("b").count()).groupBy("id").agg(F.sum("count").alias("count"))
         found = written(each.where(F.col("count") > SPREAD).select("id", F.ceil(F.col("count") / SPREAD).cast("int").alias("salts")), "hot")
         self.made.append(found)
         return None if found.isEmpty() else _small(found)
@@ -223,7 +228,7 @@ class _Search:
         near = written(joined.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_near(self.percent / 100), "a long, b long"), "near")
         many = near.count()
         if many:
-            texts = written(self.texts(near.select(F.explode(F.array("a", "b")).alias("id")), 2 * many <= BROADCAST_ROWS), "texts")
+            texts = written(self.texts(_ends(near.select("a"), near.select("b")).distinct(), 2 * many <= BROADCAST_ROWS), "texts")
             full = self.attached(self.attached(near, "a", texts, ["ta"], hot), "b", texts, ["tb"], hot).select("a", "b", "ta", "tb")
             found = written(full.mapInArrow(_same(self.width, self.percent), "a long, b long"), "found")
             drop(texts)
