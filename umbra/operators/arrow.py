@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import catalog as C
-from umbra.functions.catalog import Catalogue
+from umbra.functions.catalog import Catalogue, Scan
 
 #: Letters that match another letter when case is ignored though lower() leaves them apart.
 _ODD_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
+_DIGIT = re.compile(r"\d")
 _MARKERS = dict.fromkeys((0xE000, 0xE001, 0xE002), "\ufffd")
 SCHEMA = "ordinal int, entity_type string, score double, start int, end int, text string, before string, after string"
 
@@ -84,11 +86,48 @@ def _digit_in(parsed) -> bool:
     return False
 
 
+class Gates:
+    """Which scans a text can match at all, by one pass over it: an automaton of all literals that scans need finds those
+    that the text holds, and only scans with one of theirs, or without any, are left."""
+
+    def __init__(self, scans: list[Scan]):
+        self.scans, self.always, self.by = scans, [], []
+        self.numeric = [needs_digit(s.regex) for s in scans]
+        place: dict[str, int] = {}
+        for k, s in enumerate(scans):
+            needs = literals(s.regex, s.ignore_case)
+            for word in needs:
+                if word not in place:
+                    place[word] = len(self.by)
+                    self.by.append([])
+                self.by[place[word]].append(k)
+            if not needs:
+                self.always.append(k)
+        self.found = ahocorasick.Automaton()
+        for word, i in place.items():
+            self.found.add_word(word, i)
+        if place:
+            self.found.make_automaton()
+
+    def open(self, said: str) -> list[int]:
+        """Numbers of the scans that may match, ascending."""
+        digits = _DIGIT.search(said) is not None
+        if _ODD_CASE.search(said) is not None:  # lower() doesn't show every letter that matches
+            some = range(len(self.scans))
+        else:
+            left = set(self.always)
+            for i in {i for _, i in self.found.iter(said.lower())} if self.by else ():
+                left.update(self.by[i])
+            some = sorted(left)
+        gated = lambda g: g is None or (digits if g == "digit" else g in said)
+        return [k for k in some if (digits or not self.numeric[k]) and gated(self.scans[k].gate)]
+
+
 def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, carry: tuple[str, ...] = (), skip: bool = True) -> DataFrame:
     """The same candidates as umbra.operators.detect.scanned, in the same columns.
 
     A regex is run over texts only that hold one of the literals which any match of it must hold, found from the regex
-    itself: most of the catalogue is led by words that most texts lack."""
+    itself: most of the catalogue is led by words that most texts lack. One automaton looks for all of them at once."""
     scans = catalogue.scans(active, threshold, adjust)
     known = sum(len(d.patterns) for d in catalogue.definitions)
     rows = docs.select(F.col(key), *carry, F.col(text).alias("__text"))
@@ -99,28 +138,14 @@ def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: st
         return low in labels or (kind == "PERSON" and ("number" in low or low.startswith(("ref", "policy", "claim"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(s, re.compile(s.regex, re.IGNORECASE if s.ignore_case else 0), literals(s.regex, s.ignore_case), needs_digit(s.regex)) for s in scans]
-        digit = re.compile(r"\d")
+        gates = Gates(scans)
+        compiled = [(s, re.compile(s.regex, re.IGNORECASE if s.ignore_case else 0)) for s in scans]
         for batch in batches:
             keys, found = [], []
             for i, said in enumerate(batch.column(len(kept)).to_pylist()):
                 said = clean(said or "")
-                low, digits, odd = said.lower(), digit.search(said) is not None, _ODD_CASE.search(said) is not None
-                seen: dict[str, bool] = {}
-                for s, rx, needs, numeric in compiled:
-                    if numeric and not digits:
-                        continue
-                    if s.gate is not None and not (digits if s.gate == "digit" else s.gate in said):
-                        continue
-                    if needs and not odd:
-                        for word in needs:
-                            has = seen.get(word)
-                            if has is None:
-                                has = seen[word] = word in low
-                            if has:
-                                break
-                        else:
-                            continue
+                for k in gates.open(said):
+                    s, rx = compiled[k]
                     for m in rx.finditer(said):
                         a, b = m.span(1) if m.lastindex else m.span()
                         if skip and s.ordinal < known and skipped(s.entity_type, said[a:b]):

@@ -156,13 +156,16 @@ def suggested(entities: DataFrame) -> DataFrame:
     return entities.withColumn("suggested", F.when(best.score > 0, best.kind))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = True, acronyms: dict[str, str] | None = None) -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue: Catalogue | None = None, active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True, extra: DataFrame | None = None, engine: str = "auto", hashed: bool = True, acronyms: dict[str, str] | None = None, once: bool = False) -> DataFrame:
     """(key, entity_type, start, end, text, score, text_hash) of every entity; start and end count code points, end exclusive.
 
     Keys may be null or repeat (see above); a null text has no entities; rows alike in key and text each give theirs;
     other columns are ignored, whatever their names; an empty table gives no rows. text_hash (xxhash64 of the row's text)
     says which of several rows of one key an entity is of; without `hashed` it's left out.
 
+    once: texts that repeat are scanned once for all their rows and their entities joined back by the text's two hashes
+    (umbra.operators.repeats); the result is the same.
+
     acronyms are written out in the text before it is scanned, so places count in the written-out text (rewrite that, see
     umbra.operators.process).
 
@@ -179,6 +182,12 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue:
         from umbra.operators.text import expanded
 
         docs = docs.withColumn(text, expanded(F.col(text), acronyms).text)
+    if once:
+        from umbra.operators.repeats import detect_once
+
+        if extra is not None:
+            raise ValueError("Candidates of another source belong to rows, so texts can't be scanned once for all their rows.")
+        return detect_once(docs, key, text, catalogue=catalogue, active=active, threshold=threshold, adjust=adjust, as_of_year=as_of_year, strict_suffix=strict_suffix, engine=engine, hashed=hashed)
     if engine == "auto":
         scans = catalogue.scans(active, threshold, adjust)
         engine = "native" if len(scans) <= FEW and all(C.terminal_group(s.regex) for s in scans) else "arrow"

@@ -149,6 +149,14 @@ Q.ORACLE["detect_all_types"] = f'{_EVERY} SELECT doc_id, entity_type, "start", "
 _LETTERS = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}]"
 Q.ORACLE["detect_documents"] = f'WITH said AS (SELECT doc_id, regexp_replace(coalesce(text, \'\'), \'{_LETTERS}\', \'_\', \'g\') AS text FROM documents), {O.detect(CATALOGUE, ALL, "said")} SELECT doc_id, entity_type, "start", "end", text, score FROM entities'
 Q.ORACLE["detect_pages"] = f'WITH said AS (SELECT page_id AS doc_id, regexp_replace(coalesce(html, \'\'), \'{_LETTERS}\', \'_\', \'g\') AS text FROM pages), {O.detect(CATALOGUE, ALL, "said")} SELECT doc_id, entity_type, "start", "end", text, score FROM entities'
+
+
+@query("detect_repeats_once", Q.ORACLE["detect_documents"])
+def detect_repeats_once(spark, sf_dir):
+    """Every document's entities, each distinct text being scanned once."""
+    return detect(table(spark, sf_dir, "documents"), hashed=False, once=True)
+
+
 _HOMES = """codes AS (SELECT a.doc_id, a."start" AS s, any_value(p."start") AS cs, any_value(p."end") AS ce, any_value(p.text) AS code FROM entities a JOIN entities p ON a.doc_id = p.doc_id AND a.entity_type = 'AU_ADDRESS' AND p.entity_type = 'AU_POSTCODE' AND a."start" <= p."start" AND p."end" <= a."end" GROUP BY 1, 2),
 shown AS (SELECT e.doc_id, {'s': e."start", 'e': e."end", 't': e.entity_type, 'r': CASE WHEN code IS NULL OR e.entity_type <> 'AU_ADDRESS' THEN '<' || e.entity_type || '>' ELSE substr('<AU_ADDRESS>', 1, cs - e."start") || ' ' || code || ' ' || substr('<AU_ADDRESS>', ce - e."start" + 1) END} AS item
   FROM entities e LEFT JOIN codes ON e.doc_id = codes.doc_id AND e."start" = codes.s AND e.entity_type = 'AU_ADDRESS'

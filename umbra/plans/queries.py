@@ -467,14 +467,40 @@ def session_counts(spark, sf_dir):
     return streams.session_counts(table(spark, sf_dir, "events").where("user_id is not null"))
 
 
-@query("stream_window_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_window_counts(spark, sf_dir):
-    """The events table as a stream whose last state is written by each batch, read when it has run dry."""
+def shared_folder(spark: SparkSession) -> str:
+    """A new path that driver and executors share: in spark.checkpoint.dir; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        folder = f"file://{tempfile.mkdtemp(prefix='umbra-stream-')}"
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
     kind = table(spark, sf_dir, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='umbra-stream-')}"
-    path = f"{folder.rstrip('/')}/windows-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/even[t]s.parquet")
-    counts = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
-    running = counts.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start()
-    running.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs one with a zone
+
+
+#: Rows up to the watermark: what append mode has settled when the stream has run dry.
+_SETTLED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("stream_window_counts", f"SELECT * FROM (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3) WHERE window_end <= {_SETTLED}")
+def stream_window_counts(spark, sf_dir):
+    """Windows of the events stream that its watermark has passed, in append mode."""
+    path = shared_folder(spark)
+    streams.appended(streams.windowed_counts(_events(spark, sf_dir)), f"{path}/out", f"{path}/state").awaitTermination()
+    out = spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n long").parquet(f"{path}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+
+
+@query("stream_session_counts", f"WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k HAVING session_end <= {_SETTLED}")
+def stream_session_counts(spark, sf_dir):
+    """Sessions of the events stream that its watermark has passed, in append mode."""
+    path = shared_folder(spark)
+    streams.appended(streams.session_counts(_events(spark, sf_dir).where("user_id is not null")), f"{path}/out", f"{path}/state").awaitTermination()
+    out = spark.read.schema("user_id long, session_start timestamp, session_end timestamp, n long").parquet(f"{path}/out")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")

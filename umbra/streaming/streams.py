@@ -52,3 +52,15 @@ def session_counts(rows: DataFrame, time: str = "ts", who: str = "user_id", gap:
     """Rows of each session: a user's events with less than `gap` between them."""
     timed = rows.withWatermark(time, late) if rows.isStreaming else rows
     return timed.groupBy(F.session_window(time, gap).alias("w"), who).agg(F.count("*").alias("n")).select(who, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def distinct_texts(rows: DataFrame, time: str = "ts", text: str = "text", late: str = "10 minutes") -> DataFrame:
+    """Rows of a stream whose text came first within `late` of event time: repeats are dropped while the watermark
+    remembers the text, so state stays bounded; rows later than the watermark are dropped."""
+    return rows.withWatermark(time, late).withColumn("__said", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicatesWithinWatermark(["__said"]).drop("__said")
+
+
+def appended(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes what a stream settles, once and for all: append mode, so a window's or session's row comes when the watermark
+    has passed its end, and no state is written again. Started anew with the same checkpoint it goes on where it was."""
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
