@@ -170,6 +170,11 @@ def anonymize_all(spark, sf_dir):
     return anonymize(notes, detect(notes)).select("doc_id", "text", F.size("items").alias("n_items"))
 
 
+_SAMPLE = f"""WITH {CLAIMS_SQL}, few AS (SELECT * FROM claims ORDER BY doc_id LIMIT 100),
+long AS MATERIALIZED (SELECT doc_id || ':text' AS doc_id, text FROM few UNION ALL SELECT doc_id || ':seg', seg FROM few)"""
+Q.ORACLE["pii_column_rate"] = f"""{_SAMPLE}, {O.detect(CATALOGUE, ALL, 'long')}, hit AS (SELECT DISTINCT doc_id AS of FROM entities WHERE score >= 0.7)
+SELECT split_part(doc_id, ':', 2) AS "column", count(*) AS sampled, count(of) AS detected, round(count(of) / count(*), 6) AS rate FROM long LEFT JOIN hit ON doc_id = of GROUP BY 1"""
+
 Q._scan_query("registration_spans", ["VEHICLE_REGISTRATION"])
 
 assert set(PLAIN) < set(ALL)
