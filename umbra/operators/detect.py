@@ -170,7 +170,8 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue:
     umbra.operators.process).
 
     extra: candidates of another source, such as a named-entity model (umbra.operators.named cleans its spans), with scanned()'s columns; they are subject to
-    active, adjust and threshold, and hold for those rows of their key whose text has theirs in its place. engine:
+    active, adjust and threshold, and hold for those rows of their key whose text has theirs in its place, or with a column
+    text_hash for those whose text has that hash (umbra.operators.tagger gives it). engine:
     "native" for Catalyst scans, "arrow" for Python's regexes over Arrow batches; "auto" takes the first for few scans, as
     it needs no Python worker, and the second for many or for patterns that the in-plan form can't take: it is the faster
     one then.
@@ -202,8 +203,12 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", catalogue:
         more = F.coalesce(F.create_map(*[F.lit(x) for p in adjust.items() for x in p])[F.col("entity_type")], F.lit(0.0)) if adjust else F.lit(0.0)
         given = extra.withColumn("score", F.least(F.lit(1.0), F.col("score") + more)).where(F.col("score") >= threshold)
         given = (given.where(F.col("entity_type").isin(*active)) if active else given).withColumnsRenamed({key: "__of", "text": "__span"})
-        here = F.col(key).eqNullSafe(F.col("__of")) & (F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("__span"))
-        placed = rows.join(given, here).select(key, *carry, "ordinal", "entity_type", "score", "start", "end", F.col("__span").alias("text"), "before", "after")
+        if "text_hash" in extra.columns:  # rows alike give the same candidates once, and no text is shuffled
+            texts, given = rows.select(key, *carry), given.distinct()
+            here = F.col(key).eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("text_hash"))
+        else:
+            texts, here = rows, F.col(key).eqNullSafe(F.col("__of")) & (F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("__span"))
+        placed = texts.join(given, here).select(key, *carry, "ordinal", "entity_type", "score", "start", "end", F.col("__span").alias("text"), "before", "after")
         found = found.unionByName(placed)
     by = [key, *IDENTITY]
     dealt = found.repartition(*[F.col(c) for c in by])

@@ -40,7 +40,7 @@ MODEL_SCORE = 0.9
 
 
 def cleaned(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A model's spans (key, label, start, end, text, and before and after where it has them) as candidates for detect(extra=).
+    """A model's spans (key, label, start, end, text, and before, after and text_hash where it has them) as candidates for detect(extra=).
 
     Labels become types, others go. Persons that are labels, streets or everyday words go, and label words at a person's
     end are cut off; so go organisations and places that are none."""
@@ -57,4 +57,4 @@ def cleaned(found: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("end", (F.col("start") + F.char_length("text")).cast("int"))
     beside = [F.col(c) if c in found.columns else F.lit("").alias(c) for c in ("before", "after")]
     # ordinals beyond every scan's: the scan's own candidates come first among equals
-    return rows.select(key, F.lit(1 << 20).alias("ordinal"), "entity_type", F.lit(MODEL_SCORE).alias("score"), F.col("start").cast("int"), "end", "text", *beside)
+    return rows.select(key, F.lit(1 << 20).alias("ordinal"), "entity_type", F.lit(MODEL_SCORE).alias("score"), F.col("start").cast("int"), "end", "text", *beside, *[c for c in ("text_hash",) if c in found.columns])

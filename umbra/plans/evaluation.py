@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import catalog as C
-from umbra.operators import report
+from umbra.operators import named, report, tagger
 from umbra.operators import text as T
 from umbra.operators.anonymize import anonymize
 from umbra.operators.detect import detect
@@ -52,6 +52,20 @@ def gold_errors(spark, sf_dir):
     return gold.errors(texts, detect(texts))
 
 
+#: A third of the templates are learnt from, texts of all others are tagged.
+_LEARNT = f"doc_id % {len(gold.TEMPLATES)} in (0, 2, 5)"
+
+
+@query("tagger_f1")
+def tagger_f1(spark, sf_dir):
+    """Characters found right without and with a tagger, over the texts of templates that it hasn't seen."""
+    texts = _texts(spark, sf_dir)
+    unseen = texts.where(f"not {_LEARNT}")
+    model = tagger.fit(texts.where(_LEARNT), {"PERSON"})
+    of = lambda extra, name: gold.scores(unseen, detect(unseen, extra=extra)).select("label", *[F.col(c).alias(f"{c}_{name}") for c in ("tp", "fp", "fn", "f1")])
+    return of(None, "scans").join(of(named.cleaned(tagger.tagged(unseen, model)), "tagged"), "label", "full")
+
+
 # --- reports of rows whose keys are null or repeat ---
 def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = Q.claims(spark, sf_dir).select(F.col("doc_id").alias("k"), "text").select(F.expr(Q._ODD_KEY).alias("doc_id"), "text")
