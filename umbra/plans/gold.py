@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.operators import report
@@ -97,14 +97,29 @@ def _label(i: int) -> str:
     return f"case k % {len(TEMPLATES)} {arms} end" if arms else "cast(null as string)"
 
 
+def _pieces(row: list[str | tuple[str, str]]) -> str:
+    """A template's pieces as an array of (said, label)."""
+    each = ", ".join(f"named_struct('said', {_raw(x)}, 'label', cast(null as string))" if isinstance(x, str) else f"named_struct('said', {x[1]}, 'label', '{x[0]}')" for x in row)
+    return f"array({each})"
+
+
 def labelled(keys: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, spans: array of (start, end, label)) of each key: the text and where its personal data stands. One
-    projection, nothing is shuffled; null keys give empty texts without spans."""
-    pieces = keys.select(F.col(key).alias("k")).select(F.col("k").alias("doc_id"), F.array(*[F.struct(F.expr(_piece(i)).alias("said"), F.expr(_label(i)).alias("label")) for i in range(LENGTH)]).alias("p"))
-    size = F.transform("p", lambda x: F.char_length(x.said))
-    placed = pieces.withColumn("size", size).withColumn("spans", F.transform("p", lambda x, i: F.struct(F.aggregate(F.slice("size", F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("start"), F.get("size", i).alias("size"), x.label.alias("label"))))
-    spans = F.transform(F.filter("spans", lambda s: s.label.isNotNull()), lambda s: F.struct(s.start.alias("start"), (s.start + s["size"]).alias("end"), s.label.alias("label")))
-    return placed.select("doc_id", F.array_join("p.said", "").alias("text"), spans.alias("spans"))
+    projection, nothing is shuffled; null and negative keys of no template give empty texts without spans.
+
+    Only the pieces of the key's own template are made, each once: one fold over them gives both text and spans."""
+    arms = " ".join(f"when {t} then {_pieces(row)}" for t, row in enumerate(TEMPLATES))
+    pieces = F.expr(f"coalesce(case k % {len(TEMPLATES)} {arms} end, cast(array() as array<struct<said:string,label:string>>))")
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc.at + F.char_length(x.said)
+        span = F.struct(acc.at.alias("start"), end.alias("end"), x.label.alias("label"))
+        return F.struct(end.alias("at"), F.concat(acc.text, x.said).alias("text"), F.when(x.label.isNull(), acc.spans).otherwise(F.concat(acc.spans, F.array(span))).alias("spans"))
+
+    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), none.alias("spans")), step)
+    # exploded, as a column that two others refer to may be worked out for each
+    return keys.select(F.col(key).alias("k")).select(F.col("k").alias("doc_id"), F.inline(F.array(folded))).select("doc_id", "text", "spans")
 
 
 def gold_sql(source: str) -> str:
