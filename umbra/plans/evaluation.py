@@ -25,7 +25,7 @@ fc AS (SELECT DISTINCT doc_id, label, unnest(range("start", "end")) AS at FROM (
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.labelled(table(spark, sf_dir, "orders"), "o_orderkey")
+    return gold.labelled(Q.keys(spark, sf_dir), "k")
 
 
 # --- the detector against gold spans ---
@@ -106,7 +106,7 @@ _LETTERS_SQL = f"letters AS MATERIALIZED (SELECT k AS doc_id, {LETTER} AS text F
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): five notes, a blank line between."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("doc_id"), F.expr(LETTER).alias("text"))
+    return Q.keys(spark, sf_dir).select(F.col("k").alias("doc_id"), F.expr(LETTER).alias("text"))
 
 
 Q.ORACLE["segments"] = f'WITH RECURSIVE {O.segments("documents", T.SEGMENT, T.OVERLAP)} SELECT doc_id, segment, "start", "end", md5(text) AS digest FROM segments'

@@ -55,16 +55,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keys(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(k, more columns) of each order, dealt to as many tasks as a shuffle makes: a file of a few bytes a key is read by
+    one task or two, and the notes made from its keys would all be scanned there."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), *more).repartition(tasks, *(more or ["k"]))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, seg): a claim note for each order."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    orders = keys(spark, sf_dir, "o_custkey")
     people = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
     return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("k").alias("doc_id"), F.expr(CLAIM).alias("text"), "seg")
 
 
 def extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a second note for each order."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("doc_id"), F.expr(EXTRA).alias("text"))
+    return keys(spark, sf_dir).select(F.col("k").alias("doc_id"), F.expr(EXTRA).alias("text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
