@@ -135,3 +135,17 @@ def test_gold_texts(spark):
     assert found["EMAIL"] == 1.0 and found["ACCOUNT_LIKE"] > 0.9 and found["DATE"] > 0.9 and found["PHONE"] > 0.9
     perfect = texts.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", F.col("s.label").alias("entity_type")).replace({"POLICY_NUMBER": "INSURANCE_POLICY_NUMBER", "VIN": "VEHICLE_VIN"}, subset=["entity_type"])
     assert all(r.f1 == 1.0 for r in gold.scores(texts, perfect).collect())
+
+
+def test_swept_scores_hold_no_table_of_places(spark):
+    """Sweeps sort a task's events and aggregate nothing by place or run, whose table would grow with the task's share."""
+    from umbra.operators import report
+
+    gold = spark.createDataFrame([(1, 0, 4, "A"), (1, 4, 8, "A"), (1, 2, 6, "A"), (None, 1, 3, "B")], "doc_id long, start int, end int, label string")
+    found = spark.createDataFrame([(1, 3, 5, "A"), (1, 5, 6, "A"), (1, 8, 9, "A"), (None, 0, 1, "B"), (2, 5, 5, "B")], "doc_id long, start int, end int, label string")
+    got = {r.label: (r.tp, r.fp, r.fn) for r in report.char_scores(gold, found).collect()}
+    assert got == {"A": (3, 1, 5), "B": (0, 1, 2)}
+    runs = report.error_runs(gold, found)
+    want = {("A", "fn", 1, 0, 3, 3), ("A", "fn", 1, 6, 8, 2), ("A", "fp", 1, 8, 9, 1), ("B", "fp", None, 0, 1, 1), ("B", "fn", None, 1, 3, 2)}
+    assert sorted(map(repr, map(tuple, runs.collect()))) == sorted(map(repr, want))
+    assert "Aggregate" not in runs._jdf.queryExecution().optimizedPlan().toString()

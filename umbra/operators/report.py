@@ -81,16 +81,17 @@ def _swept(gold: DataFrame, found: DataFrame, key: str, label: str) -> DataFrame
 
     Each span is two events, +1 at its start and -1 at its end; running sums over a document's and label's events say what
     covers each stretch. The work follows the number of spans, not of characters; overlapping and repeated spans of one
-    side cover a character once."""
+    side cover a character once. Events at one place follow each other in any order: what lies between them is empty and
+    dropped, so a task holds one sort of its events and no table of places."""
     sides = None
     for df, g, f in ((gold, 1, 0), (found, 0, 1)):
         some = df.where("end > start").select(key, label, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
         some = some.select(key, label, "e.at", (F.col("e.d") * g).alias("g"), (F.col("e.d") * f).alias("f"))
         sides = some if sides is None else sides.unionByName(some)
-    dealt = sides.repartition(key, label).groupBy(key, label, "at").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
+    dealt = sides.repartition(key, label)
     order = Window.partitionBy(key, label).orderBy("at")
     on = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0
-    return dealt.select(key, label, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), on("g").alias("g"), on("f").alias("f")).where("end is not null")
+    return dealt.select(key, label, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), on("g").alias("g"), on("f").alias("f")).where("end > start")
 
 
 def char_scores(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
@@ -111,9 +112,10 @@ def error_runs(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: st
     kind = F.when(F.col("f") & ~F.col("g"), "fp").when(F.col("g") & ~F.col("f"), "fn").otherwise("")
     order = Window.partitionBy(key, label).orderBy("start")
     rows = _swept(gold, found, key, label).withColumn("kind", kind)
-    new = F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind <> ''")
-    out = rows.groupBy(label, "kind", key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run").withColumn("length", F.col("end") - F.col("start"))
+    # a run's first and last stretch, side by side once the others are dropped: no table of runs beside the sort
+    rows = rows.withColumns({"first": ~F.lag("kind").over(order).eqNullSafe(F.col("kind")), "last": ~F.lead("kind").over(order).eqNullSafe(F.col("kind"))}).where(F.col("first") | F.col("last"))
+    rows = rows.withColumn("end", F.when(F.col("last"), F.col("end")).otherwise(F.lead("end").over(order))).where("first and kind <> ''")
+    out = rows.select(label, "kind", key, "start", "end").withColumn("length", F.col("end") - F.col("start"))
     if longest is None:
         return out
     place = F.row_number().over(Window.partitionBy(label, "kind").orderBy(F.desc("length"), key, "start"))
