@@ -175,3 +175,22 @@ def test_regexes_need_examples():
     for bad in (([], "none"), (["a"], "most")):
         with pytest.raises(ValueError):
             regexgen.from_examples(*bad)
+
+
+def test_scans_need_as_many_digits_as_their_matches_take():
+    import re
+
+    from umbra.functions.catalog import Catalogue
+    from umbra.operators import arrow
+
+    said = {r"\b(?:\d[ -]?){12,18}\d\b": 13, r"\d{3}\s*(?:\d{2}|[A-Z]\d)[0-9]?": 4, r"(?=\d)[A-Z0-9]+": 1, r"[^0-9]+|\d": 0, r"x(\d+)-\d*": 1}
+    assert {r: arrow.least_digits(r) for r in said} == said
+    catalogue = Catalogue()
+    scans, gates = catalogue.scans(), arrow.Gates(catalogue.scans())
+    text = "Call 0412 345 678 or TFN 123 456 789 at 12:30, card 4111 1111 1111 1111, DOB: 01/02/1990, N1234567, ١٢ x"
+    for cut in range(len(text)):
+        part = text[:cut]
+        found = {k for k, s in enumerate(scans) if re.search(s.regex, part, re.IGNORECASE if s.ignore_case else 0)}
+        assert {k for k in found if scans[k].gate is None or scans[k].gate == "digit" or scans[k].gate in part} <= set(gates.open(part))
+    card = next(k for k, s in enumerate(scans) if s.entity_type == "CREDIT_CARD" and arrow.least_digits(s.regex) == 13)
+    assert card not in gates.open("TFN 123 456 789")

@@ -86,13 +86,37 @@ def _digit_in(parsed) -> bool:
     return False
 
 
+def least_digits(regex: str) -> int:
+    """Digits that every match takes at least; 1 where it only looks ahead at one."""
+    parsed = re._parser.parse(regex)  # type: ignore[attr-defined]
+    return max(_digits(parsed), int(_digit_in(parsed)))
+
+
+def _digits(parsed) -> int:
+    count = 0
+    for op, value in parsed:
+        name = str(op)
+        if name in ("IN", "LITERAL"):
+            count += _digit_in([(op, value)])
+        elif name == "SUBPATTERN":
+            count += _digits(value[3])
+        elif name == "BRANCH":
+            count += min(_digits(p) for p in value[1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            count += value[0] * _digits(value[2])
+        elif name == "ATOMIC_GROUP":
+            count += _digits(value)
+    return count
+
+
 class Gates:
     """Which scans a text can match at all, by one pass over it: an automaton of all literals that scans need finds those
-    that the text holds, and only scans with one of theirs, or without any, are left."""
+    that the text holds, and only scans with one of theirs, or without any, are left; of these, those that need more
+    digits than the text has can't match."""
 
     def __init__(self, scans: list[Scan]):
         self.scans, self.always, self.by = scans, [], []
-        self.numeric = [needs_digit(s.regex) for s in scans]
+        self.digits = [least_digits(s.regex) for s in scans]
         place: dict[str, int] = {}
         for k, s in enumerate(scans):
             needs = literals(s.regex, s.ignore_case)
@@ -111,7 +135,7 @@ class Gates:
 
     def open(self, said: str) -> list[int]:
         """Numbers of the scans that may match, ascending."""
-        digits = _DIGIT.search(said) is not None
+        digits = len(_DIGIT.findall(said))
         if _ODD_CASE.search(said) is not None:  # lower() doesn't show every letter that matches
             some = range(len(self.scans))
         else:
@@ -119,15 +143,16 @@ class Gates:
             for i in {i for _, i in self.found.iter(said.lower())} if self.by else ():
                 left.update(self.by[i])
             some = sorted(left)
-        gated = lambda g: g is None or (digits if g == "digit" else g in said)
-        return [k for k in some if (digits or not self.numeric[k]) and gated(self.scans[k].gate)]
+        gated = lambda g: g is None or (digits > 0 if g == "digit" else g in said)
+        return [k for k in some if digits >= self.digits[k] and gated(self.scans[k].gate)]
 
 
 def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: str = "text", active: set[str] | None = None, threshold: float = C.THRESHOLD, adjust: dict[str, float] | None = None, carry: tuple[str, ...] = (), skip: bool = True) -> DataFrame:
     """The same candidates as umbra.operators.detect.scanned, in the same columns.
 
     A regex is run over texts only that hold one of the literals which any match of it must hold, found from the regex
-    itself: most of the catalogue is led by words that most texts lack. One automaton looks for all of them at once."""
+    itself: most of the catalogue is led by words that most texts lack. One automaton looks for all of them at once. A
+    regex that several scans have is run over a text once."""
     scans = catalogue.scans(active, threshold, adjust)
     known = sum(len(d.patterns) for d in catalogue.definitions)
     rows = docs.select(F.col(key), *carry, F.col(text).alias("__text"))
@@ -139,15 +164,17 @@ def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gates = Gates(scans)
-        compiled = [(s, re.compile(s.regex, re.IGNORECASE if s.ignore_case else 0)) for s in scans]
+        same = {(s.regex, s.ignore_case): k for k, s in enumerate(scans)}
+        compiled = [(s, re.compile(s.regex, re.IGNORECASE if s.ignore_case else 0), same[s.regex, s.ignore_case]) for s in scans]
         for batch in batches:
             keys, found = [], []
             for i, said in enumerate(batch.column(len(kept)).to_pylist()):
-                said = clean(said or "")
+                said, known_spans = clean(said or ""), {}
                 for k in gates.open(said):
-                    s, rx = compiled[k]
-                    for m in rx.finditer(said):
-                        a, b = m.span(1) if m.lastindex else m.span()
+                    s, rx, of = compiled[k]
+                    if of not in known_spans:
+                        known_spans[of] = [m.span(1) if m.lastindex else m.span() for m in rx.finditer(said)]
+                    for a, b in known_spans[of]:
                         if skip and s.ordinal < known and skipped(s.entity_type, said[a:b]):
                             continue
                         keys.append(i)

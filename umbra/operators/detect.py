@@ -97,11 +97,11 @@ def arbitrated(found: DataFrame, catalogue: Catalogue, by: list[str], as_of_year
     alike = Window.partitionBy(*by, "start", "end", "ordinal")
     text = F.col("text")
     rows = found.withColumns({"__copies": F.count("*").over(alike), "__copy": F.row_number().over(alike.orderBy("ordinal"))}).where("__copy = 1").drop("__copy")
-    rows = rows.withColumns({"many": F.count("*").over(span) > 1, "fp": false_person(text), "ok": V.valid(F.col("entity_type"), text, as_of_year), "label": _labelled(), "rank": F.coalesce(kinds[F.col("entity_type")], F.lit(float(C.UNLISTED_PRIORITY))) + F.col("score")})
+    rows = rows.withColumns({"many": F.count("*").over(span) > 1, "fp": (F.col("entity_type") == "PERSON") & false_person(text), "ok": V.valid(F.col("entity_type"), text, as_of_year), "label": _labelled(), "rank": F.coalesce(kinds[F.col("entity_type")], F.lit(float(C.UNLISTED_PRIORITY))) + F.col("score")})
     if strict_suffix:
         rows = rows.where(~(F.col("many") & F.lower("text").rlike(f"({'|'.join(C.LABEL_SUFFIXES)})$")))
-    rows = rows.where(~(F.col("many") & text.rlike(f"(?Ud){C.DATE_SHAPE}") & F.col("entity_type").isin("ORGANIZATION", "LOCATION")))
-    rows = rows.withColumns({"person": F.max((F.col("entity_type") == "PERSON") & F.col("fp")).over(span), "named": F.max("label").over(span)})
+    rows = rows.where(~(F.col("many") & F.col("entity_type").isin("ORGANIZATION", "LOCATION") & text.rlike(f"(?Ud){C.DATE_SHAPE}")))
+    rows = rows.withColumns({"person": F.max("fp").over(span), "named": F.max("label").over(span)})
     person = F.col("entity_type") == "PERSON"
     fits = F.when(~F.col("many"), ~(person & F.col("fp"))).when(F.col("person"), ~person).when(F.col("named"), F.col("label")).otherwise(F.col("ok"))
     order = span.orderBy(F.when(F.col("person"), 0.0).otherwise(-F.col("rank")), "ordinal")
