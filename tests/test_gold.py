@@ -19,3 +19,11 @@ def test_spans_are_of_the_text(spark):
     first = got[8].spans[0]
     assert got[8].text[first.start : first.end] == got[8].text.split("Insured: ")[1].split(",")[0]
     assert [(got[k].text, got[k].spans) for k in (-3, None)] == [("", [])] * 2
+
+
+def test_keys_are_dealt_to_all_tasks(spark):
+    from umbra.plans import evaluation, queries
+
+    folder = "/root/testdata/sf0.001"
+    for rows in (evaluation._texts(spark, folder), evaluation.letters(spark, folder), queries.extras(spark, folder)):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
