@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from umbra.functions import catalog as C
 from umbra.functions import validators as V
 from umbra.functions.catalog import Catalogue
-from umbra.functions.spans import candidates, clean
+from umbra.functions.spans import candidates, clean, let
 
 #: The year that date checks count from unless a caller says otherwise.
 AS_OF_YEAR = 2024
@@ -80,9 +80,9 @@ def scanned(docs: DataFrame, catalogue: Catalogue, key: str = "doc_id", text: st
     return out.where(~(catalogued & skip))
 
 
-def _labelled() -> Column:
-    before = F.expr(f"right(before, {C.LABEL_WINDOW})")
-    return _by_type(F.col("entity_type"), {k: [v] for k, v in C.LABEL_BEFORE.items()}, lambda v: _any(before, v))
+def _labelled(kind: Column, before: Column) -> Column:
+    near = F.substring(before, F.greatest(F.char_length(before) - C.LABEL_WINDOW, F.lit(0)) + 1, F.lit(C.LABEL_WINDOW))
+    return _by_type(kind, {k: [v] for k, v in C.LABEL_BEFORE.items()}, lambda v: _any(near, v))
 
 
 def arbitrated(found: DataFrame, catalogue: Catalogue, by: list[str], as_of_year: int = AS_OF_YEAR, strict_suffix: bool = True) -> DataFrame:
@@ -97,7 +97,10 @@ def arbitrated(found: DataFrame, catalogue: Catalogue, by: list[str], as_of_year
     alike = Window.partitionBy(*by, "start", "end", "ordinal")
     text = F.col("text")
     rows = found.withColumns({"__copies": F.count("*").over(alike), "__copy": F.row_number().over(alike.orderBy("ordinal"))}).where("__copy = 1").drop("__copy")
-    rows = rows.withColumns({"many": F.count("*").over(span) > 1, "fp": (F.col("entity_type") == "PERSON") & false_person(text), "ok": V.valid(F.col("entity_type"), text, as_of_year), "label": _labelled(), "rank": F.coalesce(kinds[F.col("entity_type")], F.lit(float(C.UNLISTED_PRIORITY))) + F.col("score")})
+    # the many regexes in lambdas: written out in one stage they make a method too long for the JVM to compile
+    valid = let(F.struct("entity_type", "text"), lambda x: V.valid(x.entity_type, x.text, as_of_year))
+    labelled = let(F.struct("entity_type", "before"), lambda x: _labelled(x.entity_type, x.before))
+    rows = rows.withColumns({"many": F.count("*").over(span) > 1, "fp": (F.col("entity_type") == "PERSON") & let(text, false_person), "ok": valid, "label": labelled, "rank": F.coalesce(kinds[F.col("entity_type")], F.lit(float(C.UNLISTED_PRIORITY))) + F.col("score")})
     if strict_suffix:
         rows = rows.where(~(F.col("many") & F.lower("text").rlike(f"({'|'.join(C.LABEL_SUFFIXES)})$")))
     rows = rows.where(~(F.col("many") & F.col("entity_type").isin("ORGANIZATION", "LOCATION") & text.rlike(f"(?Ud){C.DATE_SHAPE}")))
@@ -129,16 +132,27 @@ def absorbed(winners: DataFrame, by: list[str]) -> DataFrame:
     return rows.where(F.col("entity_type").isin(*C.NEVER_ABSORBED) | ~inside).select(*winners.columns)
 
 
-def in_context(winners: DataFrame) -> DataFrame:
-    """Winners that what stands before them doesn't refute, with their score raised where the context speaks for them."""
-    kind = F.col("entity_type")
-    near = stripped(F.expr(f"right(before, {C.FALSE_WINDOW})"))
-    before, after = stripped(F.col("before")), stripped(F.col("after"))
-    whole = F.concat_ws(" ", before, F.col("text"), after)
-    false = _by_type(kind, C.CONTEXT_FALSE, lambda v: _any(near, v)) | ((kind == "DATE") & F.col("text").isin("NSW 2000", "VIC 3000", "QLD 4000")) | ((kind == "NUMBER") & (F.col("text") == "#"))
+def _refuted(kind: Column, text: Column, before: Column) -> Column:
+    near = stripped(F.substring(before, F.greatest(F.char_length(before) - C.FALSE_WINDOW, F.lit(0)) + 1, F.lit(C.FALSE_WINDOW)))
+    return _by_type(kind, C.CONTEXT_FALSE, lambda v: _any(near, v)) | ((kind == "DATE") & text.isin("NSW 2000", "VIC 3000", "QLD 4000")) | ((kind == "NUMBER") & (text == "#"))
+
+
+def _boost(kind: Column, text: Column, before: Column, after: Column) -> Column:
+    """What the context adds to a score; before and after are stripped."""
+    whole = F.concat_ws(" ", before, text, after)
     shaped = _by_type(kind, C.CONTEXT_BEFORE, lambda v: _any(before, v)) | _by_type(kind, C.CONTEXT_AFTER, lambda v: _any(after, v)) | _by_type(kind, C.CONTEXT_WITHIN, lambda v: _any(whole, v))
     worded = _by_type(kind, C.CONTEXT_WORDS, lambda v: F.array_contains(F.array(*[F.contains(before, F.lit(w)) | F.contains(after, F.lit(w)) for w in v]), True))
-    boost = F.when(shaped, C.PATTERN_BOOST).otherwise(0.0) + F.when(worded, C.WORD_BOOST).otherwise(0.0)
+    return F.when(shaped, C.PATTERN_BOOST).otherwise(0.0) + F.when(worded, C.WORD_BOOST).otherwise(0.0)
+
+
+def in_context(winners: DataFrame) -> DataFrame:
+    """Winners that what stands before them doesn't refute, with their score raised where the context speaks for them.
+
+    The regexes stand in lambdas, as in arbitrated()."""
+    told = sorted({*C.CONTEXT_BEFORE, *C.CONTEXT_AFTER, *C.CONTEXT_WITHIN, *C.CONTEXT_WORDS})
+    false = let(F.struct("entity_type", "text", "before"), lambda x: _refuted(x.entity_type, x.text, x.before))
+    near = F.struct("entity_type", "text", stripped(F.col("before")).alias("before"), stripped(F.col("after")).alias("after"))
+    boost = F.when(F.col("entity_type").isin(*told), let(near, lambda x: _boost(x.entity_type, x.text, x.before, x.after))).otherwise(0.0)
     return winners.where(~false).withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + boost), 4))
 
 
