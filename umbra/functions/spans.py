@@ -59,17 +59,38 @@ def gated(text: Column, found: Column, gate: str | None, digit: Column) -> Colum
 CANDIDATE = "array<struct<ordinal:int,entity_type:string,score:double,start:int,end:int>>"
 
 
+#: Letters that match another letter when case is ignored though lower() leaves them apart.
+ODD_CASE = "[\u0130\u0131\u017f\u212a]"
+
+
 def candidates(text: Column, digit: Column, scans: list[Scan]) -> Column:
-    """All scans' candidates of a cleaned text as one array; scans of one regex and case share their evaluation."""
+    """All scans' candidates of a cleaned text as one array; scans of one regex and case share their evaluation.
+
+    A regex is run only over texts that hold one of the literals which any match of it must hold and as many digits as it
+    takes, as in umbra.operators.arrow."""
+    from umbra.operators.arrow import least_digits, literals
+
     shared: dict[tuple, list[Scan]] = {}
     for s in scans:
         shared.setdefault((s.regex, s.ignore_case, s.gate), []).append(s)
-    arrays = []
-    for (regex, ignore, gate), group in shared.items():
-        found = gated(text, spans(text, regex, group[0].grouped, ignore), gate, digit)
-
-        arrays.append(F.flatten(F.transform(found, _tagger(group))))
-    return F.flatten(F.array(*arrays)) if arrays else F.array().cast(CANDIDATE)
+    if not shared:
+        return F.array().cast(CANDIDATE)
+
+    def found(x: Column) -> Column:
+        arrays = []
+        for (regex, ignore, gate), group in shared.items():
+            hits = F.transform(gated(x.text, spans(x.text, regex, group[0].grouped, ignore), gate, x.digit), _tagger(group))
+            needs, least = literals(regex, ignore), least_digits(regex)
+            may = x.digits >= least if least else F.lit(True)
+            if needs and all(w.isascii() for w in needs):
+                held = x.odd
+                for w in sorted(needs):
+                    held = held | F.contains(x.low, F.lit(w))
+                may = may & held
+            arrays.append(F.when(may, F.flatten(hits)).otherwise(F.array().cast(CANDIDATE)))
+        return F.flatten(F.array(*arrays))
+
+    return let(F.struct(text.alias("text"), digit.alias("digit"), F.lower(text).alias("low"), F.regexp_count(text, F.lit(r"\p{Nd}")).alias("digits"), text.rlike(ODD_CASE).alias("odd")), found)
 
 
 def _tagger(group: list[Scan]):
