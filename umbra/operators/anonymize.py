@@ -137,12 +137,13 @@ def spliced(text: Column, items: Column) -> Column:
 
 
 def clustered(entities: DataFrame, of: list[str]) -> DataFrame:
-    """Distinct entities with `cluster`: those of a row that overlap, directly or through others, share a number. A sweep by
-    start with the running maximum of ends; all windows and groups after it share one shuffle."""
+    """Entities with `cluster`: those of a row that overlap, directly or through others, or have one place share a number. A
+    sweep by start with the running maximum of ends; all windows and groups after it share one shuffle, or none where
+    entities are already dealt by the row."""
     whole = Window.partitionBy(*of).orderBy("start", F.desc("end"))
     reach = F.max("end").over(whole.rowsBetween(Window.unboundedPreceding, -1))
-    dealt = entities.repartition(*[F.col(c) for c in of]).distinct()
-    new = dealt.withColumn("__new", F.when(F.col("start") < reach, 0).otherwise(1))
+    here = (F.lag("start").over(whole) == F.col("start")) & (F.lag("end").over(whole) == F.col("end"))
+    new = entities.withColumn("__new", F.when((F.col("start") < reach) | here, 0).otherwise(1))
     return new.withColumn("cluster", F.sum("__new").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
 
 
@@ -162,13 +163,19 @@ def anonymize(docs: DataFrame, entities: DataFrame, operators: dict[str, Operato
         raise ValueError("Entities need text_hash, as detect() gives it; without it keys must be unique: say so with unique=True.")
     of = ["__of", "__of_hash"] if exact else ["__of"]
     own = entities.select(F.col(key).alias("__of"), *([F.col("text_hash").alias("__of_hash")] if exact else []), "start", "end", "entity_type", "text", "score")
-    each = clustered(own, of).groupBy(*of, "cluster").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
-    kept = each.select(*of, folded(items_of(F.col("__entities"), operators or {}, bracket, keep_postcode, as_of), priority).alias("items"))
-    grouped = kept.groupBy(*of).agg(F.array_sort(F.flatten(F.collect_list("items")), lambda a, b: b.start - a.start).alias("__items"))
+    each = clustered(own, of).groupBy(*of, "cluster").agg(F.array_sort(F.collect_set(F.struct("start", "end", "entity_type", "text", "score"))).alias("__entities"))
+    descending = lambda x: F.when(F.size(x) <= 1, x).otherwise(F.array_sort(folded(x, priority), lambda a, b: b.start - a.start))
+    kept = each.select(*of, "cluster", let(items_of(F.col("__entities"), operators or {}, bracket, keep_postcode, as_of), descending).alias("items"))
+    last_first = F.sort_array(F.collect_list(F.struct("cluster", "items")), asc=False)
+    grouped = kept.groupBy(*of).agg(F.flatten(F.transform(last_first, lambda c: c["items"])).alias("__items"))
     said = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), F.col(text).alias("__said"), F.xxhash64(said).alias("__hash"))
-    same = F.col(key).eqNullSafe(F.col("__of"))
-    joined = rows.join(grouped, same & (F.col("__hash") == F.col("__of_hash")) if exact else same, "left")
+    if exact:
+        same = F.col(key).eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__of_hash"))
+    else:  # plain equality leaves rows where they are if they are dealt by key
+        same = F.col(key) == F.col("__of")
+        rows = rows.where(F.col(key).isNotNull() | F.raise_error(F.lit("unique=True, but a key is null")).cast("boolean"))
+    joined = rows.join(grouped, same, "left")
     out = joined.select(key, "__said", F.when(F.col("__said").isNotNull(), F.coalesce("__items", F.array().cast(ITEM))).otherwise(F.array().cast(ITEM)).alias("items"))
     size = [F.char_length(F.coalesce("__said", F.lit(""))).cast("bigint").alias("original_length")] if sized else []
     return out.select(key, spliced(F.col("__said"), F.col("items")).alias(text), "items", *size)

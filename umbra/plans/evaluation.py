@@ -145,7 +145,7 @@ spans AS (SELECT DISTINCT doc_id, {{'s': s, 'e': e, 't': ['{"', '".join(_KINDS)}
 @query("overlap_fold", f"WITH RECURSIVE {_ITEMS}, {O.folded('spans', C.PRIORITY)} SELECT doc_id, CAST(len(items) AS INT) AS n_items, array_to_string(list_transform(list_sort(list_transform(items, lambda x: {{'s': x.s, 'e': x.e, 't': x.t}})), lambda x: x.t || ':' || x.s || ':' || x.e), ',') AS items FROM folded")
 def overlap_fold(spark, sf_dir):
     """Six spans a row, most of which overlap: which of them are written in."""
-    k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    k = Q.keys(spark, sf_dir)
     kind = lambda i: F.element_at(F.array(*map(F.lit, _KINDS)), F.expr(f"cast({i} as int)") + 1)
     spans = F.array(*[F.struct(F.expr(f"cast({s} as int)").alias("start"), F.expr(f"cast({s} + {n} as int)").alias("end"), kind(t).alias("entity_type")) for s, n, t in _SPAN])
     each = k.select(F.col("k").alias("doc_id"), F.explode(spans).alias("x")).select("doc_id", "x.*")
