@@ -47,6 +47,18 @@ def test_all_scans_equal_python(spark, notes):
     assert rows(scanned(notes, catalogue)) == rows(by_arrow(notes, catalogue))
 
 
+def test_phones_one_character_apart_are_all_found(spark):
+    """The regex looks ahead at what follows a number and doesn't take it, so the next number may follow at once."""
+    text = "call +1 (528) 555-3435 +1 (528) 555-3435\n+1 (611) 555-1352 today"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "none")], "doc_id long, text string")
+    spans = lambda regex: [m.span() for m in re.finditer(regex, text)]
+    want = spans(dict((t, p) for t, p, _ in C.DEFINITIONS)["PHONE_INTL"][0])
+    assert len(want) == 3 and all(b[0] - a[1] == 1 for a, b in zip(want, want[1:], strict=False))
+    for options in ({}, {"once": True}, {"engine": "native", "active": {"PHONE_INTL"}}):
+        rows = detect(docs, **options).where("entity_type = 'PHONE_INTL'").collect()
+        assert sorted((r.doc_id, r.start, r.end) for r in rows) == [(d, *x) for d in (1, 2) for x in want]
+
+
 def test_every_builtin_group_is_terminal():
     assert all(C.terminal_group(s.regex) for s in C.Catalogue().scans())
     assert not C.terminal_group(r"a(b)c") and not C.terminal_group(r"(a)(b)")
