@@ -6,7 +6,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,9 +102,18 @@ def char_scores(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: s
     of = lambda c: F.coalesce(F.sum(F.when(c, size)), F.lit(0)).alias
     g, f = F.col("g"), F.col("f")
     counts = _swept(gold, found, key, label).groupBy(label).agg(of(g & f)("tp"), of(~g & f)("fp"), of(g & ~f)("fn"))
+    return rated(counts)
+
+
+def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return counts.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(ratio(2 * p * r, p + r), 6)})
+    p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    return {"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(ratio(2 * p * r, p + r), 6)}
+
+
+def rated(counts: DataFrame) -> DataFrame:
+    """Rows of tp, fp and fn with precision, recall and f1."""
+    return counts.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def error_runs(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: str = "label", longest: int | None = None) -> DataFrame:
@@ -118,8 +127,13 @@ def error_runs(gold: DataFrame, found: DataFrame, key: str = "doc_id", label: st
     out = rows.select(label, "kind", key, "start", "end").withColumn("length", F.col("end") - F.col("start"))
     if longest is None:
         return out
+    return longest_runs(out, longest, key, label)
+
+
+def longest_runs(runs: DataFrame, longest: int, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """So many of error_runs() of each label and kind, the longest."""
     place = F.row_number().over(Window.partitionBy(label, "kind").orderBy(F.desc("length"), key, "start"))
-    return out.withColumn("place", place).where(F.col("place") <= longest).drop("place")
+    return runs.withColumn("place", place).where(F.col("place") <= longest).drop("place")
 
 
 def export(reports: DataFrame, stats: DataFrame, path: str, format: str = "json") -> str:

@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from umbra.functions import catalog as C
 
 #: Features are hashed to so many bits.
 BITS = 16
+#: Sums of tokens that are kept from one text to the next.
+MEMO = 1 << 16
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _NEVER = -1e18
 
@@ -52,17 +55,28 @@ def _shape(word: str) -> str:
     return out
 
 
+@lru_cache(1 << 14)
+def _forms(word: str) -> tuple[str, str]:
+    return word.lower(), _shape(word)
+
+
+def _around(text: str, places: Sequence[tuple[int, int]]) -> list[tuple]:
+    """What a token's features are made from: the two words before it, its own, the two after it ("" beyond an end), and
+    whether it and the next one begin a line."""
+    said = ["", "", *(text[s:e] for s, e in places), "", ""]
+    new = [True, *("\n" in text[places[i - 1][1] : places[i][0]] for i in range(1, len(places))), True]
+    return [(*said[i : i + 5], new[i], new[i + 1]) for i in range(len(places))]
+
+
+def _features(b2: str, b: str, now: str, a: str, a2: str, new: bool, ends: bool) -> list[int]:
+    (w, s), (pw, ps), (nw, ns) = _forms(now), _forms(b), _forms(a)
+    said = (f"w{w}", f"s{s}", f"e{w[-3:]}", f"p{pw}", f"q{ps}", f"n{nw}", f"m{ns}", f"c{b2.lower()} {pw}", f"d{pw} {s}", f"f{s} {ns}", f"g{ps} {s} {ns} {new}{ends}", f"h{ns} {_forms(a2)[1]}", "b")
+    return [zlib.crc32(f.encode("utf-8", "replace")) & ((1 << BITS) - 1) for f in said]
+
+
 def features(text: str, places: Sequence[tuple[int, int]]) -> Iterator[list[int]]:
     """Hashed features of each token: the word, its shape and ending, the words and shapes beside it, line starts."""
-    pad = ("", "", True)
-    word = lambda i: (lambda w: (w.lower(), _shape(w), i == 0 or "\n" in text[places[i - 1][1] : places[i][0]]))(text[slice(*places[i])]) if i < len(places) else pad
-    before2, before, now, after = pad, pad, word(0), word(1)
-    for i in range(len(places)):
-        after2 = word(i + 2)
-        (w, s, new), (pw, ps, _), (nw, ns, ends) = now, before, after
-        said = (f"w{w}", f"s{s}", f"e{w[-3:]}", f"p{pw}", f"q{ps}", f"n{nw}", f"m{ns}", f"c{before2[0]} {pw}", f"d{pw} {s}", f"f{s} {ns}", f"g{ps} {s} {ns} {new}{ends}", f"h{ns} {after2[1]}", "b")
-        yield [zlib.crc32(f.encode("utf-8", "replace")) & ((1 << BITS) - 1) for f in said]
-        before2, before, now, after = before, now, after, after2
+    return (_features(*x) for x in _around(text, places))
 
 
 def follows(tags: Sequence[str], a: int, b: int) -> bool:
@@ -72,12 +86,20 @@ def follows(tags: Sequence[str], a: int, b: int) -> bool:
 
 def decode(model: Model, rows: Iterable[Sequence[int]]) -> list[int]:
     """The allowed tag sequence of the greatest sum of weights and steps; of equal ones the earlier tags."""
-    n, weights = len(model.tags), model.weights
+    return _best(model, (_worth(model, row) for row in rows))
+
+
+def _worth(model: Model, row: Sequence[int]) -> list[float]:
+    """A token's sum of weights for each tag."""
+    said = [w for f in row if (w := model.weights.get(f)) is not None]
+    return [sum(w[t] for w in said) for t in range(len(model.tags))]
+
+
+def _best(model: Model, worths: Iterable[list[float]]) -> list[int]:
+    n = len(model.tags)
     into = [[(a, model.steps[a][b]) for a in range(n) if follows(model.tags, a, b)] for b in range(n)]
     back, best = [], None
-    for row in rows:
-        said = [w for f in row if (w := weights.get(f)) is not None]
-        here = [sum(w[t] for w in said) for t in range(n)]
+    for here in worths:
         if best is None:
             best = [here[t] + model.steps[n][t] if follows(model.tags, n, t) else _NEVER for t in range(n)]
             continue
@@ -99,11 +121,21 @@ def decode(model: Model, rows: Iterable[Sequence[int]]) -> list[int]:
     return path[::-1]
 
 
-def spans(model: Model, text: str) -> Iterator[tuple[str, int, int]]:
-    """(label, start, end) of a text."""
+def _worths(model: Model, text: str, places: Sequence[tuple[int, int]], memo: dict[tuple, list[float]]) -> Iterator[list[float]]:
+    """Each token's sums; those of tokens among the same words are worked out once."""
+    if len(memo) > MEMO:
+        memo.clear()
+    for around in _around(text, places):
+        if (worth := memo.get(around)) is None:
+            worth = memo[around] = _worth(model, _features(*around))
+        yield worth
+
+
+def spans(model: Model, text: str, memo: dict[tuple, list[float]] | None = None) -> Iterator[tuple[str, int, int]]:
+    """(label, start, end) of a text; `memo` keeps a model's sums from one text to the next."""
     places = tokens(text)
     label, start, end = "", 0, 0
-    for tag, (s, e) in zip(decode(model, features(text, places)), places):
+    for tag, (s, e) in zip(_best(model, _worths(model, text, places, {} if memo is None else memo)), places):
         name = model.tags[tag]
         if name.startswith("I-"):
             end = e
@@ -180,11 +212,12 @@ def tagged(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     wide = C.CONTEXT_WINDOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple, list[float]] = {}
         for batch in batches:
             took, out = [], []
             for i, said in enumerate(batch.column("__text")):
                 whole = said.as_py()
-                for label, s, e in spans(model, whole):
+                for label, s, e in spans(model, whole, memo):
                     took.append(i)
                     out.append((label, s, e, whole[s:e], whole[max(s - wide, 0) : s], whole[e : e + wide]))
             took = pa.array(took, pa.int64())

@@ -6,12 +6,16 @@ span can't be off. Pieces are SQL expressions over the row's key k that both eng
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.operators import report
+from umbra.operators import report, tagger, whole
+from umbra.operators.arrow import clean
 
 # Which category a gold label and a detected type are scored under; other types count under ANY alone.
 GOLD_CATEGORY = {
@@ -155,4 +159,140 @@ def errors(texts: DataFrame, entities: DataFrame, longest: int | None = 5) -> Da
     return report.error_runs(categories(gold, "label", GOLD_CATEGORY), categories(entities, "entity_type", FOUND_CATEGORY), longest=longest)
 
 
+# --- the same where the texts are made: each text is detected and scored within one pass, and only counts leave it ---
+Spans = list[tuple[int, int]]
+#: Texts whose candidates are held at once.
+SLICE = 10_000
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> Spans:
+    """The characters of spans as runs that don't touch."""
+    out: Spans = []
+    for a, b in sorted(spans):
+        if b <= a:
+            continue
+        if out and a <= out[-1][1]:
+            if b > out[-1][1]:
+                out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def less(these: Spans, those: Spans) -> Spans:
+    """The runs of characters of these that aren't of those; both merged()."""
+    out, i = [], 0
+    for a, b in these:
+        while i < len(those) and those[i][1] <= a:
+            i += 1
+        j = i
+        while j < len(those) and those[j][0] < b:
+            if those[j][0] > a:
+                out.append((a, those[j][0]))
+            a = those[j][1]
+            j += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _sorted_out(spans: Iterable[tuple[str, int, int]], table: dict[str, str]) -> dict[str, Spans]:
+    """Merged spans by category, and all of them under ANY."""
+    by: dict[str, Spans] = {}
+    for kind, a, b in spans:
+        if b > a:
+            by.setdefault("ANY", []).append((a, b))
+            if kind in table:
+                by.setdefault(table[kind], []).append((a, b))
+    return {label: merged(x) for label, x in by.items()}
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(cleaned text, gold spans) of a batch of labelled()."""
+    spans = batch.column("spans")
+    each, ends = spans.flatten(), spans.value_lengths().to_pylist()  # of the slice alone
+    flat = list(zip(*(each.field(c).to_pylist() for c in ("label", "start", "end"))))
+    at = 0
+    for text, n in zip(batch.column("text").to_pylist(), ends):
+        yield clean(text or ""), flat[at : at + (n or 0)]
+        at += n or 0
+
+
+def _compared(batches: Iterable[pa.RecordBatch], model: tagger.Model | None) -> Iterator[tuple[int, int, dict[str, Spans], dict[str, Spans], pa.RecordBatch]]:
+    """(row, 0 for scans alone or 1 with the tagger, gold by category, found by category, batch)."""
+    scanner, memo = whole.scanner(), {}
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+        rows = list(_rows(batch))
+        for i, ((text, spans), found) in enumerate(zip(rows, scanner.candidates([t for t, _ in rows]))):
+            gold = _sorted_out(spans, GOLD_CATEGORY)
+            alone = _sorted_out(scanner.entities(text, found), FOUND_CATEGORY)
+            yield i, 0, gold, alone, batch
+            if model is not None:
+                more = whole.persons(scanner, text, tagger.spans(model, text, memo))
+                yield i, 1, gold, _sorted_out(scanner.entities(text, found + more), FOUND_CATEGORY) if more else alone, batch
+
+
+def counted(texts: DataFrame, model: tagger.Model | None = None) -> DataFrame:
+    """(tagged 0 or 1, label, tp, fp, fn) of characters, a few rows a task: what detect() finds in labelled() texts, and with
+    a model of PERSON what it finds with the tagger's spans as extra. Texts count once each, so keys mustn't repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str], list[int]] = {}
+        size = lambda x: sum(b - a for a, b in x)
+        for _, tagged, gold, found, _ in _compared(batches, model):
+            for label in gold.keys() | found.keys():
+                g, f = gold.get(label, []), found.get(label, [])
+                total = sums.setdefault((tagged, label), [0, 0, 0])
+                fp = 0 if g == f else size(less(f, g))
+                tp = size(f) - fp
+                total[0] += tp
+                total[1] += fp
+                total[2] += size(g) - tp
+        rows = [(*k, *v) for k, v in sums.items()]
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["tagged", "label", "tp", "fp", "fn"])
+
+    return texts.select("doc_id", "text", "spans").mapInArrow(run, "tagged int, label string, tp long, fp long, fn long")
+
+
+def scores_found(texts: DataFrame) -> DataFrame:
+    """scores() of what detect() finds in labelled() texts of unique keys."""
+    return report.rated(counted(texts).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+
+
+def scores_tagged(texts: DataFrame, model: tagger.Model) -> DataFrame:
+    """(label, tp, fp, fn, f1 of scans, the same tagged) of what detect() finds without and with a tagger's spans."""
+    sides = {"scans": 0, "tagged": 1}
+    of = counted(texts, model).groupBy("label").agg(*[F.sum(F.when(F.col("tagged") == i, F.col(c))).alias(f"{c}_{name}") for name, i in sides.items() for c in ("tp", "fp", "fn")])
+    rated = of
+    for name in sides:
+        one = report.rates(*(F.col(f"{c}_{name}") for c in ("tp", "fp", "fn")))["f1"]
+        rated = rated.withColumn(f"f1_{name}", F.when(F.col(f"tp_{name}").isNotNull(), one))
+    return rated.select("label", *[f"{c}_{name}" for name in sides for c in ("tp", "fp", "fn", "f1")])
+
+
+def errors_found(texts: DataFrame, longest: int = 5) -> DataFrame:
+    """errors() of what detect() finds in labelled() texts of unique keys: each task passes on its `longest` of each kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, str], list[tuple[int, int, int, int]]] = {}
+        for i, _, gold, found, batch in _compared(batches, None):
+            if gold == found:
+                continue
+            for label in gold.keys() | found.keys():
+                g, f = gold.get(label, []), found.get(label, [])
+                for kind, runs in (("fp", less(f, g)), ("fn", less(g, f))):
+                    if runs:
+                        mine, key = best.setdefault((label, kind), []), batch.column("doc_id")[i].as_py()
+                        mine += [(a - b, key, a, b) for a, b in runs]
+                        if len(mine) > 1000:
+                            mine[:] = heapq.nsmallest(longest, mine)
+        rows = [(*k, key, a, b) for k, runs in best.items() for _, key, a, b in heapq.nsmallest(longest, runs)]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["label", "kind", "doc_id", "start", "end"])
+
+    some = texts.selectExpr("cast(doc_id as long) as doc_id", "text", "spans").mapInArrow(run, "label string, kind string, doc_id long, start int, end int")
+    return report.longest_runs(some.withColumn("length", F.col("end") - F.col("start")), longest)
+
+
 assert all(re.fullmatch(r"[A-Z_]+", x[0]) and x[0] in GOLD_CATEGORY for row in TEMPLATES for x in row if not isinstance(x, str))
