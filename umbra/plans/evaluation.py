@@ -43,8 +43,7 @@ def gold_spans(spark, sf_dir):
 @query("gold_f1", f"{_GOLD}, {_CHARS}, c AS (SELECT coalesce(gc.label, fc.label) AS label, count(*) FILTER (gc.at IS NOT NULL AND fc.at IS NOT NULL) AS tp, count(*) FILTER (gc.at IS NULL) AS fp, count(*) FILTER (fc.at IS NULL) AS fn FROM gc FULL JOIN fc ON gc.doc_id = fc.doc_id AND gc.label = fc.label AND gc.at = fc.at GROUP BY 1) SELECT label, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
 def gold_f1(spark, sf_dir):
     """Characters found right, by category and over all (ANY)."""
-    texts = _texts(spark, sf_dir)
-    return gold.scores(texts, detect(texts))
+    return gold.scores_found(_once(spark, sf_dir))
 
 
 _RUNS = "w AS (SELECT 'fp' AS kind, * FROM (SELECT * FROM fc EXCEPT SELECT * FROM gc) UNION ALL SELECT 'fn', * FROM (SELECT * FROM gc EXCEPT SELECT * FROM fc)), r AS (SELECT *, \"at\" - row_number() OVER (PARTITION BY kind, doc_id, label ORDER BY \"at\") AS run FROM w), x AS (SELECT label, kind, doc_id, CAST(min(\"at\") AS INT) AS \"start\", CAST(max(\"at\") + 1 AS INT) AS \"end\" FROM r GROUP BY label, kind, doc_id, run)"
