@@ -77,6 +77,6 @@ def test_scores_where_texts_are_made(spark):
 
 
 def test_texts_are_scanned_once_and_no_span_is_shuffled(spark):
-    for query in (evaluation.tagger_f1, evaluation.gold_f1):
+    for query in (evaluation.tagger_f1, evaluation.gold_f1, evaluation.gold_errors):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Generate explode" not in plan

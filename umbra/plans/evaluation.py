@@ -52,8 +52,7 @@ _RUNS = "w AS (SELECT 'fp' AS kind, * FROM (SELECT * FROM fc EXCEPT SELECT * FRO
 @query("gold_errors", f'{_GOLD}, {_CHARS}, {_RUNS} SELECT label, kind, doc_id, "start", "end", "end" - "start" AS length FROM x QUALIFY row_number() OVER (PARTITION BY label, kind ORDER BY "end" - "start" DESC, doc_id, "start") <= 5')
 def gold_errors(spark, sf_dir):
     """The five longest wrong runs of each category and kind."""
-    texts = _texts(spark, sf_dir)
-    return gold.errors(texts, detect(texts))
+    return gold.errors_found(_once(spark, sf_dir))
 
 
 #: A third of the templates are learnt from, texts of all others are tagged.
