@@ -62,11 +62,12 @@ def test_runs_by_plain_python():
 
 
 def test_scores_where_texts_are_made(spark):
-    texts = gold.labelled(spark.sql("select id from range(400) union all select -3L union all select null"), "id").cache()
+    keys = spark.sql("select id from range(400) union all select -3L union all select null")
+    texts, pieces = gold.labelled(keys, "id").cache(), gold.in_pieces(keys, "id")
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
-    assert key(gold.scores_found(texts)) == key(gold.scores(texts, detect(texts)))
+    assert key(gold.scores_found(texts)) == key(gold.scores_found(pieces)) == key(gold.scores(texts, detect(texts)))
     columns = ["label", "kind", "doc_id", "start", "end", "length"]
-    assert key(gold.errors_found(texts, 5).select(*columns)) == key(gold.errors(texts, detect(texts)).select(*columns))
+    assert key(gold.errors_found(texts, 5).select(*columns)) == key(gold.errors_found(pieces, 5).select(*columns)) == key(gold.errors(texts, detect(texts)).select(*columns))
     model = tagger.fit(texts.where("doc_id % 8 in (0, 2, 5)"), {"PERSON"}, most=100)
     got = {r.label: r for r in gold.scores_tagged(texts, model).collect()}
     for name, extra in (("scans", None), ("tagged", named.cleaned(tagger.tagged(texts, model)))):

@@ -30,7 +30,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of _texts(), one a key: repeated keys have the same text, and scores count its characters once."""
-    return gold.labelled(Q.keys(spark, sf_dir).distinct(), "k")
+    return gold.in_pieces(Q.keys(spark, sf_dir).distinct(), "k")
 
 
 # --- the detector against gold spans ---

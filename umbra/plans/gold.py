@@ -6,6 +6,7 @@ span can't be off. Pieces are SQL expressions over the row's key k that both eng
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -107,13 +108,22 @@ def _pieces(row: list[str | tuple[str, str]]) -> str:
     return f"array({each})"
 
 
+def _made() -> Column:
+    """The pieces of key k's own template."""
+    arms = " ".join(f"when {t} then {_pieces(row)}" for t, row in enumerate(TEMPLATES))
+    return F.expr(f"coalesce(case k % {len(TEMPLATES)} {arms} end, cast(array() as array<struct<said:string,label:string>>))")
+
+
+def in_pieces(keys: DataFrame, key: str) -> DataFrame:
+    """(doc_id, pieces) of each key: labelled()'s texts for those who put them together themselves."""
+    return keys.select(F.col(key).alias("k")).select(F.col("k").alias("doc_id"), _made().alias("pieces"))
+
+
 def labelled(keys: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, spans: array of (start, end, label)) of each key: the text and where its personal data stands. One
     projection, nothing is shuffled; null and negative keys of no template give empty texts without spans.
 
     Only the pieces of the key's own template are made, each once: one fold over them gives both text and spans."""
-    arms = " ".join(f"when {t} then {_pieces(row)}" for t, row in enumerate(TEMPLATES))
-    pieces = F.expr(f"coalesce(case k % {len(TEMPLATES)} {arms} end, cast(array() as array<struct<said:string,label:string>>))")
     none = F.array().cast("array<struct<start:int,end:int,label:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -121,7 +131,7 @@ def labelled(keys: DataFrame, key: str) -> DataFrame:
         span = F.struct(acc.at.alias("start"), end.alias("end"), x.label.alias("label"))
         return F.struct(end.alias("at"), F.concat(acc.text, x.said).alias("text"), F.when(x.label.isNull(), acc.spans).otherwise(F.concat(acc.spans, F.array(span))).alias("spans"))
 
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), none.alias("spans")), step)
+    folded = F.aggregate(_made(), F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), none.alias("spans")), step)
     # exploded, as a column that two others refer to may be worked out for each
     return keys.select(F.col(key).alias("k")).select(F.col("k").alias("doc_id"), F.inline(F.array(folded))).select("doc_id", "text", "spans")
 
@@ -208,7 +218,20 @@ def _sorted_out(spans: Iterable[tuple[str, int, int]], table: dict[str, str]) ->
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(cleaned text, gold spans) of a batch of labelled()."""
+    """(cleaned text, gold spans) of a batch of labelled() or in_pieces()."""
+    if "pieces" in batch.schema.names:
+        pieces = batch.column("pieces")
+        said, labels, k = *(pieces.flatten().field(c).to_pylist() for c in ("said", "label")), 0
+        for n in pieces.value_lengths().to_pylist():
+            own, spans, at = said[k : k + n], [], 0
+            for words, label in zip(own, labels[k : k + n]):
+                end = at + len(words)
+                if label is not None:
+                    spans.append((label, at, end))
+                at = end
+            k += n
+            yield clean("".join(own)), spans
+        return
     spans = batch.column("spans")
     each, ends = spans.flatten(), spans.value_lengths().to_pylist()  # of the slice alone
     flat = list(zip(*(each.field(c).to_pylist() for c in ("label", "start", "end"))))
@@ -221,6 +244,14 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple[str, int, int
 def _compared(batches: Iterable[pa.RecordBatch], model: tagger.Model | None) -> Iterator[tuple[int, int, dict[str, Spans], dict[str, Spans], pa.RecordBatch]]:
     """(row, 0 for scans alone or 1 with the tagger, gold by category, found by category, batch)."""
     scanner, memo = whole.scanner(), {}
+    gc.disable()  # a batch's candidates are many and hold no cycles
+    try:
+        yield from _each(scanner, memo, batches, model)
+    finally:
+        gc.enable()
+
+
+def _each(scanner: whole.Scanner, memo: dict, batches: Iterable[pa.RecordBatch], model: tagger.Model | None) -> Iterator[tuple[int, int, dict[str, Spans], dict[str, Spans], pa.RecordBatch]]:
     for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
         rows = list(_rows(batch))
         for i, ((text, spans), found) in enumerate(zip(rows, scanner.candidates([t for t, _ in rows]))):
@@ -233,7 +264,7 @@ def _compared(batches: Iterable[pa.RecordBatch], model: tagger.Model | None) ->
 
 
 def counted(texts: DataFrame, model: tagger.Model | None = None) -> DataFrame:
-    """(tagged 0 or 1, label, tp, fp, fn) of characters, a few rows a task: what detect() finds in labelled() texts, and with
+    """(tagged 0 or 1, label, tp, fp, fn) of characters, a few rows a task: what detect() finds in labelled() or in_pieces() texts, and with
     a model of PERSON what it finds with the tagger's spans as extra. Texts count once each, so keys mustn't repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +283,11 @@ def counted(texts: DataFrame, model: tagger.Model | None = None) -> DataFrame:
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["tagged", "label", "tp", "fp", "fn"])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, "tagged int, label string, tp long, fp long, fn long")
+    return texts.mapInArrow(run, "tagged int, label string, tp long, fp long, fn long")
 
 
 def scores_found(texts: DataFrame) -> DataFrame:
-    """scores() of what detect() finds in labelled() texts of unique keys."""
+    """scores() of what detect() finds in labelled() or in_pieces() texts of unique keys."""
     return report.rated(counted(texts).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
@@ -272,7 +303,7 @@ def scores_tagged(texts: DataFrame, model: tagger.Model) -> DataFrame:
 
 
 def errors_found(texts: DataFrame, longest: int = 5) -> DataFrame:
-    """errors() of what detect() finds in labelled() texts of unique keys: each task passes on its `longest` of each kind."""
+    """errors() of what detect() finds in labelled() or in_pieces() texts of unique keys: each task passes on its `longest` of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[str, str], list[tuple[int, int, int, int]]] = {}
@@ -291,7 +322,7 @@ def errors_found(texts: DataFrame, longest: int = 5) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["label", "kind", "doc_id", "start", "end"])
 
-    some = texts.selectExpr("cast(doc_id as long) as doc_id", "text", "spans").mapInArrow(run, "label string, kind string, doc_id long, start int, end int")
+    some = texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "label string, kind string, doc_id long, start int, end int")
     return report.longest_runs(some.withColumn("length", F.col("end") - F.col("start")), longest)
 
 
